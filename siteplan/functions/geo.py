@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 # Mean Earth radius in km, WGS84 semi-major axis in m and flattening, metres per unit.
@@ -42,7 +43,7 @@ def euclidean(x1, y1, x2, y2, meters_per_unit: float = 1.0, units: str = "meters
     return F.sqrt(dx * dx + dy * dy) * (meters_per_unit / UNIT_METERS[units])
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def _inverse_meters(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     # Vincenty's published inverse iteration, vectorised over one Arrow batch.
     a, f = WGS84_A, WGS84_F

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteplan.functions import geo
+from siteplan.functions.arrays import choose, combination_at
 from siteplan.functions.text import match_score
-from siteplan.operators.ordered import positions
+from siteplan.operators.ordered import positions, running
+from siteplan.session import cut_lineage
 
 # Fixed values of the name search: least score kept, least score resolved, least lead over the second.
 KEEP_SCORE = 0.35
@@ -109,12 +111,13 @@ def _population(population: Column, mask: Column) -> Column:
     return F.aggregate(counted, F.lit(0).cast("bigint"), lambda a, b: a + b)
 
 
-def _subsets(cases: DataFrame, keep: Column) -> DataFrame:
-    """Every non-empty subset of each case's places, as its ascending index array."""
-    top = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("n")) - 1
-    rows = cases.withColumn("_subset", F.explode(F.sequence(F.lit(1).cast("bigint"), top))).filter(keep)
-    members = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: _bit(F.col("_subset"), i))
-    return rows.withColumn("chosen", members)
+def _subsets(cases: DataFrame, size: Column) -> DataFrame:
+    """Every ``size``-subset of each case's places as an ascending index array, in combination order."""
+    count = choose(F.col("n"), size).cast("bigint")
+    indices = F.when(count > 0, F.sequence(F.lit(0).cast("bigint"), count - 1))
+    rows = cases.withColumn("combination", F.explode(indices))
+    chosen = combination_at(F.col("n"), size, F.col("combination"))
+    return rows.withColumn("chosen", F.transform(chosen, lambda i: i.cast("int")))
 
 
 def solve_max_coverage(places: DataFrame, cases: DataFrame) -> DataFrame:
@@ -127,11 +130,12 @@ def solve_max_coverage(places: DataFrame, cases: DataFrame) -> DataFrame:
     )
     base = _cover_masks(places.join(cases.select("case_id", "radius_km"), "case_id"), "radius_km")
     base = base.join(cases.select("case_id", "centers"), "case_id").withColumn("centers", size)
-    tried = _subsets(base, F.bit_count("_subset") == F.col("centers"))
+    tried = _subsets(base, F.col("centers"))
     scored = tried.withColumn("people_covered", _population(F.col("population"), _union_mask(F.col("masks"), F.col("chosen"))))
-    # One aggregate keeps the best value, how often it occurs, and its first combination.
+    # One aggregate keeps every value, how often it occurs, and its first combination.
     by_value = scored.groupBy("case_id", "people_covered").agg(
-        F.count(F.lit(1)).alias("optimal_solution_count"), F.min("chosen").alias("chosen"), F.first("names").alias("names")
+        F.count(F.lit(1)).alias("optimal_solution_count"),
+        F.min_by("chosen", "combination").alias("chosen"), F.first("names").alias("names"),
     )
     best = by_value.groupBy("case_id").agg(F.max_by(F.struct("people_covered", "optimal_solution_count", "chosen", "names"), "people_covered").alias("b"))
     return best.select(
@@ -143,27 +147,35 @@ def solve_max_coverage(places: DataFrame, cases: DataFrame) -> DataFrame:
 def solve_minimum_facility(places: DataFrame, cases: DataFrame) -> DataFrame:
     """Fewest places that reach the target share of population; first optimum and number of optima.
 
-    ``cases``: case_id, target_percent, radius_km. The people covered are those of the first optimum.
+    ``cases``: case_id, target_percent, radius_km. Sizes are tried in turn, each only for the cases
+    not solved yet. The people covered are those of the first optimum.
     """
     base = _cover_masks(places.join(cases.select("case_id", "radius_km"), "case_id"), "radius_km")
     total = F.aggregate("population", F.lit(0).cast("bigint"), lambda a, b: a + b)
     base = base.join(cases.select("case_id", "target_percent"), "case_id").withColumn(
         "target_population", F.ceil(total * F.col("target_percent") / 100).cast("bigint")
     )
-    tried = _subsets(base, F.lit(True))
-    scored = tried.withColumn("people_covered", _population(F.col("population"), _union_mask(F.col("masks"), F.col("chosen"))))
-    enough = scored.filter(F.col("people_covered") >= F.col("target_population"))
-    by_size = enough.groupBy("case_id", F.size("chosen").alias("minimum_centers")).agg(
-        F.count(F.lit(1)).alias("optimal_solution_count"),
-        F.min(F.struct("chosen", "people_covered")).alias("_first"), F.first("names").alias("names"), F.first("target_population").alias("target_population"),
-    )
-    best = by_size.groupBy("case_id").agg(
-        F.min_by(F.struct("minimum_centers", "optimal_solution_count", "_first", "names", "target_population"), "minimum_centers").alias("b")
-    )
-    return best.select(
-        "case_id", "b.minimum_centers", F.col("b._first.people_covered").alias("people_covered"), "b.target_population",
-        "b.optimal_solution_count", F.transform("b._first.chosen", lambda i: F.get("b.names", i)).alias("center_locations"),
-    )
+    pending = cut_lineage(base)
+    largest = pending.agg(F.max("n")).first()[0] or 0
+    solved = None
+    for size in range(1, largest + 1):
+        tried = _subsets(pending, F.lit(size))
+        scored = tried.withColumn("people_covered", _population(F.col("population"), _union_mask(F.col("masks"), F.col("chosen"))))
+        found = scored.filter(F.col("people_covered") >= F.col("target_population")).groupBy("case_id").agg(
+            F.count(F.lit(1)).alias("optimal_solution_count"),
+            F.min_by(F.struct("chosen", "people_covered", "names", "target_population"), "combination").alias("b"),
+        )
+        found = cut_lineage(found.select(
+            "case_id", F.lit(size).alias("minimum_centers"), "b.people_covered", "b.target_population", "optimal_solution_count",
+            F.transform("b.chosen", lambda i: F.get("b.names", i)).alias("center_locations"),
+        ))
+        solved = found if solved is None else solved.unionByName(found)
+        pending = cut_lineage(pending.join(found.select("case_id"), "case_id", "left_anti"))
+        if pending.isEmpty():
+            break
+    if solved is None:
+        raise ValueError("no cases to solve")
+    return solved
 
 
 def covered_population(places: DataFrame, chosen: DataFrame, radius: str = "radius_km") -> DataFrame:
@@ -224,8 +236,6 @@ def grader_timeline(candidates: DataFrame, keys: list[str], order: str, baseline
 
     ``candidates``: keys, order, source, comparator.
     """
-    from siteplan.operators.ordered import running
-
     state = F.struct("comparator", (F.col("source") != baseline).cast("int").alias("own"))
     scanned = running(candidates, keys, [order], {"_best": ("max", state)}, inclusive=False)
     equal = F.col("comparator") == F.col("_best.comparator")

@@ -12,22 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteplan.functions import geo
+from siteplan.functions.arrays import choose, combination_at, pair_at
 from siteplan.functions.text import descending_code_points
 from siteplan.operators.ordered import positions, running
 from siteplan.plans import scoring as s
 from siteplan.plans.scorecards import score_plans
 from siteplan.session import cut_lineage
 
-BIG = 4.0e18
-
-
-def choose(n: Column, k: Column) -> Column:
-    """Binomial coefficient as a DOUBLE (exact up to 2^53); 0 outside 0 <= k <= n."""
-    steps = F.sequence(F.lit(1), F.greatest(k, F.lit(1)))
-    product = F.aggregate(steps, F.lit(1.0), lambda acc, i: F.round(acc * (n - k + i) / i))
-    return F.when((k < 0) | (k > n), 0.0).when(k == 0, 1.0).otherwise(F.least(product, F.lit(BIG)))
-
-
 def ranked_sites(ev: s.Evidence, order: str = "ord") -> DataFrame:
     """Sites with ``rank``: 0-based position among the selectable (eligible, not existing) sites."""
     free = ev.sites.filter("eligible and not existing")
@@ -49,15 +40,6 @@ def _plan_arrays(plans: DataFrame, plan_sites: DataFrame, problems: DataFrame, s
     return packed.join(sizes, "evidence_id")
 
 
-def _pair_at(index: Column, n: Column) -> tuple[Column, Column]:
-    """The ``index``-th pair (a, b), a < b, of range(n) in lexicographic order."""
-    width = n * 2 - 1
-    guess = F.floor((width - F.sqrt(width * width - index * 8)) / 2)
-    start = lambda a: a * (width - a) / 2
-    a = F.when(start(guess) > index, guess - 1).when(start(guess + 1) <= index, guess + 1).otherwise(guess)
-    return a.cast("bigint"), (index - start(a) + a + 1).cast("bigint")
-
-
 def neighborhood_sizes(plans: DataFrame, plan_sites: DataFrame, problems: DataFrame, ev: s.Evidence, multi: bool = False, order: str = "ord") -> DataFrame:
     """``plan_id, total``: additions, swaps and, with ``multi``, double swaps."""
     arrays = _plan_arrays(plans, plan_sites, problems, ranked_sites(ev, order), order)
@@ -92,8 +74,8 @@ def neighbors(
     swap_at, double_at = at - n, at - n - r * n
     n_pairs = (n * (n - 1) / 2).cast("bigint")
     is_add, is_swap = at < n, (at >= n) & (at < n + r * n)
-    out_pair = _pair_at(F.floor(double_at / F.greatest(n_pairs, F.lit(1))), r)
-    in_pair = _pair_at(double_at % F.greatest(n_pairs, F.lit(1)), n)
+    out_pair = pair_at(F.floor(double_at / F.greatest(n_pairs, F.lit(1))), r)
+    in_pair = pair_at(double_at % F.greatest(n_pairs, F.lit(1)), n)
     rows = rows.withColumns(
         {
             "_out1": F.when(is_swap, F.floor(swap_at / F.greatest(n, F.lit(1)))).when(~is_add, out_pair[0]),
@@ -173,24 +155,7 @@ def enumerate_plans(problems: DataFrame, ev: s.Evidence, cap: int, order: str =
     rows = rows.withColumn("_s", F.explode("_sizes")).filter(F.col("_s.before") < cap)
     count = F.least(F.col("_s.count"), F.lit(float(cap)) - F.col("_s.before")).cast("bigint")
     rows = rows.withColumn("_index", F.explode(F.sequence(F.lit(0).cast("bigint"), count - 1)))
-    n = F.col("free_sites")
-    seed = F.struct(
-        F.col("_index").cast("double").alias("k"), F.col("_s.size").alias("left"), F.array().cast("array<bigint>").alias("picked")
-    )
-
-    def step(state: Column, x: Column) -> Column:
-        block = choose(n - x - 1, state["left"] - 1)
-        take = (state["left"] > 0) & (state["k"] < block)
-        return (
-            F.when(state["left"] == 0, state)
-            .when(take, F.struct(state["k"].alias("k"), (state["left"] - 1).alias("left"), F.concat(state["picked"], F.array(x)).alias("picked")))
-            .otherwise(F.struct((state["k"] - block).alias("k"), state["left"].alias("left"), state["picked"].alias("picked")))
-        )
-
-    empty = F.array().cast("array<bigint>")
-    picks = F.when(F.col("_s.size") == 0, empty).otherwise(
-        F.aggregate(F.sequence(F.lit(0).cast("bigint"), n - 1), seed, step, lambda st: st["picked"])
-    )
+    picks = combination_at(F.col("free_sites"), F.col("_s.size"), F.col("_index"))
     rows = rows.select(
         "problem_id", "evidence_id", (F.col("_s.before").cast("bigint") + F.col("_index")).alias("ordinal"),
         F.col("total").cast("bigint").alias("total"), picks.alias("ranks"),
