@@ -117,7 +117,7 @@ def _totals(weights: DataFrame) -> DataFrame:
 
 def _keyed(plan_sites: DataFrame, plans: DataFrame, problems: DataFrame) -> DataFrame:
     keys = plans.join(problems.select("problem_id", "evidence_id"), "problem_id")
-    return plan_sites.select("plan_id", "site_id").join(keys, "plan_id").dropDuplicates(["plan_id", "site_id"])
+    return plan_sites.select("plan_id", "site_id").distinct().join(keys, "plan_id")
 
 
 def _reach(selected: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -141,7 +141,8 @@ def _plan_frame(plans: DataFrame, problems: DataFrame, totals: DataFrame, ev: Ev
 def _fold_scenarios(value: str, worst=F.min) -> Column:
     """Expected (scenario-weighted) or worst-case value of a plan over its scenarios."""
     mean = F.try_divide(F.sum(F.col(value) * F.col("scenario_weight")), F.sum("scenario_weight"))
-    return F.when(F.first("aggregation") == "worst_case", worst(value)).otherwise(mean)
+    # A flag, not the text, so that the aggregate stays a hash aggregate.
+    return F.when(F.bool_or(F.coalesce(F.col("aggregation") == "worst_case", F.lit(False))), worst(value)).otherwise(mean)
 
 
 def _mean(total: Column, weight: Column) -> Column:
@@ -153,8 +154,9 @@ def coverage(plan_sites: DataFrame, plans: DataFrame, problems: DataFrame, ev: E
     weights = demand_weights(ev)
     pairs = _available(ev.service, ev).filter(F.col("benefit") > 0).join(weights, ["evidence_id", "scenario", "demand_id"])
     reached = _reach(_keyed(plan_sites, plans, problems), pairs)
-    return reached.groupBy("plan_id", "scenario", "demand_id").agg(
-        F.max("benefit").alias("coverage"), F.first("weight").alias("weight"), F.first("shares").alias("shares")
+    # The shares depend on the demand alone; as a key they keep this a hash aggregate.
+    return reached.groupBy("plan_id", "scenario", "demand_id", "shares").agg(
+        F.max("benefit").alias("coverage"), F.max("weight").alias("weight")
     )
 
 
@@ -173,7 +175,7 @@ def coverage_metrics(plan_sites: DataFrame, plans: DataFrame, problems: DataFram
     """``plan_id, group_name, coverage, demand`` folded over scenarios."""
     by_scenario = coverage_by_scenario(plan_sites, plans, problems, ev)
     return by_scenario.groupBy("plan_id", "group_name").agg(
-        _fold_scenarios("coverage").alias("coverage"), F.first("demand").alias("demand")
+        _fold_scenarios("coverage").alias("coverage"), F.max("demand").alias("demand")
     )
 
 
@@ -183,8 +185,8 @@ def access_by_scenario(plan_sites: DataFrame, plans: DataFrame, problems: DataFr
     finite = F.col("access") < float("inf")
     pairs = _available(ev.access, ev).filter(finite).join(weights, ["evidence_id", "scenario", "demand_id"])
     reached = _reach(_keyed(plan_sites, plans, problems), pairs)
-    nearest = reached.groupBy("plan_id", "problem_id", "scenario", "demand_id").agg(
-        F.min("access").alias("nearest"), F.first("weight").alias("weight"), F.first("shares").alias("shares")
+    nearest = reached.groupBy("plan_id", "problem_id", "scenario", "demand_id", "shares").agg(
+        F.min("access").alias("nearest"), F.max("weight").alias("weight")
     )
     spread = nearest.withColumn("g", F.explode("shares")).select(
         "plan_id", "problem_id", "scenario", F.col("g.group_name").alias("group_name"), "nearest",
@@ -215,7 +217,7 @@ def access_metrics(plan_sites: DataFrame, plans: DataFrame, problems: DataFrame,
     by_scenario = access_by_scenario(plan_sites, plans, problems, ev)
     return by_scenario.groupBy("plan_id", "group_name").agg(
         *[_fold_scenarios(m, F.max).alias(m) for m in ("average_access", "maximum_access", "quantile_access")],
-        F.first("demand").alias("demand"),
+        F.max("demand").alias("demand"),
         F.max("unserved_rows").alias("unserved_rows"),
     )
 
@@ -232,11 +234,10 @@ def resilience_by_site(plan_sites: DataFrame, plans: DataFrame, problems: DataFr
     reached = _reach(selected, pairs)
     by_demand = Window.partitionBy("plan_id", "scenario", "demand_id").orderBy(F.desc("benefit"), "site_id")
     top = reached.withColumn("_rank", F.row_number().over(by_demand)).filter("_rank <= 2")
-    gaps = top.groupBy("plan_id", "scenario", "demand_id").agg(
+    gaps = top.groupBy("plan_id", "scenario", "demand_id", "shares").agg(
         F.max(F.when(F.col("_rank") == 1, F.col("site_id"))).alias("site_id"),
         (F.max("benefit") - F.coalesce(F.max(F.when(F.col("_rank") == 2, F.col("benefit"))), F.lit(0.0))).alias("gap"),
-        F.first("weight").alias("weight"),
-        F.first("shares").alias("shares"),
+        F.max("weight").alias("weight"),
     )
     losses = gaps.withColumn("g", F.explode("shares")).groupBy(
         "plan_id", "site_id", "scenario", F.col("g.group_name").alias("group_name")
@@ -253,9 +254,8 @@ def redundancy_metrics(plan_sites: DataFrame, plans: DataFrame, problems: DataFr
     weights = demand_weights(ev)
     pairs = ev.service.filter(F.col("benefit") > 0).join(weights, ["evidence_id", "scenario", "demand_id"])
     selected = _keyed(plan_sites, plans, problems).join(problems.select("problem_id", "redundancy"), "problem_id")
-    counts = _reach(selected, pairs).groupBy("plan_id", "scenario", "demand_id").agg(
-        F.count(F.lit(1)).alias("n"), F.first("redundancy").alias("redundancy"),
-        F.first("need").alias("need"), F.first("shares").alias("shares"),
+    counts = _reach(selected, pairs).groupBy("plan_id", "scenario", "demand_id", "shares").agg(
+        F.count(F.lit(1)).alias("n"), F.max("redundancy").alias("redundancy"), F.max("need").alias("need")
     )
     enough = counts.filter(F.col("n") >= F.col("redundancy")).withColumn("g", F.explode("shares"))
     sums = enough.groupBy("plan_id", "scenario", F.col("g.group_name").alias("group_name")).agg(
@@ -285,7 +285,7 @@ def allocation_metrics(allocations: DataFrame, plans: DataFrame, problems: DataF
     base = ev.access.groupBy("evidence_id", "demand_id", "site_id").agg(
         F.min_by("access", F.struct((F.col("scenario") != "base"), "scenario")).alias("access")
     )
-    first = demand_weights(ev).groupBy("evidence_id", "demand_id").agg(F.first("need").alias("need"), F.first("shares").alias("shares"))
+    first = demand_weights(ev).groupBy("evidence_id", "demand_id", "shares").agg(F.max("need").alias("need"))
     arcs = allocations.join(keys, "plan_id").join(first, ["evidence_id", "demand_id"])
     arcs = arcs.join(ev.sites.select("evidence_id", "site_id"), ["evidence_id", "site_id"], "left_semi")
     arcs = arcs.filter(~F.isnan("amount") & (F.abs("amount") < float("inf")))

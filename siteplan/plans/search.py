@@ -214,12 +214,16 @@ def improve(
     else:
         raise ValueError(f"unknown strategy {strategy}")
     found = cut_lineage(found)
-    listed = cut_lineage(listed.join(found.select("plan_id"), "plan_id", "left_semi"))
-    scores = score_plans(problems, found.select("plan_id", "problem_id"), listed, ev, floors=floors, families=families)
-    scores = scores.join(found.select("plan_id", "parent_id", "ordinal"), "plan_id")
-    current = score_plans(problems, plans, plan_sites, ev, floors=floors, families=families)
-    current = current.withColumns({"parent_id": F.col("plan_id"), "ordinal": F.lit(-1).cast("bigint")})
-    timeline = incumbent_timeline(scores.unionByName(current), ["parent_id"], "ordinal")
+    listed = listed.join(found.select("plan_id"), "plan_id", "left_semi")
+    # The current plans are scored with their neighbours, as ordinal -1.
+    current = plans.select(
+        F.col("plan_id").cast("string"), "problem_id", F.col("plan_id").cast("string").alias("parent_id"), F.lit(-1).cast("bigint").alias("ordinal")
+    )
+    together = found.select("plan_id", "problem_id", F.col("parent_id").cast("string"), "ordinal").unionByName(current)
+    rows = listed.select("plan_id", "site_id").unionByName(plan_sites.select(F.col("plan_id").cast("string"), "site_id"))
+    scores = score_plans(problems, together.select("plan_id", "problem_id"), rows, ev, floors=floors, families=families)
+    scores = scores.join(together.select("plan_id", "parent_id", "ordinal"), "plan_id")
+    timeline = incumbent_timeline(scores, ["parent_id"], "ordinal")
     status = found.groupBy("parent_id").agg(F.count(F.lit(1)).alias("evaluated"), F.first("total").alias("total"))
     done = F.lit(start) + F.col("evaluated") >= F.col("total")
     status = status.withColumns(
@@ -285,7 +289,7 @@ def greedy_coverage(problems: DataFrame, ev: s.Evidence, max_rounds: int) -> Dat
     existing = known.select("problem_id", "evidence_id").join(ev.sites.filter("existing").select("evidence_id", "site_id"), "evidence_id")
     chosen = cut_lineage(existing.withColumn("step", F.lit(0)))
     served = chosen.join(pairs, ["evidence_id", "site_id"]).groupBy("problem_id", "scenario", "demand_id").agg(
-        F.max("benefit").alias("best"), F.first("weight").alias("weight")
+        F.max("benefit").alias("best"), F.max("weight").alias("weight")
     )
     served = cut_lineage(served)
     active = known
@@ -308,7 +312,7 @@ def greedy_coverage(problems: DataFrame, ev: s.Evidence, max_rounds: int) -> Dat
         tried = options.join(by_scenario.drop("evidence_id"), "problem_id").join(gains, ["problem_id", "site_id", "scenario"], "left")
         tried = tried.withColumn("coverage", s._mean(F.col("covered") + F.coalesce("gain", F.lit(0.0)), F.col("scenario_total")))
         tried = tried.groupBy("problem_id", "evidence_id", "site_id").agg(
-            s._fold_scenarios("coverage").alias("coverage"), F.first("opening_cost").alias("opening_cost")
+            s._fold_scenarios("coverage").alias("coverage"), F.max("opening_cost").alias("opening_cost")
         ).join(state.select("problem_id", "family", "current", "coverage_target"), "problem_id")
         # Coverage is compared at the tolerance, so sums added in another order cannot split a tie.
         level = F.round("coverage", 9)
@@ -331,7 +335,7 @@ def greedy_coverage(problems: DataFrame, ev: s.Evidence, max_rounds: int) -> Dat
         chosen = cut_lineage(chosen.unionByName(added, allowMissingColumns=True))
         fresh = added.join(pairs, ["evidence_id", "site_id"]).select("problem_id", "scenario", "demand_id", F.col("benefit").alias("best"), "weight")
         served = cut_lineage(
-            served.unionByName(fresh).groupBy("problem_id", "scenario", "demand_id").agg(F.max("best").alias("best"), F.first("weight").alias("weight"))
+            served.unionByName(fresh).groupBy("problem_id", "scenario", "demand_id").agg(F.max("best").alias("best"), F.max("weight").alias("weight"))
         )
         active = known.join(pick.select("problem_id"), "problem_id", "left_semi")
     return chosen.select("problem_id", "site_id", "step")

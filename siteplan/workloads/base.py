@@ -12,8 +12,15 @@ SERVICE_KM = 500.0
 REACH_KM = 1500.0
 
 
+_READ: dict[tuple[int, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """Scan of one table; the schema is read from the footer once per session."""
+    key = (id(spark), f"{sf}/{name}.parquet")
+    if key not in _READ or _READ[key].sparkSession is not spark:
+        _READ[key] = spark.read.parquet(key[1])
+    return _READ[key]
 
 
 def _lon(key: Column, factor: int) -> Column:

@@ -602,15 +602,15 @@ def improvement_pass(spark, sf):
     problems, ev = _nation_problems(spark, sf)
     ev = s.Evidence(ev.demand, ev.sites.withColumn("existing", F.lit(False)), ev.service, ev.scenarios)
     first = ev.sites.groupBy("evidence_id").agg(F.min("site_id").alias("site_id"))
-    plans = first.select(F.col("evidence_id").alias("plan_id"), F.col("evidence_id").alias("problem_id"))
-    rows = first.select(F.col("evidence_id").alias("plan_id"), "site_id").withColumn("ord", F.lit(0))
+    name = F.col("evidence_id").cast("string").alias("plan_id")
+    plans, rows = first.select(name, F.col("evidence_id").alias("problem_id")), first.select(name, "site_id")
     better, _ = search.improve(problems, plans, rows, ev, families=("max_weighted_coverage",))
     return better.select("parent_id", "ordinal", "plan_id", F.round("coverage", 9).alias("coverage"), "opening_cost")
 
 
 @query(
     "greedy_tie_order",
-    "SELECT p_partkey AS id, CAST(row_number() OVER (ORDER BY p_size DESC, list_transform(string_split(p_name, ''), c -> -unicode(c)) || [1000000] DESC, p_partkey) AS BIGINT) AS place FROM part",
+    "SELECT p_partkey AS id, CAST(row_number() OVER (ORDER BY p_size DESC, list_transform(string_split(p_name, ''), lambda c: -unicode(c)) || [1000000] DESC, p_partkey) AS BIGINT) AS place FROM part",
 )
 def greedy_tie_order(spark, sf):
     """Greedy tie-break order of all parts: larger size first, then smaller names, longer of a prefix pair first."""
