@@ -72,7 +72,7 @@ def audit_catalog(catalog: DataFrame, metadata: str = "metadata") -> DataFrame:
         F.every(F.col("privacy") == "public").alias("all_public"),
         F.every(filled("source_uri") & filled("source_provider") & filled("source_version")).alias("all_sources_attributed"),
         F.every(filled("license")).alias("all_licenses_declared"),
-        ~F.bool_or(F.coalesce(has_sensitive_json_key(metadata), F.lit(False))).alias("no_sensitive_metadata_keys"),
+        F.every(~F.coalesce(has_sensitive_json_key(metadata), F.lit(False))).alias("no_sensitive_metadata_keys"),
     )
 
 

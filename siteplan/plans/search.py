@@ -210,11 +210,13 @@ def improve(
         found = found.filter(F.col("ordinal") >= start).join(plans.select("problem_id", F.col("plan_id").alias("parent_id")), "problem_id")
     elif strategy in ("add_swap", "multi_swap", "scenario_aware"):
         found, listed = neighbors(plans, plan_sites, problems, ev, strategy == "multi_swap", start, limit, order)
-        found = found.drop("sites")
     else:
         raise ValueError(f"unknown strategy {strategy}")
     found = cut_lineage(found)
-    listed = listed.join(found.select("plan_id"), "plan_id", "left_semi")
+    if "sites" in found.columns:
+        listed = found.select("plan_id", F.explode("sites").alias("site_id"))
+    else:
+        listed = cut_lineage(listed.join(found.select("plan_id"), "plan_id", "left_semi"))
     # The current plans are scored with their neighbours, as ordinal -1.
     current = plans.select(
         F.col("plan_id").cast("string"), "problem_id", F.col("plan_id").cast("string").alias("parent_id"), F.lit(-1).cast("bigint").alias("ordinal")

@@ -254,7 +254,7 @@ def embedding_cells(spark, sf):
 
 @query(
     "folded_lines",
-    "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_quantity + l_discount + l_tax, 6) AS added, round(l_quantity - l_discount - l_tax, 6) AS subtracted, round(l_quantity * l_discount * l_tax, 6) AS multiplied, round(l_extendedprice / l_quantity / 3, 6) AS divided FROM lineitem",
+    "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_quantity + l_discount + l_tax, 6) AS added, round(l_quantity - l_discount - l_tax, 6) AS subtracted, round(l_quantity * l_discount * l_tax, 6) AS multiplied, round(l_extendedprice / l_quantity / 3, 9) AS divided FROM lineitem",
 )
 def folded_lines(spark, sf):
     from siteplan.functions.text import fold_numbers
@@ -264,7 +264,7 @@ def folded_lines(spark, sf):
     return table(spark, sf, "lineitem").select(
         *keys, F.round(fold_numbers("add", three), 6).alias("added"), F.round(fold_numbers("subtract", three), 6).alias("subtracted"),
         F.round(fold_numbers("multiply", three), 6).alias("multiplied"),
-        F.round(fold_numbers("divide", F.array(F.col("l_extendedprice"), F.col("l_quantity"), F.lit(3.0))), 6).alias("divided"),
+        F.round(fold_numbers("divide", F.array(F.col("l_extendedprice"), F.col("l_quantity"), F.lit(3.0))), 9).alias("divided"),
     )
 
 

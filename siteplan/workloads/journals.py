@@ -18,7 +18,7 @@ from siteplan.workloads.base import table
 JOURNAL_SQL = """j0 AS (SELECT user_id, event_id, event_type, value, props, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS sequence FROM events),
 j AS (SELECT CAST(user_id AS VARCHAR) AS run_id, sequence, event_id, value, ts,
   CASE event_type WHEN 'view' THEN 'tool_started' WHEN 'click' THEN 'tool_completed' WHEN 'error' THEN 'tool_failed' WHEN 'purchase' THEN 'incumbent_committed' ELSE 'candidate_rejected' END AS kind,
-  CAST(epoch_ms(ts) AS BIGINT) AS ms, 'a' || CAST(event_id % 2 AS VARCHAR) AS action_id, CAST(1 AS BIGINT) AS gen, 't' || CAST(event_id % 5 AS VARCHAR) AS tool,
+  CAST(epoch_us(ts) // 1000 AS BIGINT) AS ms, 'a' || CAST(event_id % 2 AS VARCHAR) AS action_id, CAST(1 AS BIGINT) AS gen, 't' || CAST(event_id % 5 AS VARCHAR) AS tool,
   CASE WHEN event_id % 3 = 0 THEN 'validation_failed' ELSE 'not_better' END AS reason, CAST(sequence * 10 AS BIGINT) AS tokens FROM j0)"""
 
 
