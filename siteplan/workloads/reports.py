@@ -47,12 +47,12 @@ def run_summary(spark, sf):
     with_sql(
         RUN_SQL,
         "d AS (SELECT a.instance_id, a.budget_id, a.runtime_key, a.comparison AS contender, a.quality - b.quality AS d FROM run a JOIN run b ON a.pair_id = b.pair_id AND a.runtime_key = b.runtime_key WHERE a.feasible AND b.feasible AND b.comparison = 'deterministic_portfolio' AND a.comparison IN ('one_shot', 'iterative'))",
-        body="SELECT instance_id, budget_id, runtime_key, contender, count(*) AS pairs, round(avg(d), 6) AS delta_mean, round(CASE WHEN count(*) > 1 THEN var_samp(d) END, 4) AS delta_variance FROM d GROUP BY ALL",
+        body="SELECT instance_id, budget_id, runtime_key, contender, count(*) AS pairs, round(avg(d), 10) AS delta_mean, round(CASE WHEN count(*) > 1 THEN var_samp(d) END, 4) AS delta_variance FROM d GROUP BY ALL",
     ),
 )
 def paired_differences(spark, sf):
     found = evaluation.paired_deltas(runs(spark, sf)).drop("delta_ci95")
-    return found.withColumns({"delta_mean": F.round("delta_mean", 6), "delta_variance": F.round("delta_variance", 4)})
+    return found.withColumns({"delta_mean": F.round("delta_mean", 10), "delta_variance": F.round("delta_variance", 4)})
 
 
 @query(
@@ -154,7 +154,8 @@ def nested_metric_means(spark, sf):
 
 @query(
     "flattened_metrics",
-    """SELECT l_returnflag, l_linestatus, metric, round(value, 4) AS value FROM (SELECT l_returnflag, l_linestatus, UNNEST(['price', 'quantity']) AS metric, UNNEST([sum(l_extendedprice), sum(l_quantity)]) AS value FROM lineitem GROUP BY ALL)""",
+    """SELECT l_returnflag, l_linestatus, 'price' AS metric, round(sum(l_extendedprice), 4) AS value FROM lineitem GROUP BY ALL
+UNION ALL SELECT l_returnflag, l_linestatus, 'quantity', round(sum(l_quantity), 4) FROM lineitem GROUP BY ALL""",
 )
 def flattened_metrics(spark, sf):
     """Metric maps to long form and back."""
@@ -244,4 +245,4 @@ def ranked_candidates(spark, sf):
 @query("price_positions", "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS position FROM orders")
 def price_positions(spark, sf):
     """Rank of every order by price over the whole table, without a single-task window."""
-    return ordered.positions(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), [], ["o_totalprice", "o_orderkey"])
+    return ordered.positions(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), [], ["o_totalprice", "o_orderkey"]).drop("o_totalprice")

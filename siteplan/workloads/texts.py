@@ -104,7 +104,7 @@ def selection_digests(spark, sf):
 
 @query(
     "budget_lists",
-    """SELECT o_orderkey, CAST(o_orderkey % 90 + 1 AS DOUBLE) AS t1, round((o_custkey % 900 + 100) * 0.001, 9) AS t2, (o_custkey % 9 + 2) * 3600.0::DOUBLE AS t3, 4 AS n_times, CAST((o_orderkey % 64 + 1) * 1000 AS BIGINT) AS k1, CAST(o_custkey * 1000 + 1234567 AS BIGINT) AS k2, 3 AS n_tokens FROM orders""",
+    """SELECT o_orderkey, CAST(o_orderkey % 90 + 1 AS DOUBLE) AS t1, round((o_custkey % 900 + 100) * 0.001::DOUBLE, 9) AS t2, (o_custkey % 9 + 2) * 3600.0::DOUBLE AS t3, 4 AS n_times, CAST((o_orderkey % 64 + 1) * 1000 AS BIGINT) AS k1, CAST(o_custkey * 1000 + 1234567 AS BIGINT) AS k2, 3 AS n_tokens FROM orders""",
 )
 def budget_lists(spark, sf):
     """Time and token budget lists in their written forms; repeats fall away."""
@@ -144,17 +144,17 @@ def json_values(spark, sf):
     "routing_response_cells",
     with_sql(
         SITE,
-        body="""SELECT a.nation, CAST(a.site_id AS VARCHAR) AS origin_id, CAST(b.site_id AS VARCHAR) AS destination_id, CASE WHEN (a.site_id + b.site_id) % 4 = 3 THEN -1.0 ELSE (a.site_id * 3 + b.site_id)::DOUBLE END AS travel, 'meters' AS units
-FROM site a JOIN site b USING (nation)""",
+        body="""SELECT a.site_id // 8 AS block, CAST(a.site_id AS VARCHAR) AS origin_id, CAST(b.site_id AS VARCHAR) AS destination_id, CASE WHEN (a.site_id + b.site_id) % 4 = 3 THEN -1.0 ELSE (a.site_id * 3 + b.site_id)::DOUBLE END AS travel, 'meters' AS units
+FROM site a JOIN site b ON a.site_id // 8 = b.site_id // 8""",
     ),
 )
 def routing_response_cells(spark, sf):
-    """Routing-table responses, one per nation; unreachable cells (shown as -1) are Infinity."""
-    packed = site(spark, sf).groupBy("nation").agg(F.array_sort(F.collect_list("site_id")).alias("ids"))
+    """Routing-table responses for blocks of eight suppliers; unreachable cells (shown as -1) are Infinity."""
+    packed = site(spark, sf).groupBy(F.floor(F.col("site_id") / 8).alias("block")).agg(F.array_sort(F.collect_list("site_id")).alias("ids"))
     cell = lambda a, b: F.when((a + b) % 4 != 3, (a * 3 + b).cast("double"))
     values = F.transform("ids", lambda a: F.transform("ids", lambda b: cell(a, b)))
     body = F.to_json(F.struct(F.lit("Ok").alias("code"), values.alias("distances")))
-    responses = packed.select("nation", F.transform("ids", lambda v: v.cast("string")).alias("s"), F.transform("ids", lambda v: v.cast("string")).alias("d"), body.alias("json"))
+    responses = packed.select("block", F.transform("ids", lambda v: v.cast("string")).alias("s"), F.transform("ids", lambda v: v.cast("string")).alias("d"), body.alias("json"))
     found = parsers.parse_route_table(responses, "json", "s", "d", "distance")
     return found.withColumn("travel", F.when(F.col("travel") == float("inf"), -1.0).otherwise(F.col("travel")))
 
@@ -163,8 +163,8 @@ def routing_response_cells(spark, sf):
     "geocoder_answers",
     with_sql(
         DEMAND,
-        "r AS (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY demand_id % 5 = 0, CASE WHEN demand_id % 5 <> 0 THEN need END DESC, demand_id) AS rank FROM demand)",
-        body="SELECT CAST(nation AS VARCHAR) AS query, rank, 'node:' || CAST(demand_id AS VARCHAR) AS provider_id, lon AS longitude, lat - 1 AS south, lon + 1 AS east FROM r WHERE rank <= 10",
+        "r AS (SELECT *, row_number() OVER (PARTITION BY demand_id // 40 ORDER BY demand_id % 5 = 0, CASE WHEN demand_id % 5 <> 0 THEN need END DESC, demand_id) AS rank FROM demand)",
+        body="SELECT CAST(demand_id // 40 AS VARCHAR) AS query, rank, 'node:' || CAST(demand_id AS VARCHAR) AS provider_id, lon AS longitude, lat - 1 AS south, lon + 1 AS east FROM r WHERE rank <= 10",
     ),
 )
 def geocoder_answers(spark, sf):
@@ -174,9 +174,9 @@ def geocoder_answers(spark, sf):
         F.array((F.col("lat") - 1).cast("string"), (F.col("lat") + 1).cast("string"), (F.col("lon") - 1).cast("string"), (F.col("lon") + 1).cast("string")).alias("boundingbox"),
         F.when(F.col("demand_id") % 5 != 0, F.col("need")).alias("importance"),
     )
-    # One response per nation and page of 50 places; the response order is the id order.
-    pages = demand(spark, sf).groupBy("nation").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("demand_id", place.alias("p")))), lambda e: e["p"])).alias("json"))
-    found = parsers.parse_geocoder(pages.withColumn("query", F.col("nation").cast("string")), "query", "json", 10)
+    # One response per block of 40 places, in id order.
+    pages = demand(spark, sf).groupBy(F.floor(F.col("demand_id") / 40).cast("string").alias("query")).agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("demand_id", place.alias("p")))), lambda e: e["p"])).alias("json"))
+    found = parsers.parse_geocoder(pages, "query", "json", 10)
     return found.select("query", "rank", "provider_id", "longitude", "south", "east")
 
 
