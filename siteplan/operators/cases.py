@@ -16,6 +16,8 @@ KEEP_SCORE = 0.35
 RESOLVE_SCORE = 0.72
 RESOLVE_MARGIN = 0.03
 RADIUS_SLACK = 1e-9
+# Cases up to this many places are enumerated by bit mask.
+BITS = 14
 SALT = 8
 
 
@@ -112,12 +114,25 @@ def _population(population: Column, mask: Column) -> Column:
 
 
 def _subsets(cases: DataFrame, size: Column) -> DataFrame:
-    """Every ``size``-subset of each case's places as an ascending index array, in combination order."""
+    """Every ``size``-subset of each case's places as an ascending index array.
+
+    Small cases run over the bit masks of all their subsets; larger ones address the subsets of
+    the one size by number, so their rows never exceed the subsets asked for.
+    """
+    one = F.lit(1).cast("bigint")
+    top = F.call_function("shiftleft", one, F.col("n")) - 1
+    small = cases.filter(F.col("n") <= BITS).withColumn("_subset", F.explode(F.sequence(one, top)))
+    small = small.filter(F.bit_count("_subset") == size)
+    members = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: _bit(F.col("_subset"), i))
     count = choose(F.col("n"), size).cast("bigint")
     indices = F.when(count > 0, F.sequence(F.lit(0).cast("bigint"), count - 1))
-    rows = cases.withColumn("combination", F.explode(indices))
-    chosen = combination_at(F.col("n"), size, F.col("combination"))
-    return rows.withColumn("chosen", F.transform(chosen, lambda i: i.cast("int")))
+    large = cases.filter(F.col("n") > BITS).withColumn("_subset", F.explode(indices))
+    chosen = F.transform(combination_at(F.col("n"), size, F.col("_subset")), lambda i: i.cast("int"))
+    return small.withColumn("chosen", members).unionByName(large.withColumn("chosen", chosen)).drop("_subset")
+
+
+def _covered(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("people_covered", _population(F.col("population"), _union_mask(F.col("masks"), F.col("chosen"))))
 
 
 def solve_max_coverage(places: DataFrame, cases: DataFrame) -> DataFrame:
@@ -130,52 +145,58 @@ def solve_max_coverage(places: DataFrame, cases: DataFrame) -> DataFrame:
     )
     base = _cover_masks(places.join(cases.select("case_id", "radius_km"), "case_id"), "radius_km")
     base = base.join(cases.select("case_id", "centers"), "case_id").withColumn("centers", size)
-    tried = _subsets(base, F.col("centers"))
-    scored = tried.withColumn("people_covered", _population(F.col("population"), _union_mask(F.col("masks"), F.col("chosen"))))
+    scored = _covered(_subsets(base, F.col("centers"))).select("case_id", "people_covered", "chosen")
     # One aggregate keeps every value, how often it occurs, and its first combination.
     by_value = scored.groupBy("case_id", "people_covered").agg(
-        F.count(F.lit(1)).alias("optimal_solution_count"),
-        F.min_by("chosen", "combination").alias("chosen"), F.first("names").alias("names"),
+        F.count(F.lit(1)).alias("optimal_solution_count"), F.min("chosen").alias("chosen")
     )
-    best = by_value.groupBy("case_id").agg(F.max_by(F.struct("people_covered", "optimal_solution_count", "chosen", "names"), "people_covered").alias("b"))
-    return best.select(
-        "case_id", "b.people_covered", "b.optimal_solution_count",
-        F.transform("b.chosen", lambda i: F.get("b.names", i)).alias("center_locations"),
+    best = by_value.groupBy("case_id").agg(F.max_by(F.struct("people_covered", "optimal_solution_count", "chosen"), "people_covered").alias("b"))
+    named = best.join(base.select("case_id", "names"), "case_id")
+    return named.select(
+        "case_id", "b.people_covered", "b.optimal_solution_count", F.transform("b.chosen", lambda i: F.get("names", i)).alias("center_locations")
     )
 
 
 def solve_minimum_facility(places: DataFrame, cases: DataFrame) -> DataFrame:
     """Fewest places that reach the target share of population; first optimum and number of optima.
 
-    ``cases``: case_id, target_percent, radius_km. Sizes are tried in turn, each only for the cases
-    not solved yet. The people covered are those of the first optimum.
+    ``cases``: case_id, target_percent, radius_km. Small cases try all sizes at once; for larger ones
+    sizes are tried in turn, each only for the cases not solved yet. The people covered are those of
+    the first optimum.
     """
     base = _cover_masks(places.join(cases.select("case_id", "radius_km"), "case_id"), "radius_km")
     total = F.aggregate("population", F.lit(0).cast("bigint"), lambda a, b: a + b)
-    base = base.join(cases.select("case_id", "target_percent"), "case_id").withColumn(
+    base = cut_lineage(base.join(cases.select("case_id", "target_percent"), "case_id").withColumn(
         "target_population", F.ceil(total * F.col("target_percent") / 100).cast("bigint")
-    )
-    pending = cut_lineage(base)
+    ))
+
+    def first_optima(tried: DataFrame) -> DataFrame:
+        enough = _covered(tried).filter(F.col("people_covered") >= F.col("target_population"))
+        by_size = enough.groupBy("case_id", F.size("chosen").alias("minimum_centers")).agg(
+            F.count(F.lit(1)).alias("optimal_solution_count"), F.min(F.struct("chosen", "people_covered")).alias("b")
+        )
+        return by_size.groupBy("case_id").agg(
+            F.min("minimum_centers").alias("minimum_centers"), F.min_by(F.struct("optimal_solution_count", "b"), "minimum_centers").alias("f")
+        )
+
+    one = F.lit(1).cast("bigint")
+    small = base.filter(F.col("n") <= BITS).withColumn("_subset", F.explode(F.sequence(one, F.call_function("shiftleft", one, F.col("n")) - 1)))
+    members = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: _bit(F.col("_subset"), i))
+    solved = first_optima(small.withColumn("chosen", members))
+    pending = base.filter(F.col("n") > BITS)
     largest = pending.agg(F.max("n")).first()[0] or 0
-    solved = None
     for size in range(1, largest + 1):
-        tried = _subsets(pending, F.lit(size))
-        scored = tried.withColumn("people_covered", _population(F.col("population"), _union_mask(F.col("masks"), F.col("chosen"))))
-        found = scored.filter(F.col("people_covered") >= F.col("target_population")).groupBy("case_id").agg(
-            F.count(F.lit(1)).alias("optimal_solution_count"),
-            F.min_by(F.struct("chosen", "people_covered", "names", "target_population"), "combination").alias("b"),
-        )
-        found = cut_lineage(found.select(
-            "case_id", F.lit(size).alias("minimum_centers"), "b.people_covered", "b.target_population", "optimal_solution_count",
-            F.transform("b.chosen", lambda i: F.get("b.names", i)).alias("center_locations"),
-        ))
-        solved = found if solved is None else solved.unionByName(found)
+        found = cut_lineage(first_optima(_subsets(pending, F.lit(size))))
+        solved = solved.unionByName(found)
         pending = cut_lineage(pending.join(found.select("case_id"), "case_id", "left_anti"))
         if pending.isEmpty():
             break
-    if solved is None:
-        raise ValueError("no cases to solve")
-    return solved
+    named = solved.join(base.select("case_id", "names", "target_population"), "case_id")
+    return named.select(
+        "case_id", "minimum_centers", F.col("f.b.people_covered").alias("people_covered"), "target_population",
+        F.col("f.optimal_solution_count").alias("optimal_solution_count"),
+        F.transform("f.b.chosen", lambda i: F.get("names", i)).alias("center_locations"),
+    )
 
 
 def covered_population(places: DataFrame, chosen: DataFrame, radius: str = "radius_km") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteplan.operators.ordered import following, positions, quantile_ceil, quantile_round, running
+from siteplan.session import cut_lineage
 
 # Event kinds that end a tool call, commit a plan, or come from the model.
 TOOL_ENDS = ("tool_completed", "tool_cancelled", "tool_failed")
@@ -173,7 +174,8 @@ def build_run_records(runs: DataFrame, incumbents: DataFrame, events: DataFrame,
     ``incumbents``: run_id, position, plan_artifact_id, elapsed_ms, quality.
     ``artifacts``: run_id, artifact_count, artifact_bytes, largest_artifact_bytes (see the closure operator).
     """
-    points = checkpoints(incumbents, events)
+    # The checkpoints feed seven aggregates; they are few beside the events, so they are kept once.
+    points = cut_lineage(checkpoints(incumbents, events))
     ends = run_endpoints(points, ["run_id"], "position", "elapsed_ms", "quality")
     spent = tool_latency(events).groupBy("run_id").agg(F.sum("latency_ms").alias("tool_latency_ms"))
     horizons = runs.select("run_id", "wall_horizon", "token_horizon")

@@ -15,12 +15,13 @@ unreachable. Nothing of size plans x demand x sites is built beyond the pairs th
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteplan.operators.ordered import weighted_quantile
+from siteplan.session import cut_lineage
 
 # Comparison tolerance, key of an infeasible plan, problem families.
 TOLERANCE = 1e-9
@@ -64,6 +65,11 @@ class Evidence:
     failed: DataFrame | None = None
     groups: DataFrame | None = None
 
+    def settled(self) -> Evidence:
+        """The same evidence written once to the checkpoint folder, for loops that score it many times."""
+        tables = {f.name: getattr(self, f.name) for f in fields(self)}
+        return Evidence(**{n: cut_lineage(t) if t is not None else None for n, t in tables.items()})
+
 
 def group_membership(df: DataFrame, demand_id: str, groups: dict[str, tuple[str, object | None]]) -> DataFrame:
     """Long membership table from ``{group: (column, match value or None)}``.

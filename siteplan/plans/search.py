@@ -205,6 +205,7 @@ def improve(
     Status holds evaluated, total, next_ordinal and ``complete`` or ``partial``; an enumeration that is
     complete proves its best value.
     """
+    ev = ev.settled()
     if strategy == "exact_enumeration":
         found, listed = enumerate_plans(problems, ev, start + limit, order)
         found = found.filter(F.col("ordinal") >= start).join(plans.select("problem_id", F.col("plan_id").alias("parent_id")), "problem_id")
@@ -365,6 +366,7 @@ def greedy_plan(problems: DataFrame, ev: s.Evidence, max_rounds: int, floors: Da
     Each round scores every admissible addition of every problem as a plan and keeps the best.
     P-center and quantile problems first look at their farthest demand.
     """
+    ev = ev.settled()
     existing = problems.select("problem_id", "evidence_id").join(ev.sites.filter("existing").select("evidence_id", "site_id"), "evidence_id")
     chosen = cut_lineage(existing.select("problem_id", "evidence_id", "site_id", F.lit(0).alias("step")))
     limits = subset_limits(problems, ev).select("problem_id", F.col("fewest").alias("required"))

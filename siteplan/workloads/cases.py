@@ -49,7 +49,7 @@ def best_single_center(spark, sf):
     with_sql(
         SITE, PLACE_SQL, COVER_SQL,
         "sz AS (SELECT c, count(*) AS n FROM pl GROUP BY 1)",
-        "combo AS (SELECT a.c, a.ord AS i, b.ord AS j FROM pl a JOIN pl b ON a.c = b.c AND a.ord < b.ord UNION ALL SELECT pl.c, ord, NULL FROM pl JOIN sz USING (c) WHERE n = 1)",
+        "combo AS (SELECT a.c, a.ord AS i, b.ord AS j FROM pl a JOIN pl b ON a.c = b.c AND a.ord < b.ord UNION ALL SELECT pl.c, ord, NULL FROM pl JOIN sz USING (c) WHERE sz.n = 1)",
         "v AS (SELECT q.c, q.i, q.j, sum(q.pop) AS p FROM (SELECT DISTINCT o.c, o.i, o.j, near.y, near.pop FROM combo o JOIN near ON near.c = o.c AND (near.x = o.i OR near.x = o.j)) q GROUP BY ALL)",
         "r AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY p DESC, i, j) AS rn, count(*) OVER (PARTITION BY c, p) AS k FROM v)",
         body="""SELECT r.c AS case_id, CAST(r.p AS BIGINT) AS people_covered, r.k AS optimal_solution_count, concat_ws(',', CAST(a.n AS VARCHAR), CAST(b.n AS VARCHAR)) AS centers

@@ -494,35 +494,37 @@ def policy_variants(spark, sf):
     return search.policy_grid(problems, variants, ["site_limit"]).select("problem_id", "site_limit")
 
 
-def _nation_problems(spark, sf, limit=2, km=4000.0):
-    """One coverage problem per nation: its customers, its suppliers, pairs within ``km``."""
+def _block_problems(spark, sf, limit=2, km=4000.0):
+    """One coverage problem per block of four suppliers and sixty customers, pairs within ``km``.
+
+    Blocks keep a problem small however large the tables are.
+    """
     from siteplan.functions import geo
 
-    sites = site(spark, sf).withColumns({"evidence_id": F.col("nation"), "ord": F.col("site_id"), "existing": F.col("site_id") % 40 == 0, "eligible": F.lit(True)})
-    sites = sites.withColumnsRenamed({"lon": "x", "lat": "y"})
-    people = demand(spark, sf).withColumn("evidence_id", F.col("nation"))
+    block = lambda key, size: F.floor(F.col(key) / size).cast("bigint")
+    sites = site(spark, sf).withColumns(
+        {"evidence_id": block("site_id", 4), "ord": F.col("site_id"), "existing": F.col("site_id") % 40 == 0, "eligible": F.lit(True)}
+    ).withColumnsRenamed({"lon": "x", "lat": "y"})
+    people = demand(spark, sf).withColumn("evidence_id", block("demand_id", 60))
     pairs = people.select("evidence_id", "demand_id", F.col("lon").alias("lon1"), F.col("lat").alias("lat1")).join(
         sites.select("evidence_id", "site_id", F.col("x").alias("lon2"), F.col("y").alias("lat2")), "evidence_id"
     ).withColumn("km", geo.haversine("lon1", "lat1", "lon2", "lat2")).filter(F.col("km") <= km)
     service = pairs.select("evidence_id", F.lit("base").alias("scenario"), "demand_id", "site_id", F.lit(1.0).alias("benefit"))
-    scenarios = table(spark, sf, "nation").select(F.col("n_nationkey").alias("evidence_id"), F.lit("base").alias("scenario"), F.lit(1.0).alias("weight"))
+    blocks = sites.select("evidence_id").distinct()
+    scenarios = blocks.select("evidence_id", F.lit("base").alias("scenario"), F.lit(1.0).alias("weight"))
     kinds = dict(f.split(" ") for f in s.PROBLEM_SCHEMA.split(", "))
-    columns = {"problem_id": F.col("n_nationkey"), "evidence_id": F.col("n_nationkey"), "family": F.lit("max_weighted_coverage"), "aggregation": F.lit("expected"), "site_limit": F.lit(limit)}
-    problems = table(spark, sf, "nation").select(*[
-        columns.get(n, F.lit(None)).cast("int" if n in ("problem_id", "evidence_id") else k).alias(n) for n, k in kinds.items()
+    columns = {"problem_id": F.col("evidence_id"), "evidence_id": F.col("evidence_id"), "family": F.lit("max_weighted_coverage"), "aggregation": F.lit("expected"), "site_limit": F.lit(limit)}
+    problems = blocks.select(*[
+        columns.get(n, F.lit(None)).cast("bigint" if n in ("problem_id", "evidence_id") else k).alias(n) for n, k in kinds.items()
     ])
     return problems, s.Evidence(people, sites, service, scenarios)
 
 
-NATION_SQL = """ns AS (SELECT nation AS ev, site_id, opening_cost, site_id % 40 = 0 AS fixed FROM site),
-np AS (SELECT d.nation AS ev, d.demand_id, d.need, s.site_id FROM demand d JOIN site s ON s.nation = d.nation WHERE """ + HAV + """ <= 4000.0)"""
-
-
 @query(
     "neighborhood",
     with_sql(
         SITE,
-        "ns AS (SELECT nation AS ev, site_id, site_id % 40 = 0 AS fixed FROM site)",
+        "ns AS (SELECT site_id // 4 AS ev, site_id, site_id % 40 = 0 AS fixed FROM site)",
         "sel AS (SELECT ev, site_id, fixed FROM (SELECT *, row_number() OVER (PARTITION BY ev ORDER BY site_id) AS rn FROM ns) WHERE rn <= 2 OR fixed)",
         "free AS (SELECT *, row_number() OVER (PARTITION BY ev ORDER BY site_id) - 1 AS r, count(*) OVER (PARTITION BY ev) AS n FROM ns WHERE (ev, site_id) NOT IN (SELECT ev, site_id FROM sel))",
         "mov AS (SELECT *, row_number() OVER (PARTITION BY ev ORDER BY site_id) - 1 AS r FROM sel WHERE NOT fixed)",
@@ -533,10 +535,10 @@ JOIN (SELECT ev, ordinal, inn AS site_id FROM moves UNION ALL SELECT m.ev, m.ord
     ),
 )
 def neighborhood(spark, sf):
-    """Add and swap neighbours of each nation's plan (its two first suppliers and the mandatory ones)."""
+    """Add and swap neighbours of each block's plan (its two first suppliers and the mandatory ones)."""
     from siteplan.operators.ordered import positions
 
-    problems, ev = _nation_problems(spark, sf)
+    problems, ev = _block_problems(spark, sf)
     plans = problems.select(F.col("problem_id").alias("plan_id"), "problem_id")
     ranked = positions(ev.sites, ["evidence_id"], ["ord"], name="r").filter("r <= 2 or existing")
     rows = ranked.select(F.col("evidence_id").alias("plan_id"), "site_id")
@@ -548,15 +550,15 @@ def neighborhood(spark, sf):
     "enumerated_plans",
     with_sql(
         SITE,
-        "f AS (SELECT nation AS ev, site_id, row_number() OVER (PARTITION BY nation ORDER BY site_id) - 1 AS r FROM site)",
-        """c AS (SELECT CAST(n_nationkey AS INT) AS ev, 0 AS k, -1 AS a, -1 AS b, '' AS sites FROM nation UNION ALL SELECT ev, 1, r, -1, CAST(site_id AS VARCHAR) FROM f
+        "f AS (SELECT site_id // 4 AS ev, site_id, row_number() OVER (PARTITION BY site_id // 4 ORDER BY site_id) - 1 AS r FROM site)",
+        """c AS (SELECT DISTINCT ev, 0 AS k, -1 AS a, -1 AS b, '' AS sites FROM f UNION ALL SELECT ev, 1, r, -1, CAST(site_id AS VARCHAR) FROM f
   UNION ALL SELECT x.ev, 2, x.r, y.r, CAST(x.site_id AS VARCHAR) || ',' || CAST(y.site_id AS VARCHAR) FROM f x JOIN f y ON x.ev = y.ev AND x.r < y.r)""",
         body="SELECT ev AS problem_id, row_number() OVER (PARTITION BY ev ORDER BY k, a, b) - 1 AS ordinal, count(*) OVER (PARTITION BY ev) AS total, sites FROM c",
     ),
 )
 def enumerated_plans(spark, sf):
-    """All site subsets of up to two suppliers per nation."""
-    problems, ev = _nation_problems(spark, sf)
+    """All site subsets of up to two suppliers per block."""
+    problems, ev = _block_problems(spark, sf)
     free = ev.sites.withColumn("existing", F.lit(False))
     ev = s.Evidence(ev.demand, free, ev.service, ev.scenarios)
     plans, rows = search.enumerate_plans(problems, ev, 1_000_000)
@@ -569,19 +571,19 @@ def enumerated_plans(spark, sf):
     "exact_reference",
     with_sql(
         DEMAND, SITE,
-        "ns AS (SELECT nation AS ev, site_id, opening_cost FROM site)",
-        "np AS (SELECT d.nation AS ev, d.demand_id, d.need, s.site_id FROM demand d JOIN site s ON s.nation = d.nation WHERE " + HAV + " <= 4000.0)",
-        """c AS (SELECT CAST(n_nationkey AS INT) AS ev, 0 AS k, -1 AS a, -1 AS b, 0.0 AS cost FROM nation UNION ALL SELECT ev, 1, site_id, -1, opening_cost FROM ns
+        "ns AS (SELECT site_id // 4 AS ev, site_id, opening_cost FROM site)",
+        "np AS (SELECT d.demand_id // 60 AS ev, d.demand_id, d.need, s.site_id FROM demand d JOIN site s ON s.site_id // 4 = d.demand_id // 60 WHERE " + HAV + " <= 4000.0)",
+        """c AS (SELECT DISTINCT ev, 0 AS k, -1 AS a, -1 AS b, 0.0::DOUBLE AS cost FROM ns UNION ALL SELECT ev, 1, site_id, -1, opening_cost FROM ns
   UNION ALL SELECT x.ev, 2, x.site_id, y.site_id, x.opening_cost + y.opening_cost FROM ns x JOIN ns y ON x.ev = y.ev AND x.site_id < y.site_id)""",
-        "t AS (SELECT nation AS ev, sum(need) AS t FROM demand GROUP BY 1)",
+        "t AS (SELECT demand_id // 60 AS ev, sum(need) AS t FROM demand GROUP BY 1)",
         """sc AS (SELECT c.*, coalesce((SELECT sum(need) FROM (SELECT DISTINCT demand_id, need FROM np WHERE np.ev = c.ev AND np.site_id IN (c.a, c.b))), 0) / t.t AS cov FROM c JOIN t USING (ev))""",
         "r AS (SELECT *, row_number() OVER (PARTITION BY ev ORDER BY round(cov, 9) DESC, cost, k, a, b) AS rn FROM sc)",
         body="SELECT ev AS problem_id, 'exact_optimum' AS kind, round(cov, 9) AS coverage, cost AS opening_cost FROM r WHERE rn = 1",
     ),
 )
 def exact_reference(spark, sf):
-    """Exact best coverage of every nation by complete enumeration."""
-    problems, ev = _nation_problems(spark, sf)
+    """Exact best coverage of every block by complete enumeration."""
+    problems, ev = _block_problems(spark, sf)
     ev = s.Evidence(ev.demand, ev.sites.withColumn("existing", F.lit(False)), ev.service, ev.scenarios)
     plans, rows = search.enumerate_plans(problems, ev, 1_000_000)
     scores = scorecards.score_plans(problems, plans.select("plan_id", "problem_id"), rows, ev, families=("max_weighted_coverage",))
@@ -591,15 +593,15 @@ def exact_reference(spark, sf):
 
 @query("greedy_sites")
 def greedy_sites(spark, sf):
-    """Greedy baseline of every nation, compared with brute force in the tests."""
-    problems, ev = _nation_problems(spark, sf)
+    """Greedy baseline of every block, compared with brute force in the tests."""
+    problems, ev = _block_problems(spark, sf)
     return search.greedy_coverage(problems, ev, 4)
 
 
 @query("improvement_pass")
 def improvement_pass(spark, sf):
-    """One add/swap pass from each nation's first supplier, compared with brute force in the tests."""
-    problems, ev = _nation_problems(spark, sf)
+    """One add/swap pass from each block's first supplier, compared with brute force in the tests."""
+    problems, ev = _block_problems(spark, sf)
     ev = s.Evidence(ev.demand, ev.sites.withColumn("existing", F.lit(False)), ev.service, ev.scenarios)
     first = ev.sites.groupBy("evidence_id").agg(F.min("site_id").alias("site_id"))
     name = F.col("evidence_id").cast("string").alias("plan_id")
