@@ -9,7 +9,7 @@ from siteplan.functions import geo
 from siteplan.functions.arrays import choose, combination_at
 from siteplan.functions.text import match_score
 from siteplan.operators.ordered import positions, running
-from siteplan.session import cut_lineage
+from siteplan.session import cut_lineage, shuffle_buckets
 
 # Fixed values of the name search: least score kept, least score resolved, least lead over the second.
 KEEP_SCORE = 0.35
@@ -81,6 +81,8 @@ def _cover_masks(places: DataFrame, radius: str) -> DataFrame:
     """
     entry = F.struct("ord", "longitude", "latitude", F.coalesce("population", F.lit(0)).cast("bigint").alias("population"), "name")
     packed = places.groupBy("case_id", radius).agg(F.array_sort(F.collect_list(entry)).alias("p"))
+    # Cases are small rows with much work each: a fixed number of partitions keeps all cores busy.
+    packed = packed.repartition(shuffle_buckets(places.sparkSession), "case_id")
     bad = F.raise_error(F.lit("exact cases hold at most 62 places")).cast("int")
     packed = packed.withColumn("n", F.when(F.size("p") <= 62, F.size("p")).otherwise(bad))
 
