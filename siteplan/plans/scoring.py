@@ -43,7 +43,7 @@ PROBLEM_SCHEMA = (
     "aggregation STRING, minimum_spacing DOUBLE"
 )
 OVERALL = ""
-SALT = 8
+NO_GROUP_PATTERN = "-"
 
 
 @dataclass(frozen=True)
@@ -93,17 +93,13 @@ def group_membership(df: DataFrame, demand_id: str, groups: dict[str, tuple[str,
 
 
 def demand_weights(ev: Evidence) -> DataFrame:
-    """One row per scenario and demand: scenario weight, base need and the groups as a short array."""
+    """One row per scenario and demand: scenario weight, base need and the id of its group pattern."""
     rows = ev.demand.select("evidence_id", "demand_id", F.col("need").cast("double").alias("need"))
-    if ev.groups is not None:
-        packed = ev.groups.groupBy("evidence_id", "demand_id").agg(
-            F.collect_list(F.struct("group_name", F.col("membership").cast("double").alias("membership"))).alias("_g")
-        )
-        rows = rows.join(packed, ["evidence_id", "demand_id"], "left")
+    if ev.groups is None:
+        rows = rows.withColumn("pattern", F.lit(NO_GROUP_PATTERN))
     else:
-        rows = rows.withColumn("_g", F.lit(None).cast("array<struct<group_name:string,membership:double>>"))
-    whole = F.array(F.struct(F.lit(OVERALL).alias("group_name"), F.lit(1.0).alias("membership")))
-    rows = rows.withColumn("shares", F.when(F.col("_g").isNull(), whole).otherwise(F.concat(whole, "_g"))).drop("_g")
+        own = _demand_patterns(ev).select("evidence_id", "demand_id", "pattern")
+        rows = rows.join(own, ["evidence_id", "demand_id"], "left").withColumn("pattern", F.coalesce("pattern", F.lit(NO_GROUP_PATTERN)))
     rows = rows.join(ev.scenarios.select("evidence_id", "scenario"), "evidence_id")
     if ev.multipliers is None:
         return rows.withColumn("weight", F.col("need"))
@@ -111,13 +107,41 @@ def demand_weights(ev: Evidence) -> DataFrame:
     return scaled.withColumn("weight", F.col("need") * F.coalesce("multiplier", F.lit(1.0))).drop("multiplier")
 
 
-def _totals(weights: DataFrame) -> DataFrame:
-    share = weights.select("evidence_id", "scenario", "need", "weight", F.explode("shares").alias("g"))
-    part = F.col("g.membership")
-    return share.groupBy("evidence_id", "scenario", F.col("g.group_name").alias("group_name")).agg(
-        F.sum(F.col("weight") * part).alias("scenario_total"),
-        F.sum(F.col("need") * part).alias("demand"),
-        F.count_if(F.col("weight") * part > 0).alias("positive_rows"),
+def _demand_patterns(ev: Evidence) -> DataFrame:
+    entry = F.struct("group_name", F.col("membership").cast("double").alias("membership"))
+    packed = ev.groups.groupBy("evidence_id", "demand_id").agg(F.sort_array(F.collect_list(entry)).alias("members"))
+    return packed.withColumn("pattern", F.md5(F.to_json("members")))
+
+
+def patterns(ev: Evidence) -> DataFrame:
+    """``pattern, group_name, membership``: every distinct combination of group shares, with the whole.
+
+    Sums are built per pattern first and spread over groups afterwards, so group figures cost a few
+    rows per plan instead of several copies of every demand row.
+    """
+    whole = F.struct(F.lit(OVERALL).alias("group_name"), F.lit(1.0).alias("membership"))
+    base = ev.scenarios.limit(1).select(F.lit(NO_GROUP_PATTERN).alias("pattern"), F.array(whole).alias("members"))
+    if ev.groups is not None:
+        known = _demand_patterns(ev).select("pattern", "members").distinct()
+        base = base.unionByName(known.select("pattern", F.concat(F.array(whole), "members").alias("members")))
+    return base.select("pattern", F.explode("members").alias("m")).select("pattern", "m.*")
+
+
+def _by_group(sums: DataFrame, ev: Evidence, keys: list[str], names: list[str]) -> DataFrame:
+    """Per-pattern sums to per-group sums."""
+    spread = sums.join(patterns(ev), "pattern")
+    return spread.groupBy(*keys, "group_name").agg(*[F.sum(F.col(n) * F.col("membership")).alias(n) for n in names])
+
+
+def _totals(weights: DataFrame, ev: Evidence) -> DataFrame:
+    sums = weights.groupBy("evidence_id", "scenario", "pattern").agg(
+        F.sum("weight").alias("scenario_total"), F.sum("need").alias("demand"), F.count_if(F.col("weight") > 0).alias("_rows")
+    )
+    spread = sums.join(patterns(ev), "pattern")
+    return spread.groupBy("evidence_id", "scenario", "group_name").agg(
+        F.sum(F.col("scenario_total") * F.col("membership")).alias("scenario_total"),
+        F.sum(F.col("demand") * F.col("membership")).alias("demand"),
+        F.sum(F.when(F.col("membership") > 0, F.col("_rows")).otherwise(0)).alias("positive_rows"),
     )
 
 
@@ -127,10 +151,12 @@ def _keyed(plan_sites: DataFrame, plans: DataFrame, problems: DataFrame) -> Data
 
 
 def _reach(selected: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Join selected sites with their demand pairs; a popular site is spread by a demand salt."""
-    salted = pairs.withColumn("_salt", F.pmod(F.xxhash64("demand_id"), F.lit(SALT)).cast("int"))
-    copies = selected.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    return copies.join(salted, ["evidence_id", "site_id", "_salt"]).drop("_salt")
+    """Join selected sites with their demand pairs.
+
+    Either side can be the large one, so neither is copied up front: a site that holds a large share
+    of a side is split at run time by the adaptive skew join.
+    """
+    return selected.join(pairs, ["evidence_id", "site_id"])
 
 
 def _available(pairs: DataFrame, ev: Evidence) -> DataFrame:
@@ -160,19 +186,18 @@ def coverage(plan_sites: DataFrame, plans: DataFrame, problems: DataFrame, ev: E
     weights = demand_weights(ev)
     pairs = _available(ev.service, ev).filter(F.col("benefit") > 0).join(weights, ["evidence_id", "scenario", "demand_id"])
     reached = _reach(_keyed(plan_sites, plans, problems), pairs)
-    # The shares depend on the demand alone; as a key they keep this a hash aggregate.
-    return reached.groupBy("plan_id", "scenario", "demand_id", "shares").agg(
+    # The pattern depends on the demand alone; as a key it keeps this a hash aggregate.
+    return reached.groupBy("plan_id", "scenario", "demand_id", "pattern").agg(
         F.max("benefit").alias("coverage"), F.max("weight").alias("weight")
     )
 
 
 def coverage_by_scenario(plan_sites: DataFrame, plans: DataFrame, problems: DataFrame, ev: Evidence) -> DataFrame:
     """``plan_id, scenario, group_name, coverage, scenario_total``; the empty group name is the whole demand."""
-    covered = coverage(plan_sites, plans, problems, ev).withColumn("g", F.explode("shares"))
-    sums = covered.groupBy("plan_id", "scenario", F.col("g.group_name").alias("group_name")).agg(
-        F.sum(F.col("coverage") * F.col("weight") * F.col("g.membership")).alias("_covered")
-    )
-    frame = _plan_frame(plans, problems, _totals(demand_weights(ev)), ev)
+    covered = coverage(plan_sites, plans, problems, ev)
+    sums = covered.groupBy("plan_id", "scenario", "pattern").agg(F.sum(F.col("coverage") * F.col("weight")).alias("_covered"))
+    sums = _by_group(sums, ev, ["plan_id", "scenario"], ["_covered"])
+    frame = _plan_frame(plans, problems, _totals(demand_weights(ev), ev), ev)
     joined = frame.join(sums, ["plan_id", "scenario", "group_name"], "left")
     return joined.withColumn("coverage", _mean(F.col("_covered"), F.col("scenario_total"))).drop("_covered")
 
@@ -191,12 +216,11 @@ def access_by_scenario(plan_sites: DataFrame, plans: DataFrame, problems: DataFr
     finite = F.col("access") < float("inf")
     pairs = _available(ev.access, ev).filter(finite).join(weights, ["evidence_id", "scenario", "demand_id"])
     reached = _reach(_keyed(plan_sites, plans, problems), pairs)
-    nearest = reached.groupBy("plan_id", "problem_id", "scenario", "demand_id", "shares").agg(
+    nearest = reached.groupBy("plan_id", "problem_id", "scenario", "demand_id", "pattern").agg(
         F.min("access").alias("nearest"), F.max("weight").alias("weight")
     )
-    spread = nearest.withColumn("g", F.explode("shares")).select(
-        "plan_id", "problem_id", "scenario", F.col("g.group_name").alias("group_name"), "nearest",
-        (F.col("weight") * F.col("g.membership")).alias("w"),
+    spread = nearest.filter("weight > 0").join(patterns(ev), "pattern").select(
+        "plan_id", "problem_id", "scenario", "group_name", "nearest", (F.col("weight") * F.col("membership")).alias("w")
     ).filter(F.col("w") > 0)
     keys = ["plan_id", "scenario", "group_name"]
     sums = spread.groupBy(*keys).agg(
@@ -206,7 +230,7 @@ def access_by_scenario(plan_sites: DataFrame, plans: DataFrame, problems: DataFr
     )
     ranked = spread.join(problems.select("problem_id", F.coalesce("quantile", F.lit(0.5)).alias("_q")), "problem_id")
     quantiles = weighted_quantile(ranked, [*keys, "_q"], "nearest", "w", F.col("_q"), "quantile_access").drop("_q")
-    frame = _plan_frame(plans, problems, _totals(weights), ev)
+    frame = _plan_frame(plans, problems, _totals(weights, ev), ev)
     joined = frame.join(sums, keys, "left").join(quantiles, keys, "left")
     return joined.withColumns(
         {
@@ -240,14 +264,13 @@ def resilience_by_site(plan_sites: DataFrame, plans: DataFrame, problems: DataFr
     reached = _reach(selected, pairs)
     by_demand = Window.partitionBy("plan_id", "scenario", "demand_id").orderBy(F.desc("benefit"), "site_id")
     top = reached.withColumn("_rank", F.row_number().over(by_demand)).filter("_rank <= 2")
-    gaps = top.groupBy("plan_id", "scenario", "demand_id", "shares").agg(
+    gaps = top.groupBy("plan_id", "scenario", "demand_id", "pattern").agg(
         F.max(F.when(F.col("_rank") == 1, F.col("site_id"))).alias("site_id"),
         (F.max("benefit") - F.coalesce(F.max(F.when(F.col("_rank") == 2, F.col("benefit"))), F.lit(0.0))).alias("gap"),
         F.max("weight").alias("weight"),
     )
-    losses = gaps.withColumn("g", F.explode("shares")).groupBy(
-        "plan_id", "site_id", "scenario", F.col("g.group_name").alias("group_name")
-    ).agg(F.sum(F.col("gap") * F.col("weight") * F.col("g.membership")).alias("_loss"))
+    losses = gaps.groupBy("plan_id", "site_id", "scenario", "pattern").agg(F.sum(F.col("gap") * F.col("weight")).alias("_loss"))
+    losses = _by_group(losses, ev, ["plan_id", "site_id", "scenario"], ["_loss"])
     normal = coverage_by_scenario(plan_sites, plans, problems, ev)
     rows = normal.join(selected.select("plan_id", "site_id"), "plan_id")
     joined = rows.join(losses, ["plan_id", "site_id", "scenario", "group_name"], "left")
@@ -260,14 +283,13 @@ def redundancy_metrics(plan_sites: DataFrame, plans: DataFrame, problems: DataFr
     weights = demand_weights(ev)
     pairs = ev.service.filter(F.col("benefit") > 0).join(weights, ["evidence_id", "scenario", "demand_id"])
     selected = _keyed(plan_sites, plans, problems).join(problems.select("problem_id", "redundancy"), "problem_id")
-    counts = _reach(selected, pairs).groupBy("plan_id", "scenario", "demand_id", "shares").agg(
+    counts = _reach(selected, pairs).groupBy("plan_id", "scenario", "demand_id", "pattern").agg(
         F.count(F.lit(1)).alias("n"), F.max("redundancy").alias("redundancy"), F.max("need").alias("need")
     )
-    enough = counts.filter(F.col("n") >= F.col("redundancy")).withColumn("g", F.explode("shares"))
-    sums = enough.groupBy("plan_id", "scenario", F.col("g.group_name").alias("group_name")).agg(
-        F.sum(F.col("need") * F.col("g.membership")).alias("_sum")
-    )
-    frame = _plan_frame(plans, problems, _totals(weights), ev)
+    enough = counts.filter(F.col("n") >= F.col("redundancy"))
+    sums = enough.groupBy("plan_id", "scenario", "pattern").agg(F.sum("need").alias("_sum"))
+    sums = _by_group(sums, ev, ["plan_id", "scenario"], ["_sum"])
+    frame = _plan_frame(plans, problems, _totals(weights, ev), ev)
     joined = frame.join(sums, ["plan_id", "scenario", "group_name"], "left")
     joined = joined.withColumn("redundant", _mean(F.col("_sum"), F.col("demand")))
     return joined.groupBy("plan_id", "group_name").agg(_fold_scenarios("redundant").alias("redundant_coverage"))
@@ -291,18 +313,16 @@ def allocation_metrics(allocations: DataFrame, plans: DataFrame, problems: DataF
     base = ev.access.groupBy("evidence_id", "demand_id", "site_id").agg(
         F.min_by("access", F.struct((F.col("scenario") != "base"), "scenario")).alias("access")
     )
-    first = demand_weights(ev).groupBy("evidence_id", "demand_id", "shares").agg(F.max("need").alias("need"))
+    first = demand_weights(ev).groupBy("evidence_id", "demand_id", "pattern").agg(F.max("need").alias("need"))
     arcs = allocations.join(keys, "plan_id").join(first, ["evidence_id", "demand_id"])
     arcs = arcs.join(ev.sites.select("evidence_id", "site_id"), ["evidence_id", "site_id"], "left_semi")
     arcs = arcs.filter(~F.isnan("amount") & (F.abs("amount") < float("inf")))
-    arcs = arcs.join(base, ["evidence_id", "demand_id", "site_id"], "left").withColumn("g", F.explode("shares"))
-    part = F.col("amount") * F.col("g.membership")
-    sums = arcs.groupBy("plan_id", F.col("g.group_name").alias("group_name")).agg(
-        F.sum(part).alias("served_demand"), F.sum(part * F.coalesce("access", F.lit(float("inf")))).alias("_access")
-    )
-    totals = first.withColumn("g", F.explode("shares")).groupBy("evidence_id", F.col("g.group_name").alias("group_name")).agg(
-        F.sum(F.col("need") * F.col("g.membership")).alias("demand")
+    arcs = arcs.join(base, ["evidence_id", "demand_id", "site_id"], "left")
+    sums = arcs.groupBy("plan_id", "pattern").agg(
+        F.sum("amount").alias("served_demand"), F.sum(F.col("amount") * F.coalesce("access", F.lit(float("inf")))).alias("_access")
     )
+    sums = _by_group(sums, ev, ["plan_id"], ["served_demand", "_access"])
+    totals = _by_group(first.groupBy("evidence_id", "pattern").agg(F.sum("need").alias("demand")), ev, ["evidence_id"], ["demand"])
     joined = keys.join(totals, "evidence_id").join(sums, ["plan_id", "group_name"], "left")
     served = F.coalesce("served_demand", F.lit(0.0))
     return joined.select(

@@ -284,7 +284,7 @@ def greedy_coverage(problems: DataFrame, ev: s.Evidence, max_rounds: int) -> Dat
     weights = s.demand_weights(ev)
     pairs = s._available(ev.service, ev).filter(F.col("benefit") > 0)
     pairs = cut_lineage(pairs.join(weights.select("evidence_id", "scenario", "demand_id", "weight"), ["evidence_id", "scenario", "demand_id"]))
-    totals = s._totals(weights).filter(F.col("group_name") == s.OVERALL).select("evidence_id", "scenario", "scenario_total")
+    totals = s._totals(weights, ev).filter(F.col("group_name") == s.OVERALL).select("evidence_id", "scenario", "scenario_total")
     frame = known.select("problem_id", "evidence_id", "aggregation").join(
         ev.scenarios.withColumnRenamed("weight", "scenario_weight"), "evidence_id"
     ).join(totals, ["evidence_id", "scenario"])
