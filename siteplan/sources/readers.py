@@ -62,9 +62,10 @@ def read_geojson(
     if properties is None:
         features = spark.read.option("multiLine", True).json(path).select("features").schema["features"].dataType
         properties = next(f.dataType for f in features.elementType if f.name == "properties")
-    bad = F.raise_error(F.lit("source is not a feature collection")).cast("boolean")
+    bad = F.raise_error(F.lit("source is not a feature collection")).cast(raw.schema["features"].dataType)
     sound = F.coalesce((F.col("type") == "FeatureCollection") & F.col("features").isNotNull(), F.lit(False))
-    features = raw.filter(F.when(sound, F.lit(True)).otherwise(bad)).select(F.explode("features").alias("f"))
+    # The check is part of the exploded value, so that no derived filter can drop a broken file first.
+    features = raw.select(F.explode(F.when(sound, F.col("features")).otherwise(bad)).alias("f"))
     frame = features.select(F.from_json("f.properties", properties).alias("p"), F.col("f.geometry").alias("g"))
     frame = frame.withColumns(parse_geometry(F.col("g"))).select("p.*", "geom_type", "x", "y", "rings")
     if fields:
