@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 
 from siteplan.functions import geo
 from siteplan.operators import graph as graphs
-from siteplan.operators.overlay import SALT
+from siteplan.operators.overlay import SALT, row_salt
 
 KM_PER_DEGREE = geo.EARTH_RADIUS_KM * math.pi / 180
 
 
-def _salted(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(SALT)).cast("int"))
+def _salted(df: DataFrame) -> DataFrame:
+    return df.withColumn("_salt", row_salt(df))
 
 
 def _copied(df: DataFrame) -> DataFrame:
@@ -54,7 +54,7 @@ def pairs_within_sphere(
     left = origins.withColumn("_band", band)
     cells = _columns_in_band(F.col("_band"), height)
     left = left.withColumn("_cell", F.pmod(F.floor((olon + 180) * cells / 360), cells).cast("bigint"))
-    left = _salted(left, list(origin))
+    left = _salted(left)
 
     reach = cutoff_km * (1 + 1e-9) / geo.EARTH_RADIUS_KM
     sin_reach, cos_lat = math.sin(min(reach, math.pi / 2)), F.cos(F.radians(dlat))
@@ -90,7 +90,7 @@ def pairs_within_plane(
     left = origins.withColumn("_cx", F.floor(ox / size)).withColumn("_cy", F.floor(oy / size))
     right = destinations.withColumn("_cx", F.explode(F.sequence(F.floor(dx / size) - 1, F.floor(dx / size) + 1)))
     right = right.withColumn("_cy", F.explode(F.sequence(F.floor(dy / size) - 1, F.floor(dy / size) + 1)))
-    joined = _salted(left, list(origin)).join(_copied(right), ["_cx", "_cy", "_salt"]).drop("_cx", "_cy", "_salt")
+    joined = _salted(left).join(_copied(right), ["_cx", "_cy", "_salt"]).drop("_cx", "_cy", "_salt")
     return joined.withColumn(name, geo.euclidean(ox, oy, dx, dy)).filter(F.col(name) <= cutoff)
 
 

@@ -17,6 +17,12 @@ FAN = 4
 MAX_DEPTH = 14
 
 
+def row_salt(df: DataFrame, salt: int = SALT) -> Column:
+    """Salt from the whole row, so that rows at one place are spread as well (maps cannot be hashed)."""
+    hashable = [f.name for f in df.schema if "map<" not in f.dataType.simpleString()]
+    return F.pmod(F.xxhash64(*hashable), F.lit(salt)).cast("int")
+
+
 def _cell(value: Column, size: Column) -> Column:
     return F.floor(value / size).cast("bigint")
 
@@ -25,6 +31,13 @@ def _cover(low: Column, high: Column, size: Column) -> Column:
     return F.sequence(_cell(low, size), _cell(high, size))
 
 
+def _level(west: Column, south: Column, east: Column, north: Column) -> Column:
+    """Grid level whose cells are at least as wide as the box."""
+    side = F.greatest(east - west, north - south)
+    level = F.when(side > 0, F.ceil(F.log2(side))).otherwise(F.lit(-20)).cast("int")
+    return F.greatest(F.lit(-20), F.least(F.lit(40), level))
+
+
 def index_boxes(
     df: DataFrame, west: Column, south: Column, east: Column, north: Column, salt: int = SALT
 ) -> DataFrame:
@@ -33,9 +46,7 @@ def index_boxes(
     A box meets at most 2 x 2 cells of its level, whatever its size; ``salt`` copies let the other
     side of the join spread a crowded cell over several tasks.
     """
-    side = F.greatest(east - west, north - south)
-    level = F.when(side > 0, F.ceil(F.log2(side))).otherwise(F.lit(-20)).cast("int")
-    sized = df.withColumn("_level", F.greatest(F.lit(-20), F.least(F.lit(40), level)))
+    sized = df.withColumn("_level", _level(west, south, east, north))
     size = F.pow(F.lit(2.0), F.col("_level"))
     return (
         sized.withColumn("_cx", F.explode(_cover(west, east, size)))
@@ -46,12 +57,11 @@ def index_boxes(
 
 def index_points(df: DataFrame, x: Column, y: Column, levels: Column, salt: int = SALT) -> DataFrame:
     """One row per grid level in use (a short array), each in exactly one cell."""
-    leveled = df.withColumn("_level", F.explode(levels))
+    leveled = df.withColumn("_salt", row_salt(df, salt)).withColumn("_level", F.explode(levels))
     size = F.pow(F.lit(2.0), F.col("_level"))
     return (
         leveled.withColumn("_cx", _cell(x, size))
         .withColumn("_cy", _cell(y, size))
-        .withColumn("_salt", F.pmod(F.xxhash64(x, y), F.lit(salt)).cast("int"))
     )
 
 
@@ -106,21 +116,16 @@ def box_join(left: DataFrame, right: DataFrame, predicate: str = "intersects", p
     """Spatial join of two tables of boxes (west, south, east, north)."""
     other = _prefixed(right, prefix)
     sides = ("west", "south", "east", "north")
-    a = index_boxes(left, *[F.col(s) for s in sides], salt=1)
-    b = index_boxes(other, *[F.col(f"{prefix}_{s}") for s in sides], salt=1)
-    levels_a = a.agg(F.collect_set("_level")).scalar()
-    levels_b = b.agg(F.collect_set("_level")).scalar()
+    levels_a = left.agg(F.collect_set(_level(*[F.col(s) for s in sides]))).scalar()
+    levels_b = other.agg(F.collect_set(_level(*[F.col(f"{prefix}_{s}") for s in sides]))).scalar()
     # Move both sides to every level in use: the coarser level of a pair decides where it meets.
     shared = F.array_sort(F.array_union("_la", "_lb"))
 
     def at_levels(df: DataFrame, cols: list[Column]) -> DataFrame:
-        side = F.greatest(cols[2] - cols[0], cols[3] - cols[1])
-        own = F.when(side > 0, F.ceil(F.log2(side))).otherwise(F.lit(-20)).cast("int")
-        own = F.greatest(F.lit(-20), F.least(F.lit(40), own))
         spread = (
             df.withColumn("_la", levels_a)
             .withColumn("_lb", levels_b)
-            .withColumn("_own", own)
+            .withColumn("_own", _level(*cols))
             .withColumn("_level", F.explode(F.filter(shared, lambda level: level >= F.col("_own"))))
         )
         size = F.pow(F.lit(2.0), F.col("_level"))
@@ -271,7 +276,7 @@ def sample_raster(points: DataFrame, cells: DataFrame, header: dict, bands: Sequ
     placed = (
         points.withColumn("row", row)
         .withColumn("col", col)
-        .withColumn("_salt", F.pmod(F.xxhash64(*points.columns), F.lit(SALT)).cast("int"))
+        .withColumn("_salt", row_salt(points))
     )
     return placed.join(wide, ["row", "col", "_salt"], "left").drop("row", "col", "_salt")
 

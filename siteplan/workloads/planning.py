@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from siteplan.functions.text import descending_code_points
@@ -100,7 +102,9 @@ def order_plan_coverage(spark, sf):
     """Every order as a plan of its suppliers, scored over two scenarios."""
     mode = F.when(F.col("problem_id") < "3", "expected").otherwise("worst_case")
     plans, rows = order_plans(spark, sf)
-    metrics = s.coverage_metrics(rows, plans, problems_table(spark, sf, aggregation=mode), world_evidence(spark, sf))
+    # Only the whole demand is reported, so no group shares travel with the pairs.
+    ev = replace(world_evidence(spark, sf), groups=None)
+    metrics = s.coverage_metrics(rows, plans, problems_table(spark, sf, aggregation=mode), ev)
     return metrics.filter(F.col("group_name") == "").select("plan_id", F.round("coverage", 9).alias("coverage"))
 
 

@@ -100,9 +100,9 @@ def test_csv_cases_events_region(spark, tmp_path):
     assert codes == {"missing_centers", "bad_coordinates", "missing_population", "repeated_location"}
     (tmp_path / "e.json").write_text("\n".join(json.dumps({"run_id": r, "sequence": q}) for r, q in [("a", 0), ("a", 1), ("b", 0), ("b", 2)]))
     assert [r.run_id for r in readers.event_gaps(readers.read_events(spark, str(tmp_path / "e.json"))).collect()] == ["b"]
-    (tmp_path / "delhi-india-4154d2e5.json").write_text(json.dumps({"locations": [{"name": "A", "latitude": 1, "longitude": 2}, {"name": "B", "latitude": 1, "longitude": 3}], "distances_m": [[0, 5], [6, 0]]}))
-    rows = readers.read_region_matrix(spark, str(tmp_path / "delhi-india-4154d2e5.json")).collect()
-    assert {(r.region, r.from_name, r.to_name): r.meters for r in rows}[("delhi-india", "B", "A")] == 6.0
+    (tmp_path / "north-bay-0a1b2c3d.json").write_text(json.dumps({"locations": [{"name": "A", "latitude": 1, "longitude": 2}, {"name": "B", "latitude": 1, "longitude": 3}], "distances_m": [[0, 5], [6, 0]]}))
+    rows = readers.read_region_matrix(spark, str(tmp_path / "north-bay-0a1b2c3d.json")).collect()
+    assert {(r.region, r.from_name, r.to_name): r.meters for r in rows}[("north-bay", "B", "A")] == 6.0
 
 
 def test_sinks(spark, tmp_path):
