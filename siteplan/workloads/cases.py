@@ -66,7 +66,7 @@ def best_center_pair(spark, sf):
 
 @query("fewest_centers")
 def fewest_centers(spark, sf):
-    """Fewest centers reaching 80% of each order; brute force is compared in the tests."""
+    """Fewest centers reaching 80% of each order; tested on small fixtures."""
     cases = _cases(spark, sf).withColumn("target_percent", F.lit(80.0))
     found = ops.solve_minimum_facility(order_places(spark, sf), cases)
     return found.withColumn("center_locations", F.array_join("center_locations", ","))

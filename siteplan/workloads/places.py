@@ -111,7 +111,7 @@ def round_trip_projection(spark, sf):
 
 @query("ellipsoid_pairs")
 def ellipsoid_pairs(spark, sf):
-    """WGS84 distances within reach; no SQL form of the iteration, tests compare with the sphere and a known arc."""
+    """WGS84 distances within reach; no SQL form of the iteration, tests compare with a known arc."""
     o = demand(spark, sf).select(F.col("demand_id").alias("origin_id"), F.col("lon").alias("o_x"), F.col("lat").alias("o_y"))
     d = site(spark, sf).select(F.col("site_id").alias("destination_id"), F.col("lon").alias("d_x"), F.col("lat").alias("d_y"))
     return access.travel_matrix(o, d, "geodesic", "kilometers", cutoff=SERVICE_KM).withColumn("travel", F.round("travel", 6))

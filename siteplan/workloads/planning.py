@@ -604,7 +604,7 @@ def greedy_sites(spark, sf):
 
 @query("improvement_pass")
 def improvement_pass(spark, sf):
-    """One add/swap pass from each block's first supplier, compared with brute force in the tests."""
+    """One add/swap pass from each block's first supplier; its neighbourhoods and scores are tested on small fixtures."""
     problems, ev = _block_problems(spark, sf)
     ev = s.Evidence(ev.demand, ev.sites.withColumn("existing", F.lit(False)), ev.service, ev.scenarios)
     first = ev.sites.groupBy("evidence_id").agg(F.min("site_id").alias("site_id"))
