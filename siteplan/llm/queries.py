@@ -4,57 +4,140 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteplan.llm.common import shared_path, with_crc32
+from siteplan.llm.decontamination import find_leaks
+from siteplan.llm.language import identify_languages, language_prototypes
+from siteplan.llm.lines import drop_recurring_lines
 from siteplan.llm.near_duplicates import near_duplicates
 from siteplan.llm.packing import pack_prompts
+from siteplan.llm.quality import kept_by, rule_ledger
+from siteplan.llm.sharding import shard_records
+from siteplan.llm.source_urls import judge_sources
 from siteplan.llm.token_files import read_token_table, write_token_table
+from siteplan.llm.toxicity import fit_toxicity, score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+SHARDS = 40
+#: Bound on the labelled rows that the toxicity model is fitted to; they are chosen by a hash of their ids.
+MAX_LABELLED = 200_000
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
 
 def _query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[fn.__name__] = fn
     return fn
 
 
-def _path(name: str) -> str:
+def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
-def _documents(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/documents.parquet")
+def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def as_prompts(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").alias("record_id"), F.col("text").alias("prompt"))
 
 
+def held_out(doc_id: str, folds: int, fold: int) -> Column:
+    """Whether crc32 of the id as text, modulo ``folds``, is ``fold``; a null id is not."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % folds == fold, F.lit(False))
+
+
+def as_cases(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").alias("case_id"), F.col("text").alias("prompt"))
+
+
+def language_model(documents: DataFrame):
+    learn = documents.where(~held_out("doc_id", 4, 2)).select(F.col("text").alias("prompt"), F.col("lang").alias("language"))
+    return language_prototypes(learn)
+
+
+@_query
+def op1_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    leaks = find_leaks(as_prompts(_table(spark, sf, "documents")), as_cases(_table(spark, sf, "benchmark")))
+    return leaks.select(F.col("record_id").alias("doc_id"), F.col("case_id").alias("item_id"), "start", "n_words", F.round("similarity", 6).alias("similarity"))
+
+
+@_query
+def op2_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    ledger = rule_ledger(as_prompts(_table(spark, sf, "documents")))
+    return ledger.select(
+        F.col("record_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        (~kept_by("base")).alias("base_failed"), kept_by("v2").alias("kept"), "failures",
+    )
+
+
+@_query
+def op3_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    kept = drop_recurring_lines(as_prompts(_table(spark, sf, "documents")))
+    return kept.select(F.col("record_id").alias("doc_id"), F.size("dropped_lines").alias("n_dropped"), F.crc32(F.col("prompt").cast("binary")).alias("text_crc32"))
+
+
 @_query
 def op4_token_files(spark: SparkSession, sf: str) -> DataFrame:
     folder = shared_path(spark, "tokens")
-    write_token_table(as_prompts(_documents(spark, sf)), folder, _path("word_bpe_49k.json"), end_id=2)
+    write_token_table(as_prompts(_table(spark, sf, "documents")), folder, tokenizer_path("word_bpe_49k.json"), end_id=2)
     table = read_token_table(spark, folder).withColumnRenamed("record_id", "doc_id")
     return with_crc32(table, "token_ids", "ids_crc32", ["doc_id", "start", "n_tokens"])
 
 
+@_query
+def op5_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    documents = _table(spark, sf, "documents")
+    named = identify_languages(as_prompts(documents), language_model(documents))
+    return named.select(F.col("record_id").alias("doc_id"), held_out("record_id", 4, 2).alias("held_out"), F.col("language").alias("lang_pred"), "score")
+
+
+@_query
+def op6_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long")
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    records = _table(spark, sf, "documents").select("doc_id", size.alias("size"), crc.alias("text_crc32"))
+    placed = shard_records(records, SHARDS)
+    return placed.select("record.*", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@_query
+def op7_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    sources = _table(spark, sf, "pages").select(F.col("page_id").alias("artifact_id"), "url")
+    judged = judge_sources(sources, URL_RULES)
+    return judged.select(F.col("artifact_id").alias("page_id"), "host", "path", "rule", "verdict", "template", F.round("purity", 6).alias("purity"))
+
+
 @_query
 def op8_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    groups = near_duplicates(as_prompts(_documents(spark, sf)))
+    groups = near_duplicates(as_prompts(_table(spark, sf, "documents")))
     digits = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
     return groups.select(F.col("record_id").alias("doc_id"), digits.alias("fingerprint"), F.col("group_id").alias("component_id"))
 
 
 @_query
 def op9_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
-    packing = pack_prompts(as_prompts(_documents(spark, sf)), _path("byte_bpe_50k.json"), end_id=0)
+    packing = pack_prompts(as_prompts(_table(spark, sf, "documents")), tokenizer_path("byte_bpe_50k.json"), end_id=0)
     keys = ["bucket", "row"]
     digests = with_crc32(packing.pieces, "token_ids", "ids_crc32", [*keys, "record_id", "piece", "start", "length"])
     return digests.join(packing.placements, keys).select(
         F.col("record_id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
     )
+
+
+@_query
+def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    documents = _table(spark, sf, "documents")
+    labels = _table(spark, sf, "labels").where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", 3, 1))
+    labels = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
+    labelled = documents.join(F.broadcast(labels), "doc_id").select(F.col("text").alias("prompt"), "toxic")
+    scored = score_toxicity(as_prompts(documents), fit_toxicity(labelled))
+    return scored.select(
+        F.col("record_id").alias("doc_id"), held_out("record_id", 3, 1).alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("passages").alias("n_passages"),
+    )
