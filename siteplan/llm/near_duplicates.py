@@ -40,16 +40,16 @@ def fingerprint(prompt: str | None, words: int = 4) -> int:
 
 
 def fingerprints(prompts: DataFrame, words: int = 4) -> DataFrame:
-    """``record_id`` and ``fingerprint`` (64 bits, as a signed long) of each prompt."""
+    """``record_id``, ``prompt_hash`` and ``fingerprint`` (64 bits, as a signed long) of each prompt."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], "<u8").view("<i8")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], names=["record_id", "fingerprint"])
+            values = np.array([fingerprint(t, words) for t in batch.column(2).to_pylist()], "<u8").view("<i8")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values)], names=["record_id", "prompt_hash", "fingerprint"])
 
-    prompts = prompts.select("record_id", "prompt")
+    prompts = prompts.select("record_id", F.xxhash64("prompt").alias("prompt_hash"), "prompt")
     kind = prompts.schema["record_id"].dataType.simpleString()
-    return prompts.mapInArrow(run, f"record_id {kind}, fingerprint long")
+    return prompts.mapInArrow(run, f"record_id {kind}, prompt_hash long, fingerprint long")
 
 
 def covering_triples() -> list[tuple[int, int, int]]:
@@ -164,20 +164,28 @@ def fingerprint_links(distinct: DataFrame, radius: int = 4) -> DataFrame:
 def near_duplicates(prompts: DataFrame, radius: int = 4, words: int = 4) -> DataFrame:
     """Group case prompts (``record_id, prompt``) whose fingerprints differ in at most ``radius`` bits.
 
-    Returns ``record_id, fingerprint, group_id``: the least record id that chains of such links reach, its own
-    included. Equal fingerprints are one node, so copies cost nothing beyond their count. Prompts without words have
-    fingerprint 0 and are linked like any other. A null record id never names a group unless all its records are
-    null. Repeated rows each keep their row. Empty input gives no rows; other columns are not read.
+    Returns ``record_id, prompt_hash, fingerprint, group_id, keeper``. ``group_id`` is the least record id that chains of
+    such links reach, its own included; ``keeper`` tells the rows of the group's first record (least id, then least
+    prompt hash), the one to keep. Equal fingerprints are one node, so copies cost nothing beyond their count. Prompts
+    without words have fingerprint 0 and are linked like any other. A null record id names a group only if all its
+    records have none. Repeated rows each keep their row. Empty input gives no rows; other columns are not read.
     """
     marked = stage(fingerprints(prompts, words), "fingerprints")
-    nodes = stage(marked.groupBy("fingerprint").agg(F.min("record_id").alias("_first")), "distinct-fingerprints")
+    first = F.min(F.struct(F.col("record_id").isNull().alias("none"), "record_id", "prompt_hash")).alias("_first")
+    nodes = stage(marked.groupBy("fingerprint").agg(first), "distinct-fingerprints")
     roots = components(fingerprint_links(nodes.select("fingerprint"), radius))
     rooted = nodes.join(roots, nodes["fingerprint"] == roots["node"], "left").select("fingerprint", "_first", F.coalesce("root", "fingerprint").alias("_root"))
     named = stage(rooted, "rooted-fingerprints")
-    groups = named.groupBy("_root").agg(F.min("_first").alias("group_id"))
-    return marked.join(named.join(groups, "_root").select("fingerprint", "group_id"), "fingerprint").select("record_id", "fingerprint", "group_id")
-
-
-def keep_first(groups: DataFrame) -> DataFrame:
-    """The record ids that stay: the named record of each group, once."""
-    return groups.where(F.col("record_id").eqNullSafe(F.col("group_id"))).select("record_id").distinct()
+    groups = named.groupBy("_root").agg(F.min("_first").alias("_keeper"))
+    keeper = F.col("record_id").eqNullSafe(F.col("_keeper.record_id")) & (F.col("prompt_hash") == F.col("_keeper.prompt_hash"))
+    return marked.join(named.join(groups, "_root").select("fingerprint", "_keeper"), "fingerprint").select(
+        "record_id", "prompt_hash", "fingerprint", F.col("_keeper.record_id").alias("group_id"), keeper.alias("keeper")
+    )
+
+
+def keep_first(prompts: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row of ``prompts`` (with all their columns) per group: that of its keeper, once if it is repeated."""
+    kept = groups.where("keeper").select(F.col("record_id").alias("_kept_id"), F.col("prompt_hash").alias("_kept_hash")).distinct()
+    keyed = prompts.withColumn("_kept_hash", F.xxhash64("prompt"))
+    same = keyed["record_id"].eqNullSafe(kept["_kept_id"]) & (keyed["_kept_hash"] == kept["_kept_hash"])
+    return keyed.join(kept, same, "left_semi").dropDuplicates(["record_id", "_kept_hash"]).drop("_kept_hash")

@@ -120,9 +120,8 @@ def op8_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return groups.select(F.col("record_id").alias("doc_id"), digits.alias("fingerprint"), F.col("group_id").alias("component_id"))
 
 
-@_query
-def op9_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
-    packing = pack_prompts(as_prompts(_table(spark, sf, "documents")), tokenizer_path("byte_bpe_50k.json"), end_id=0)
+def packed_documents(documents: DataFrame) -> DataFrame:
+    packing = pack_prompts(as_prompts(documents), tokenizer_path("byte_bpe_50k.json"), end_id=0)
     keys = ["bucket", "row"]
     digests = with_crc32(packing.pieces, "token_ids", "ids_crc32", [*keys, "record_id", "piece", "start", "length"])
     return digests.join(packing.placements, keys).select(
@@ -130,6 +129,11 @@ def op9_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@_query
+def op9_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packed_documents(_table(spark, sf, "documents"))
+
+
 @_query
 def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     documents = _table(spark, sf, "documents")
