@@ -15,9 +15,9 @@ RULES: dict[str, str] = {
     "repeated_windows": "100 * n_repeat_words > 20 * n_words",
     "symbols": "10 * n_symbols > n_words",
     "word_length": "word_chars < 2 * n_words or word_chars > 14 * n_words",
-    "repeated_lines": "10 * n_dup_lines > 3 * n_lines",
+    "repeated_lines": "2 * n_dup_lines > n_lines",
     "capitals": "2 * n_capital_words > n_words",
-    "few_letters": "5 * n_letter_words < 4 * n_words",
+    "few_letters": "2 * n_letter_words < n_words",
     "few_distinct_words": "n_words >= 50 and 10 * n_distinct_words < n_words",
 }
 

@@ -81,18 +81,19 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(int(a), int(b), float(right - left)) for a, b, left, right in stack]
 
 
-def _passages(text: str | None, scores: _Scores, decay: float, log_k: float) -> tuple[float, list[tuple[int, int, float]]]:
-    """Summed evidence of the significant passages (else of the best one), and those passages by token positions."""
+def _passages(text: str | None, scores: _Scores, decay: float, log_k: float) -> tuple[float | None, float, list[tuple[int, int, float]]]:
+    """Evidence of the best passage, if any, summed evidence of the significant ones (else the best), and those by token positions."""
     tokens = TOKEN.findall((text or "").lower())
     if not tokens:
-        return -10.0, []
+        return None, -10.0, []
     values = np.fromiter(map(scores.__getitem__, tokens), "f8", len(tokens))
     found = [(a, b, decay * s - log_k - np.log(len(tokens))) for a, b, s in maximal_segments(values)]
     if not found:
-        return -10.0, []
+        return None, -10.0, []
+    best = float(max(p[2] for p in found))
     significant = [p for p in found if p[2] > 3.0]
-    evidence = sum(p[2] for p in significant) if significant else max(p[2] for p in found)
-    return float(min(40.0, max(-10.0, evidence))), significant
+    evidence = sum(p[2] for p in significant) if significant else best
+    return best, float(min(12.0, max(-10.0, evidence))), significant
 
 
 def fit_toxicity(labelled: DataFrame, max_terms: int = 100_000, prior_stem: float = 20.0, prior_token: float = 10.0, penalty: float = 0.5) -> ToxicityModel:
@@ -100,7 +101,7 @@ def fit_toxicity(labelled: DataFrame, max_terms: int = 100_000, prior_stem: floa
 
     The rate of a token among toxic prompts has a Dirichlet prior centred on the rate of its stem (its first five
     letters), which has one centred on the overall rate; ``prior_token`` and ``prior_stem`` are their weights. A token
-    counts once per prompt. The model keeps the ``max_terms`` tokens and as many stems of largest absolute log-odds;
+    counts once per prompt, and its log-odds are drawn towards 0 by their standard deviation. The model keeps the ``max_terms`` tokens and as many stems of largest absolute log-odds;
     all others count as neutral. ``decay`` solves the equation of expected exponentiated clean scores, ``log_k`` is
     fitted to the best segments of clean prompts, and a logistic curve over binned evidence gives the score.
     Null prompts and labels are left out; with no labels left every score is that of no evidence.
@@ -132,24 +133,27 @@ def fit_toxicity(labelled: DataFrame, max_terms: int = 100_000, prior_stem: floa
     share = min(0.99, max(0.01, (total["t"] or 0) / max(1, (total["t"] or 0) + (total["c"] or 0))))
     stem = F.substring("token", 1, STEM)
     stems = tokens.groupBy(stem.alias("stem")).agg(F.sum("toxic").alias("_t"), F.sum("clean").alias("_c"))
-    stems = stems.select("stem", ((F.col("_t") + prior_stem * share) / (F.col("_t") + F.col("_c") + prior_stem)).alias("_rate"))
+    stems = stems.select("stem", (F.col("_t") + prior_stem * share).alias("_a"), (F.col("_c") + prior_stem * (1 - share)).alias("_b"))
     odds = float(np.log(share / (1 - share)))
 
-    def logit(rate: Column) -> Column:
-        return F.log(rate / (1 - rate)) - odds
+    def log_odds(toxic: Column, clean: Column) -> Column:
+        """Against the overall odds, drawn towards 0 by one standard deviation."""
+        value = F.log(toxic / clean) - odds
+        return F.signum(value) * F.greatest(F.abs(value) - F.sqrt(1 / toxic + 1 / clean), F.lit(0.0))
 
-    rate = (F.col("toxic") + prior_token * F.col("_rate")) / (F.col("toxic") + F.col("clean") + prior_token)
-    weighted = stage(tokens.join(stems, stem == stems["stem"]).select("token", "clean", logit(rate).alias("_w")), "token-odds")
+    share_of_stem = F.col("_a") / (F.col("_a") + F.col("_b"))
+    weight = log_odds(F.col("toxic") + prior_token * share_of_stem, F.col("clean") + prior_token * (1 - share_of_stem))
+    weighted = stage(tokens.join(stems, stem == stems["stem"]).select("token", "clean", weight.alias("_w")), "token-odds")
     strong = F.abs("_w") >= 0.3
     kept = {r["token"]: r["_w"] for r in weighted.where(strong).orderBy(F.desc(F.abs("_w")), "token").limit(max_terms).select("token", "_w").collect()}
-    stem_odds = stems.select("stem", logit(F.col("_rate")).alias("_w")).where(strong)
+    stem_odds = stems.select("stem", log_odds(F.col("_a"), F.col("_b")).alias("_w")).where(strong)
     kept_stems = {r["stem"]: r["_w"] for r in stem_odds.orderBy(F.desc(F.abs("_w")), "stem").limit(max_terms).collect()}
     bins = weighted.groupBy(F.round(F.when(strong, F.col("_w")).otherwise(0.0), 1).alias("w")).agg(F.sum("clean").alias("n")).collect()
     decay = _decay(np.array([r["w"] for r in bins]) - penalty, np.array([r["n"] for r in bins], "f8"))
     model = ToxicityModel(kept, kept_stems, penalty, decay, 0.0, -3.0, 0.6)
-    held = stage(rows.where("_fold = 0").select("toxic", _scored("prompt", model, spark)["evidence"].alias("e"), F.lit(0).alias("_")), "calibration")
-    clean = held.where(~F.col("toxic") & (F.col("e") > -10)).agg(F.avg("e").alias("m")).first()["m"]
-    log_k = (clean or 0.0) - 0.5772156649 if clean is not None else 0.0
+    best = rows.where((F.col("_fold") == 0) & ~F.col("toxic")).select(_scored("prompt", model, spark)["best"].alias("b"))
+    clean = best.agg(F.avg("b").alias("m")).first()["m"]
+    log_k = clean - 0.5772156649 if clean is not None else 0.0
     model = model._replace(log_k=log_k)
     held = rows.where("_fold = 0").select("toxic", F.round(_scored("prompt", model, spark)["evidence"], 1).alias("e"))
     curve = held.groupBy("e").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("toxic").cast("int")).alias("t")).collect()
@@ -175,11 +179,18 @@ def _logistic(x: np.ndarray, n: np.ndarray, t: np.ndarray) -> tuple[float, float
     """Logistic curve of ``t`` of ``n`` over ``x``, held near intercept -3 and slope 0.6 by one pseudo-observation."""
     start = beta = np.array([-3.0, 0.6])
     design = np.stack([np.ones_like(x), x], 1)
+
+    def loss(at: np.ndarray) -> float:
+        z = design @ at
+        return float((n * np.logaddexp(0, z) - t * z).sum() + ((at - start) ** 2).sum() / 2)
+
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
         gradient = design.T @ (t - n * p) - (beta - start)
         step = np.linalg.solve(design.T @ (design * (n * p * (1 - p))[:, None]) + np.eye(2), gradient)
-        beta = beta + np.clip(step, -2, 2)
+        while loss(beta + step) > loss(beta) and np.abs(step).max() > 1e-9:
+            step = step / 2
+        beta = beta + step
     return float(beta[0]), float(max(beta[1], 0.01))
 
 
@@ -187,18 +198,19 @@ def _scored(prompt: Column | str, model: ToxicityModel, spark: SparkSession) ->
     sent = spark.sparkContext.broadcast(model)
     cache: list[_Scores] = []
 
-    @F.pandas_udf("evidence double, score double, passages array<struct<start:int,end:int,evidence:double>>")
+    @F.pandas_udf("best double, evidence double, score double, passages array<struct<start:int,end:int,evidence:double>>")
     def run(texts: pd.Series) -> pd.DataFrame:
         m = sent.value
         if not cache:
             cache.append(_Scores(m))
-        evidence, passages = [], []
+        best, evidence, passages = [], [], []
         for text in texts:
-            e, found = _passages(text, cache[0], m.decay, m.log_k)
+            b, e, found = _passages(text, cache[0], m.decay, m.log_k)
+            best.append(b)
             evidence.append(e)
             passages.append([{"start": a, "end": b, "evidence": float(s)} for a, b, s in found])
         e = np.array(evidence, "f8")
-        return pd.DataFrame({"evidence": e, "score": 1 / (1 + np.exp(-np.clip(m.intercept + m.slope * e, -30, 30))), "passages": passages})
+        return pd.DataFrame({"best": pd.array(best, "Float64"), "evidence": e, "score": 1 / (1 + np.exp(-np.clip(m.intercept + m.slope * e, -30, 30))), "passages": passages})
 
     return run(prompt)
 
