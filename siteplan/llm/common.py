@@ -70,7 +70,7 @@ def with_crc32(df: DataFrame, ids: str, name: str, keep: list[str]) -> DataFrame
         for batch in batches:
             column = batch.column(len(keep))
             offsets = column.offsets.to_numpy()
-            raw = memoryview(column.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)).cast("B")
+            raw = memoryview(column.values.to_numpy(zero_copy_only=False)).cast("B")
             crc = [zlib.crc32(raw[4 * i : 4 * j]) for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(crc, pa.int64())], names=[*keep, name])
 

@@ -7,6 +7,12 @@ from array import array
 from tokenizers import Tokenizer
 
 _OPEN: dict[str, Encoder] = {}
+MARKS = frozenset(".,;:!?")
+#: White space for Python that a tokenizer may take for a sign, and all white space but spaces and newlines.
+DOUBTFUL = "\x1c\x1d\x1e\x1f\x85"
+OTHER_SPACE = DOUBTFUL + "\t\v\f\r\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: What keeps spaces and newlines from standing alone between words.
+RUNS = ("  ", "\n\n", " \n", "\n ")
 
 
 def encoder(path: str) -> Encoder:
@@ -17,16 +23,24 @@ def encoder(path: str) -> Encoder:
 
 
 class _Memo(dict):
-    """Bytes by word. Full, it starts again: the limit bounds memory and never changes a result."""
+    """Ids by word, as bytes. Words not met while ``limit`` new ones came are forgotten: memory is bounded, results are not touched."""
 
-    def __init__(self, make, limit: int) -> None:
+    def __init__(self, owner: Encoder, space: str, limit: int) -> None:
         super().__init__()
-        self.make, self.limit = make, limit
+        self.owner, self.space, self.limit = owner, space, limit
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.make(word)
-        if len(word) <= 48:
+        if word and word[0] == "\n":
+            return self.owner.line + self.owner.bare[word[1:]]
+        if word and word[-1] in MARKS and word[:-1].isalpha():
+            return self[word[:-1]] + self.owner.bare[word[-1]]
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.owner.split(word, self.space)
+        if len(word) <= 32:
             if len(self) >= self.limit:
+                self.older = dict(self)
                 self.clear()
             self[word] = ids
         return ids
@@ -36,41 +50,54 @@ class Encoder:
     """Token ids, as little-endian 32-bit bytes, exactly as ``Tokenizer.encode(text, add_special_tokens=False)``.
 
     Both kinds of file supported split at white space before merging: one keeps a single space with the word
-    after it, the other drops white space. In a text whose white space is single spaces and single newlines,
-    words are therefore encoded apart; any other text goes through the library whole. The strings of special
-    tokens in a text are ordinary text.
+    after it, the other drops white space. With the latter, and with the former in a text whose white space is single
+    spaces and single newlines, words are therefore encoded apart; any other text goes through the library whole. Words of Latin-1 letters, with
+    at most one mark at their end, go straight to the library's model, others through its steps one by one. The
+    strings of special tokens in a text are ordinary text.
     """
 
-    def __init__(self, path: str, limit: int = 250_000) -> None:
+    def __init__(self, path: str, limit: int = 300_000) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self._part = _Memo(self._merge, limit)
-        self._bare = _Memo(self._split, limit)
-        self._spaced = _Memo(lambda word: self._split(" " + word), limit)
-        keeps, drops = self._whole("a b\nc"), self._whole("abc") and self._whole("a b")
-        self._line = self._whole("\n")
-        self.spaces = keeps == self._whole("a") + self._whole(" b") + self._line + self._whole("c") and bool(self._line)
-        self.drops = not self._line and drops == self._whole("a") + self._whole("b")
+        self.model, self.normalizer, self.parts = self.tokenizer.model, self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        self.bare, self.spaced = _Memo(self, "", limit), _Memo(self, " ", limit)
+        self.line = self._whole("\n")
+        self.spaces = bool(self.line) and self._whole("a b\nc") == self._whole("a") + self._whole(" b") + self.line + self._whole("c")
+        self.drops = not self.line and self._whole("a b") == self._whole("a") + self._whole("b")
+        self.lower = self._whole("AÉ") == self._whole("aé")
+        #: The model's character for each byte of a Latin-1 letter in UTF-8, and for a space.
+        self.marks = {b: m for c in map(chr, range(0x80, 0x100)) if c.isalpha() for b, m in zip(c.encode(), self._mapped(c), strict=True)}
+        self.gap = {" ": self._mapped(" a")[:-1] if self.spaces else "", "": ""}
+
+    def _mapped(self, text: str) -> str:
+        return "".join(p for p, _ in self.parts.pre_tokenize_str(text))
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _merge(self, part: str) -> bytes:
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(part)]).tobytes()
-
-    def _split(self, word: str) -> bytes:
-        normalizer = self.tokenizer.normalizer
-        text = normalizer.normalize_str(word) if normalizer is not None else word
-        return b"".join([self._part[p] for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)])
+        return array("I", [t.id for t in self.model.tokenize(part)]).tobytes()
+
+    def split(self, word: str, space: str) -> bytes:
+        """Ids of a word without white space, after a space or not."""
+        if word.isalpha():
+            letters = word.lower() if self.lower else word
+            if letters.isascii():
+                return self._merge(self.gap[space] + letters)
+            if max(word) < "Ā":
+                return self._merge(self.gap[space] + letters.encode().decode("latin-1").translate(self.marks))
+        text = space + word
+        if self.normalizer is not None:
+            text = self.normalizer.normalize_str(text)
+        return b"".join([self._merge(p) for p, _ in self.parts.pre_tokenize_str(text)])
 
     def encode(self, text: str) -> bytes:
-        words = text.split()
-        if len(words) != text.count(" ") + text.count("\n") + 1 or not (self.spaces or self.drops):
-            return self._whole(text) if text else b""
-        if self.drops:
-            return b"".join(map(self._bare.__getitem__, words))
-        lines = []
-        for line in text.split("\n"):
-            first, *rest = line.split(" ")
-            lines.append(self._bare[first] + b"".join(map(self._spaced.__getitem__, rest)))
-        return self._line.join(lines)
+        if not text:
+            return b""
+        has = text.__contains__
+        if self.drops and not any(map(has, DOUBTFUL)):
+            return b"".join(map(self.bare.__getitem__, text.split()))
+        if self.spaces and text[0] not in " \n" and text[-1] not in " \n" and not any(map(has, RUNS)) and not any(map(has, OTHER_SPACE)):
+            first, *rest = text.replace("\n", " \n").split(" ")
+            return self.bare[first] + b"".join(map(self.spaced.__getitem__, rest))
+        return self._whole(text)

@@ -57,7 +57,7 @@ def write_token_table(
         .write.option("parquet.block.size", row_group_bytes).option("parquet.page.size", page_bytes)
         .option("parquet.writer.version", "PARQUET_2_0").option("parquet.enable.dictionary", "true")
         .option("parquet.enable.dictionary#record_id", "false").option("parquet.enable.dictionary#file_start", "false")
-        .option("compression", "zstd").parquet(folder)
+        .option("compression", "snappy").parquet(folder)
     )
 
 
