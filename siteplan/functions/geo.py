@@ -153,6 +153,20 @@ def on_boundary(x, y, rings) -> Column:
     )
 
 
+def edge_directions(x, y, rings) -> Column:
+    """Angles at which edges of a polygon leave a point on its boundary."""
+    x, y = _c(x), _c(y)
+    at = F.filter(
+        _segments(_c(rings)),
+        lambda s: ((s["x2"] - s["x1"]) * (y - s["y1"]) == (s["y2"] - s["y1"]) * (x - s["x1"]))
+        & x.between(F.least(s["x1"], s["x2"]), F.greatest(s["x1"], s["x2"]))
+        & y.between(F.least(s["y1"], s["y2"]), F.greatest(s["y1"], s["y2"])),
+    )
+    ends = F.flatten(F.transform(at, lambda s: F.array(F.struct(s["x1"].alias("x"), s["y1"].alias("y")), F.struct(s["x2"].alias("x"), s["y2"].alias("y")))))
+    away = F.filter(ends, lambda e: (e["x"] != x) | (e["y"] != y))
+    return F.array_distinct(F.transform(away, lambda e: F.atan2(e["y"] - y, e["x"] - x)))
+
+
 def inside_rings(x, y, rings) -> Column:
     """Even-odd rule; points on the boundary are decided by ``on_boundary`` first."""
     x, y = _c(x), _c(y)

@@ -115,7 +115,6 @@ def travel_matrix(
     routed: DataFrame | None = None,
     crs: str = "EPSG:4326",
     meters_per_unit: float = 1.0,
-    max_rounds: int = 10_000,
 ) -> DataFrame:
     """Long travel matrix ``origin_id, destination_id, travel``.
 
@@ -152,7 +151,7 @@ def travel_matrix(
     if strategy == "graph_shortest_path":
         if edges is None:
             raise ValueError("graph travel needs edges")
-        costs = graphs.shortest_paths(edges, origins.select("node").distinct(), cutoff, max_rounds)
+        costs = graphs.shortest_paths(edges, origins.select("node").distinct(), cutoff)
         wanted = destinations.select("destination_id", F.col("node").alias("target"))
         if cutoff is not None:
             reached = origins.select("origin_id", F.col("node").alias("origin")).join(costs, "origin")

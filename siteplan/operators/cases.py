@@ -305,7 +305,12 @@ def tree_digest(cases: DataFrame, keys: list[str], record_id: str, order: str, b
     """Digest of digests over blocks of ``block`` ordered ids, for selections of any size."""
     placed = positions(cases, keys, [order], name="_p")
     level = placed.select(*keys, F.col("_p").alias("_at"), F.sha2(F.col(record_id).cast("string"), 256).alias("_d"))
-    for _ in range(4):
+    # The levels follow the longest selection, so that one digest is left for every key.
+    longest = placed.agg(F.max("_p")).first()[0] or 1
+    levels = 1
+    while block**levels < longest:
+        levels += 1
+    for _ in range(max(4, levels)):
         level = level.withColumn("_b", F.floor((F.col("_at") - 1) / block) + 1).groupBy(*keys, "_b").agg(
             F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_d"))), lambda e: e["_d"]), ""), 256).alias("_d")
         ).withColumnRenamed("_b", "_at")

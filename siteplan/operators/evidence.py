@@ -66,21 +66,23 @@ def build_demand(
 
 
 def grid_points(spark: SparkSession, bounds: tuple[float, float, float, float], spacing: float, id_name: str = "site_id") -> DataFrame:
-    """Row-major point grid (by y, then x) with ids ``grid-%06d``; only points inside the bounds."""
+    """Row-major point grid (by y, then x) with ids ``grid-%06d`` without gaps; only points inside the bounds."""
     west, south, east, north = map(float, bounds)
     if spacing <= 0 or east < west or north < south:
         raise ValueError("grid needs a positive spacing and ordered bounds")
     columns = int((east - west) / spacing + 1e-9) + 1
     rows = int((north - south) / spacing + 1e-9) + 1
+    # A last step that rounding carries over the edge is no column or row.
+    columns -= (columns - 1) * spacing + west > east
+    rows -= (rows - 1) * spacing + south > north
     cells = spark.range(columns * rows).select(
         F.col("id"), (F.col("id") % columns).alias("c"), F.floor(F.col("id") / columns).alias("r")
     )
-    placed = cells.select(
+    return cells.select(
         F.format_string("grid-%06d", F.col("id") + 1).alias(id_name),
         (F.col("c") * spacing + west).alias("x"),
         (F.col("r") * spacing + south).alias("y"),
     )
-    return placed.filter((F.col("x") <= east) & (F.col("y") <= north))
 
 
 def build_candidates(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Sequence
 
@@ -34,7 +35,7 @@ def unknown_nodes(wanted: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def shortest_paths(
-    edges: DataFrame, origins: DataFrame, cutoff: float | None = None, max_rounds: int = 10_000
+    edges: DataFrame, origins: DataFrame, cutoff: float | None = None
 ) -> DataFrame:
     """Cost from every origin node to every node it reaches (``origin, node, cost``).
 
@@ -48,7 +49,7 @@ def shortest_paths(
     best = origins.select(
         F.col("node").alias("origin"), F.col("node"), F.lit(0.0).alias("cost"), F.lit(True).alias("fresh")
     )
-    for round_number in range(1, max_rounds + 1):
+    for round_number in itertools.count(1):
         front = best.filter("fresh").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
         moves = (
             front.join(steps, (front["node"] == steps["src"]) & (front["_salt"] == steps["_salt"]))
@@ -68,7 +69,6 @@ def shortest_paths(
             best = cut_lineage(best)
             if best.filter("fresh").isEmpty():
                 return best.drop("fresh")
-    raise RuntimeError("shortest paths did not settle within max_rounds")
 
 
 def isochrones(edges: DataFrame, origins: DataFrame, cutoffs: Sequence[float]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ PRIVACY = ("public", "internal", "sensitive", "restricted")
 ROUNDS_PER_CUT = 3
 
 
-def lineage_members(seeds: DataFrame, catalog: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def lineage_members(seeds: DataFrame, catalog: DataFrame) -> DataFrame:
     """Every artifact each run reaches through parents: ``run_id, artifact_id``.
 
     ``seeds``: run_id, artifact_id; ``catalog``: artifact_id, parent_ids. Only rows found in the last
@@ -22,7 +24,7 @@ def lineage_members(seeds: DataFrame, catalog: DataFrame, max_rounds: int = 10_0
     parents = catalog.select("artifact_id", F.explode("parent_ids").alias("parent_id")).distinct()
     parents = cut_lineage(parents)
     known = seeds.select("run_id", "artifact_id").distinct().withColumn("fresh", F.lit(True))
-    for round_number in range(1, max_rounds + 1):
+    for round_number in itertools.count(1):
         found = known.filter("fresh").join(parents, "artifact_id").select("run_id", F.col("parent_id").alias("artifact_id"))
         merged = known.select("run_id", "artifact_id", F.lit(False).alias("fresh")).unionByName(found.withColumn("fresh", F.lit(True)))
         # A pair is fresh only if it was not known before this round.
@@ -31,7 +33,6 @@ def lineage_members(seeds: DataFrame, catalog: DataFrame, max_rounds: int = 10_0
             known = cut_lineage(known)
             if known.filter("fresh").isEmpty():
                 return known.drop("fresh")
-    raise RuntimeError("lineage did not settle within max_rounds")
 
 
 def lineage_closure(seeds: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -14,6 +14,8 @@ from siteplan.session import cut_lineage
 SALT = 8
 LEAF_POINTS = 256
 FAN = 4
+#: Distance of a spot beside a point, as a share of its coordinates.
+NEARBY = 1e-7
 MAX_DEPTH = 14
 
 
@@ -153,22 +155,39 @@ def box_join(left: DataFrame, right: DataFrame, predicate: str = "intersects", p
 def in_area(points: DataFrame, areas: DataFrame, predicate: str = "within", x: str = "x", y: str = "y", rings: str = "rings") -> DataFrame:
     """Keep the points inside (``within``) or touching (``intersects``) the union of the areas.
 
-    A point on the shared edge of two areas counts as inside their union.
+    A point on edges is inside the union if the areas that touch it cover everything around it: between each two
+    neighbouring directions of edges that leave the point, a spot close to it must lie in one of them.
     """
     marked = points.withColumn("_pid", F.struct(F.col(x), F.col(y)))
     spots = marked.select("_pid", F.col(x).alias("_x"), F.col(y).alias("_y")).distinct()
     pairs = pair_points_polygons(spots, areas.select(F.col(rings).alias("_rings")), "_x", "_y", "_rings")
     edge = geo.on_boundary("_x", "_y", "_rings")
     inner = ~edge & geo.inside_rings("_x", "_y", "_rings")
-    hits = pairs.select("_pid", inner.alias("inner"), edge.alias("edge")).filter("inner or edge")
-    found = hits.groupBy("_pid").agg(F.max("inner").alias("inner"), F.count_if("edge").alias("edges"))
+    hits = pairs.select("_pid", "_x", "_y", "_rings", inner.alias("inner"), edge.alias("edge")).filter("inner or edge")
     if predicate == "within":
-        found = found.filter(F.col("inner") | (F.col("edges") > 1))
-    elif predicate != "intersects":
+        inside = hits.filter("inner").select("_pid").distinct()
+        open_ = hits.filter("edge").join(inside, "_pid", "left_anti")
+        found = inside.unionByName(_surrounded(open_.select("_pid", "_x", "_y", "_rings")))
+    elif predicate == "intersects":
+        found = hits.select("_pid").distinct()
+    else:
         raise ValueError("area predicate must be within or intersects")
     return marked.join(found.select("_pid"), "_pid", "left_semi").drop("_pid")
 
 
+def _surrounded(touching: DataFrame) -> DataFrame:
+    """Points (``_pid``) that the polygons touching them, one per row, cover on all sides."""
+    sides = touching.select("_pid", "_x", "_y", F.explode(geo.edge_directions("_x", "_y", "_rings")).alias("_angle")).distinct()
+    around = Window.partitionBy("_pid").orderBy("_angle")
+    first = F.min("_angle").over(Window.partitionBy("_pid"))
+    middle = (F.col("_angle") + F.coalesce(F.lead("_angle").over(around), first + 2 * math.pi)) / 2
+    reach = F.greatest(F.abs("_x"), F.abs("_y"), F.lit(1.0)) * NEARBY
+    probes = sides.select("_pid", middle.alias("_middle"), (F.col("_x") + reach * F.cos(middle)).alias("_px"), (F.col("_y") + reach * F.sin(middle)).alias("_py"))
+    tested = probes.join(touching.select("_pid", "_rings"), "_pid")
+    covered = tested.groupBy("_pid", "_middle").agg(F.max(geo.point_polygon("_px", "_py", "_rings", "intersects")).alias("_in"))
+    return covered.groupBy("_pid").agg(F.min("_in").alias("_in")).filter("_in").select("_pid")
+
+
 REDUCERS = {
     "sum": lambda v, o: F.sum(v),
     "mean": lambda v, o: F.avg(v),

@@ -132,7 +132,6 @@ def enumerate_plans(problems: DataFrame, ev: s.Evidence, cap: int, order: str =
     """
     limits = subset_limits(problems, ev)
     sizes = F.when(F.col("fewest") <= F.col("most"), F.sequence("fewest", "most"))
-    # Sizes stop as soon as the cap is passed, so counts stay small enough to be exact.
     counted = F.aggregate(
         F.coalesce(sizes, F.array().cast("array<bigint>")),
         F.array().cast("array<struct<size:bigint,before:double,count:double>>"),
@@ -151,7 +150,9 @@ def enumerate_plans(problems: DataFrame, ev: s.Evidence, cap: int, order: str =
     )
     rows = limits.withColumn("_sizes", counted)
     last = F.try_element_at("_sizes", F.lit(-1))
-    rows = rows.withColumn("total", F.coalesce(last["before"] + last["count"], F.lit(0.0)))
+    total = F.coalesce(last["before"] + last["count"], F.lit(0.0))
+    inexact = F.raise_error(F.lit("more subsets than a total can count exactly")).cast("double")
+    rows = rows.withColumn("total", F.when(total <= 2.0**53, total).otherwise(inexact))
     rows = rows.withColumn("_s", F.explode("_sizes")).filter(F.col("_s.before") < cap)
     count = F.least(F.col("_s.count"), F.lit(float(cap)) - F.col("_s.before")).cast("bigint")
     rows = rows.withColumn("_index", F.explode(F.sequence(F.lit(0).cast("bigint"), count - 1)))
@@ -197,17 +198,17 @@ def incumbent_timeline(candidates: DataFrame, keys: Sequence[str], order: str, c
 
 def improve(
     problems: DataFrame, plans: DataFrame, plan_sites: DataFrame, ev: s.Evidence,
-    strategy: str = "add_swap", start: int = 0, limit: int = 1000, floors: DataFrame | None = None,
+    strategy: str = "add_swap", start: int = 0, limit: int | None = None, floors: DataFrame | None = None,
     families: Sequence[str] = s.FAMILIES, order: str = "ord",
 ) -> tuple[DataFrame, DataFrame]:
-    """Evaluate one slice of a strategy and return (strict improvements in order, status per plan).
+    """Evaluate a strategy, or with ``limit`` one slice of it, and return (strict improvements in order, status per plan).
 
     Status holds evaluated, total, next_ordinal and ``complete`` or ``partial``; an enumeration that is
     complete proves its best value.
     """
     ev = ev.settled()
     if strategy == "exact_enumeration":
-        found, listed = enumerate_plans(problems, ev, start + limit, order)
+        found, listed = enumerate_plans(problems, ev, start + limit if limit is not None else 1 << 62, order)
         found = found.filter(F.col("ordinal") >= start).join(plans.select("problem_id", F.col("plan_id").alias("parent_id")), "problem_id")
     elif strategy in ("add_swap", "multi_swap", "scenario_aware"):
         found, listed = neighbors(plans, plan_sites, problems, ev, strategy == "multi_swap", start, limit, order)

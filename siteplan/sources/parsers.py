@@ -111,12 +111,14 @@ def parse_catalog(df: DataFrame, search: str, page: str, json: str, limit: int)
 
 
 def materialize_locations(
-    candidates: DataFrame, selected_ids: Sequence[str], fields: Sequence[str] = (), unit_cost: float | None = None
+    candidates: DataFrame, selected_ids: Sequence[str], fields: Sequence[str] = (), unit_cost: float | None = None,
+    order: str | None = None,
 ) -> DataFrame:
     """Selected candidates in caller order.
 
     ``candidates`` holds ``provider_id, display_name, longitude, latitude, metadata MAP``. Repeated
-    selections, unknown ids, conflicting copies of an id and absent metadata fields raise.
+    selections, unknown ids, conflicting copies of an id and absent metadata fields raise. Copies that differ in
+    name only take the last name by ``order``, or the greatest name where no order is given.
     """
     if len(set(selected_ids)) != len(selected_ids):
         raise ValueError("selected ids must not repeat")
@@ -126,7 +128,7 @@ def materialize_locations(
     wanted = spark.createDataFrame([(i, v) for i, v in enumerate(selected_ids)], "ord INT, provider_id STRING")
     same = F.to_json(F.struct("longitude", "latitude", F.array_sort(F.map_entries("metadata"))))
     known = candidates.groupBy("provider_id").agg(
-        F.first("display_name").alias("name"), F.first("longitude").alias("longitude"),
+        (F.max_by("display_name", order) if order else F.max("display_name")).alias("name"), F.first("longitude").alias("longitude"),
         F.first("latitude").alias("latitude"), F.first("metadata").alias("metadata"),
         F.min(same).alias("_low"), F.max(same).alias("_high"),
     )

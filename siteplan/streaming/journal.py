@@ -137,12 +137,15 @@ def stream_budget(usage: DataFrame, max_tokens: int, max_tool_calls: int) -> Dat
     )
 
 
-def stream_latency(events: DataFrame, watermark: str = "1 hour", longest: str = "1 hour") -> DataFrame:
-    """Latency of finished tool calls by a stream-stream join; both bounds limit the state.
+def stream_latency(events: DataFrame, watermark: str | None = None, longest: str | None = None) -> DataFrame:
+    """Latency of finished tool calls by a stream-stream join.
 
-    A start is matched with the terminal event of its action generation within ``longest``.
+    A start is matched with the terminal event of its action generation. Every call is matched, however long, unless
+    ``watermark`` and ``longest`` are given: both together bound the state, and calls longer than ``longest`` have no row.
     """
-    timed = events.withWatermark("timestamp", watermark)
+    if (watermark is None) != (longest is None):
+        raise ValueError("a bound needs both a watermark and a longest call")
+    timed = events if watermark is None else events.withWatermark("timestamp", watermark)
     begun = timed.filter(F.col("kind") == "tool_started").select(
         F.col("run_id").alias("s_run"), F.col("action_id").alias("s_action"), F.col("action_generation").alias("s_generation"),
         F.col("timestamp").alias("s_time"), F.col("relative_monotonic_ms").alias("s_ms"),
@@ -150,9 +153,10 @@ def stream_latency(events: DataFrame, watermark: str = "1 hour", longest: str =
     )
     ended = timed.filter(F.col("kind").isin(*TOOL_ENDS)).select("run_id", "action_id", "action_generation", "timestamp", "relative_monotonic_ms")
     same = (F.col("run_id") == F.col("s_run")) & (F.col("action_id") == F.col("s_action")) & (F.col("action_generation") == F.col("s_generation"))
-    window = (F.col("timestamp") >= F.col("s_time")) & (F.col("timestamp") <= F.col("s_time") + F.expr(f"INTERVAL {longest}"))
+    if longest is not None:
+        same = same & (F.col("timestamp") >= F.col("s_time")) & (F.col("timestamp") <= F.col("s_time") + F.expr(f"INTERVAL {longest}"))
     spent = F.greatest(F.col("relative_monotonic_ms") - F.col("s_ms"), F.lit(0))
-    return begun.join(ended, same & window).select("run_id", "action_id", "action_generation", "tool", spent.alias("latency_ms"))
+    return begun.join(ended, same).select("run_id", "action_id", "action_generation", "tool", spent.alias("latency_ms"))
 
 
 def redact_stream(events: DataFrame, payload: str = "payload") -> DataFrame:

@@ -286,18 +286,25 @@ def _fresh_folder(spark) -> str:
 
 def _event_stream(spark, sf):
     schema = table(spark, sf, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    # A pattern serves one file and a folder of part files alike.
+    return spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]")
 
 
-def _drain(spark, stream, mode="append"):
-    """Run a stream over the files present, into a Parquet folder beside the checkpoints."""
+def _drain(spark, stream, mode="append", keys=()):
+    """Run a stream over the files present, into a Parquet folder beside the checkpoints.
+
+    Each batch owns a folder, so that a repeated batch replaces itself; in update mode the last row per key counts.
+    """
     root = _fresh_folder(spark)
 
     def keep(batch, number):
-        batch.write.mode("append").parquet(f"{root}/data")
+        batch.write.mode("overwrite").parquet(f"{root}/data/batch={number}")
 
     stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{root}/data")
+    found = spark.read.parquet(f"{root}/data")
+    if keys:
+        found = found.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in found.columns if c not in (*keys, "batch")]), "batch").alias("_last")).select(*keys, "_last.*")
+    return found.drop("batch")
 
 
 @query(
@@ -311,7 +318,7 @@ def streamed_budgets(spark, sf):
         F.col("user_id").cast("string").alias("run_id"), F.get_json_object("props", "$.k").cast("bigint").alias("tokens"),
         (F.col("event_type") == "click").cast("bigint").alias("tool_calls"),
     )
-    found = _drain(spark, journal.stream_budget(usage, 3000, 15), "update")
+    found = _drain(spark, journal.stream_budget(usage, 3000, 15), "update", ["run_id"])
     return found.select("run_id", "tokens_used", "tool_calls_used", "over_limit")
 
 

@@ -359,8 +359,10 @@ def grid_candidates(spark, sf):
     with_sql(
         SITE, ZONE,
         body="""SELECT CAST(site_id AS VARCHAR) AS site_id, opening_cost, capacity, eligible, existing FROM site s
-WHERE EXISTS (SELECT 1 FROM zone z WHERE z.region IN (1, 3) AND s.lon > z.west AND s.lon < z.east AND s.lat > z.south AND s.lat < z.north)
-   OR (SELECT count(*) FROM zone z WHERE z.region IN (1, 3) AND s.lon >= z.west AND s.lon <= z.east AND s.lat >= z.south AND s.lat <= z.north) > 1""",
+WHERE EXISTS (SELECT 1 FROM zone z WHERE z.region IN (1, 3) AND s.lon >= z.west AND s.lon < z.east AND s.lat >= z.south AND s.lat < z.north)
+  AND EXISTS (SELECT 1 FROM zone z WHERE z.region IN (1, 3) AND s.lon > z.west AND s.lon <= z.east AND s.lat >= z.south AND s.lat < z.north)
+  AND EXISTS (SELECT 1 FROM zone z WHERE z.region IN (1, 3) AND s.lon >= z.west AND s.lon < z.east AND s.lat > z.south AND s.lat <= z.north)
+  AND EXISTS (SELECT 1 FROM zone z WHERE z.region IN (1, 3) AND s.lon > z.west AND s.lon <= z.east AND s.lat > z.south AND s.lat <= z.north)""",
     ),
 )
 def candidate_sites(spark, sf):
