@@ -192,10 +192,38 @@ def coverage(plan_sites: DataFrame, plans: DataFrame, problems: DataFrame, ev: E
     )
 
 
+def _covered_sums(plan_sites: DataFrame, plans: DataFrame, problems: DataFrame, ev: Evidence) -> DataFrame:
+    """``plan_id, scenario, pattern, _covered``: covered weight per plan, as the sum of ``coverage`` would give it.
+
+    Demand is added up per site before any plan is seen: what one site alone reaches in one number, what several
+    sites reach in another. A plan meets single demand rows only through selected sites that may share some: each
+    shared demand names its least site as hub, and sites of a plan that have a hub in common are the ones to look into.
+    """
+    keys = ["evidence_id", "scenario", "demand_id"]
+    pairs = _available(ev.service, ev).filter(F.col("benefit") > 0).select(*keys, "site_id", "benefit")
+    pairs = pairs.groupBy(*keys, "site_id").agg(F.max("benefit").alias("benefit"))
+    reach = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_reach"), F.min("site_id").alias("_hub"))
+    rows = cut_lineage(pairs.join(reach.join(demand_weights(ev), keys), keys).select(*keys, "site_id", "benefit", "weight", "pattern", "_reach", "_hub"))
+    worth = F.col("benefit") * F.col("weight")
+    single = F.col("_reach") == 1
+    per_site = rows.groupBy("evidence_id", "site_id", "scenario", "pattern").agg(
+        F.sum(F.when(single, worth).otherwise(0.0)).alias("_alone"), F.sum(F.when(single, 0.0).otherwise(worth)).alias("_shared")
+    )
+    shared = rows.filter(F.col("_reach") > 1)
+    selected = _keyed(plan_sites, plans, problems).select("plan_id", "evidence_id", "site_id")
+    at_hubs = selected.join(shared.select("evidence_id", "site_id", "_hub").distinct(), ["evidence_id", "site_id"])
+    crowded = at_hubs.groupBy("plan_id", "_hub").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
+    close = at_hubs.join(crowded.select("plan_id", "_hub"), ["plan_id", "_hub"], "left_semi").select("plan_id", "site_id").distinct()
+    marked = selected.join(close.withColumn("_close", F.lit(True)), ["plan_id", "site_id"], "left").withColumn("_close", F.coalesce("_close", F.lit(False)))
+    apart = _reach(marked, per_site).select("plan_id", "scenario", "pattern", (F.col("_alone") + F.when(F.col("_close"), 0.0).otherwise(F.col("_shared"))).alias("_w"))
+    met = _reach(marked.filter("_close"), shared).groupBy("plan_id", "scenario", "demand_id", "pattern").agg(F.max(worth).alias("_w"))
+    both = apart.unionByName(met.select("plan_id", "scenario", "pattern", "_w"))
+    return both.groupBy("plan_id", "scenario", "pattern").agg(F.sum("_w").alias("_covered"))
+
+
 def coverage_by_scenario(plan_sites: DataFrame, plans: DataFrame, problems: DataFrame, ev: Evidence) -> DataFrame:
     """``plan_id, scenario, group_name, coverage, scenario_total``; the empty group name is the whole demand."""
-    covered = coverage(plan_sites, plans, problems, ev)
-    sums = covered.groupBy("plan_id", "scenario", "pattern").agg(F.sum(F.col("coverage") * F.col("weight")).alias("_covered"))
+    sums = _covered_sums(plan_sites, plans, problems, ev)
     sums = _by_group(sums, ev, ["plan_id", "scenario"], ["_covered"])
     frame = _plan_frame(plans, problems, _totals(demand_weights(ev), ev), ev)
     joined = frame.join(sums, ["plan_id", "scenario", "group_name"], "left")
