@@ -16,8 +16,6 @@ KEEP_SCORE = 0.35
 RESOLVE_SCORE = 0.72
 RESOLVE_MARGIN = 0.03
 RADIUS_SLACK = 1e-9
-# Cases up to this many places are enumerated by bit mask.
-BITS = 14
 SALT = 8
 
 
@@ -74,67 +72,41 @@ def resolve_names(queries: DataFrame, places: DataFrame) -> DataFrame:
     return checked.withColumn("status", F.when(again, "repeated").otherwise(F.col("status"))).drop("_first")
 
 
-def _cover_masks(places: DataFrame, radius: str) -> DataFrame:
-    """Per case: population array, and per place a bit mask of the places within the radius.
+def _covers(places: DataFrame, radius: str) -> DataFrame:
+    """Per case: population array, and per place the indices of the places within the radius.
 
-    A case is one row holding its own few places; masks need at most 62 of them.
+    A case is one row holding its own places, as its subsets are enumerated.
     """
     entry = F.struct("ord", "longitude", "latitude", F.coalesce("population", F.lit(0)).cast("bigint").alias("population"), "name")
     packed = places.groupBy("case_id", radius).agg(F.array_sort(F.collect_list(entry)).alias("p"))
     # Cases are small rows with much work each: a fixed number of partitions keeps all cores busy.
     packed = packed.repartition(shuffle_buckets(places.sparkSession), "case_id")
-    bad = F.raise_error(F.lit("exact cases hold at most 62 places")).cast("int")
-    packed = packed.withColumn("n", F.when(F.size("p") <= 62, F.size("p")).otherwise(bad))
-
-    def mask(center: Column) -> Column:
-        inside = F.transform(
-            F.col("p"),
-            lambda d, i: F.when(
-                geo.haversine(center["longitude"], center["latitude"], d["longitude"], d["latitude"]) <= F.col(radius) + RADIUS_SLACK,
-                F.call_function("shiftleft", F.lit(1).cast("bigint"), i),
-            ).otherwise(F.lit(0).cast("bigint")),
-        )
-        return F.aggregate(inside, F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(b))
-
-    return packed.select(
-        "case_id", "n", F.transform("p", lambda e: e["population"]).alias("population"),
-        F.transform("p", lambda e: e["name"]).alias("names"), F.transform("p", mask).alias("masks"),
-    )
-
-
-def _bit(mask: Column, i: Column) -> Column:
-    return F.call_function("shiftright", mask, i).bitwiseAND(F.lit(1).cast("bigint")) == 1
 
+    def reach(center: Column) -> Column:
+        def inside(d: Column, i: Column) -> Column:
+            km = geo.haversine(center["longitude"], center["latitude"], d["longitude"], d["latitude"])
+            return F.when(km <= F.col(radius) + RADIUS_SLACK, i)
 
-def _union_mask(masks: Column, indices: Column) -> Column:
-    return F.aggregate(indices, F.lit(0).cast("bigint"), lambda acc, i: acc.bitwiseOR(F.get(masks, i)))
+        return F.array_compact(F.transform(F.col("p"), inside))
 
-
-def _population(population: Column, mask: Column) -> Column:
-    counted = F.transform(population, lambda v, i: F.when(_bit(mask, i), v).otherwise(F.lit(0).cast("bigint")))
-    return F.aggregate(counted, F.lit(0).cast("bigint"), lambda a, b: a + b)
+    return packed.select(
+        "case_id", F.size("p").alias("n"), F.transform("p", lambda e: e["population"]).alias("population"),
+        F.transform("p", lambda e: e["name"]).alias("names"), F.transform("p", reach).alias("reaches"),
+    )
 
 
 def _subsets(cases: DataFrame, size: Column) -> DataFrame:
-    """Every ``size``-subset of each case's places as an ascending index array.
-
-    Small cases run over the bit masks of all their subsets; larger ones address the subsets of
-    the one size by number, so their rows never exceed the subsets asked for.
-    """
-    one = F.lit(1).cast("bigint")
-    top = F.call_function("shiftleft", one, F.col("n")) - 1
-    small = cases.filter(F.col("n") <= BITS).withColumn("_subset", F.explode(F.sequence(one, top)))
-    small = small.filter(F.bit_count("_subset") == size)
-    members = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: _bit(F.col("_subset"), i))
+    """Every ``size``-subset of each case's places as an ascending index array, addressed by its number."""
     count = choose(F.col("n"), size).cast("bigint")
     indices = F.when(count > 0, F.sequence(F.lit(0).cast("bigint"), count - 1))
-    large = cases.filter(F.col("n") > BITS).withColumn("_subset", F.explode(indices))
     chosen = F.transform(combination_at(F.col("n"), size, F.col("_subset")), lambda i: i.cast("int"))
-    return small.withColumn("chosen", members).unionByName(large.withColumn("chosen", chosen)).drop("_subset")
+    return cases.withColumn("_subset", F.explode(indices)).withColumn("chosen", chosen).drop("_subset")
 
 
 def _covered(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("people_covered", _population(F.col("population"), _union_mask(F.col("masks"), F.col("chosen"))))
+    reached = F.array_distinct(F.flatten(F.transform("chosen", lambda i: F.get("reaches", i))))
+    people = F.aggregate(reached, F.lit(0).cast("bigint"), lambda total, i: total + F.get("population", i))
+    return rows.withColumn("people_covered", people)
 
 
 def solve_max_coverage(places: DataFrame, cases: DataFrame) -> DataFrame:
@@ -145,7 +117,7 @@ def solve_max_coverage(places: DataFrame, cases: DataFrame) -> DataFrame:
     size = F.when(F.col("centers").between(1, F.col("n")), F.col("centers")).otherwise(
         F.raise_error(F.lit("centers must lie between 1 and the number of places")).cast("int")
     )
-    base = _cover_masks(places.join(cases.select("case_id", "radius_km"), "case_id"), "radius_km")
+    base = _covers(places.join(cases.select("case_id", "radius_km"), "case_id"), "radius_km")
     base = base.join(cases.select("case_id", "centers"), "case_id").withColumn("centers", size)
     scored = _covered(_subsets(base, F.col("centers"))).select("case_id", "people_covered", "chosen")
     # One aggregate keeps every value, how often it occurs, and its first combination.
@@ -162,11 +134,11 @@ def solve_max_coverage(places: DataFrame, cases: DataFrame) -> DataFrame:
 def solve_minimum_facility(places: DataFrame, cases: DataFrame) -> DataFrame:
     """Fewest places that reach the target share of population; first optimum and number of optima.
 
-    ``cases``: case_id, target_percent, radius_km. Small cases try all sizes at once; for larger ones
-    sizes are tried in turn, each only for the cases not solved yet. The people covered are those of
+    ``cases``: case_id, target_percent, radius_km. Sizes are tried in turn, each only for the
+    cases not solved yet. The people covered are those of
     the first optimum.
     """
-    base = _cover_masks(places.join(cases.select("case_id", "radius_km"), "case_id"), "radius_km")
+    base = _covers(places.join(cases.select("case_id", "radius_km"), "case_id"), "radius_km")
     total = F.aggregate("population", F.lit(0).cast("bigint"), lambda a, b: a + b)
     base = cut_lineage(base.join(cases.select("case_id", "target_percent"), "case_id").withColumn(
         "target_population", F.ceil(total * F.col("target_percent") / 100).cast("bigint")
@@ -181,11 +153,8 @@ def solve_minimum_facility(places: DataFrame, cases: DataFrame) -> DataFrame:
             F.min("minimum_centers").alias("minimum_centers"), F.min_by(F.struct("optimal_solution_count", "b"), "minimum_centers").alias("f")
         )
 
-    one = F.lit(1).cast("bigint")
-    small = base.filter(F.col("n") <= BITS).withColumn("_subset", F.explode(F.sequence(one, F.call_function("shiftleft", one, F.col("n")) - 1)))
-    members = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: _bit(F.col("_subset"), i))
-    solved = first_optima(small.withColumn("chosen", members))
-    pending = base.filter(F.col("n") > BITS)
+    pending = base
+    solved = first_optima(base.limit(0).withColumn("chosen", F.array().cast("array<int>")))
     largest = pending.agg(F.max("n")).first()[0] or 0
     for size in range(1, largest + 1):
         found = cut_lineage(first_optima(_subsets(pending, F.lit(size))))

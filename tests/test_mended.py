@@ -80,3 +80,14 @@ def test_last_name_of_a_repeated_place(spark):
     rows = spark.createDataFrame([("p", "Old", 1.0, 2.0, 1), ("p", "New", 1.0, 2.0, 2)], "provider_id STRING, display_name STRING, longitude DOUBLE, latitude DOUBLE, seen INT")
     rows = rows.withColumn("metadata", F.create_map(F.lit("a"), F.lit("b")))
     assert materialize_locations(rows, ["p"], order="seen").first()["name"] == "New"
+
+
+def test_cases_of_eighty_places(spark):
+    places = [("c", i, f"p{i}", float(i), 0.0, i) for i in range(80)]
+    frame = spark.createDataFrame(places, "case_id STRING, ord INT, name STRING, longitude DOUBLE, latitude DOUBLE, population BIGINT")
+    asked = spark.createDataFrame([("c", 1, 120.0, 2.0)], "case_id STRING, centers INT, radius_km DOUBLE, target_percent DOUBLE")
+    best = cases.solve_max_coverage(frame, asked).first()
+    assert (best.people_covered, best.optimal_solution_count, best.center_locations) == (77 + 78 + 79, 1, ["p78"])
+    fewest = cases.solve_minimum_facility(frame, asked).first()
+    shown = (fewest.minimum_centers, fewest.people_covered, fewest.target_population, fewest.optimal_solution_count, fewest.center_locations)
+    assert shown == (1, 21 + 22 + 23, 64, 58, ["p22"])
