@@ -63,22 +63,32 @@ def _state(links: DataFrame) -> tuple[int, str]:
 
 
 def with_crc32(df: DataFrame, ids: str, name: str, keep: list[str]) -> DataFrame:
-    """``keep`` columns and the unsigned CRC-32 of a token list as little-endian unsigned 32-bit integers."""
+    """``keep`` columns and the unsigned CRC-32 of token ids as little-endian unsigned 32-bit integers.
+
+    ``ids`` is a column of integer lists or of such bytes.
+    """
     schema = df.select(*keep).schema.add(name, "long")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(len(keep))
-            offsets = column.offsets.to_numpy()
-            raw = memoryview(column.values.to_numpy(zero_copy_only=False)).cast("B")
-            crc = [zlib.crc32(raw[4 * i : 4 * j]) for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            if pa.types.is_binary(column.type):
+                crc = [zlib.crc32(x.as_buffer()) for x in column]
+            else:
+                offsets = column.offsets.to_numpy()
+                raw = memoryview(column.values.to_numpy(zero_copy_only=False)).cast("B")
+                crc = [zlib.crc32(raw[4 * i : 4 * j]) for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(crc, pa.int64())], names=[*keep, name])
 
     return df.select(*keep, ids).mapInArrow(digest, schema)
 
 
-def id_lists(parts: list[bytes]) -> pa.ListArray:
-    """Little-endian 32-bit token bytes as one Arrow list column."""
-    offsets = np.zeros(len(parts) + 1, "i4")
-    np.cumsum([len(p) // 4 for p in parts], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), "<i4")))
+def id_lists(offsets: np.ndarray, ids: np.ndarray) -> pa.ListArray:
+    """Token ids as one Arrow list column."""
+    return pa.ListArray.from_arrays(pa.array(offsets.astype("i4")), pa.array(ids.view("<i4")))
+
+
+def id_bytes(offsets: np.ndarray, ids: np.ndarray) -> pa.BinaryArray:
+    """Token ids as one Arrow column of bytes."""
+    ends = pa.py_buffer((4 * offsets).astype("<i4"))
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, ends, pa.py_buffer(np.ascontiguousarray(ids, "<u4"))])

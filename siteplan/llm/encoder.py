@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 from array import array
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 _OPEN: dict[str, Encoder] = {}
@@ -13,6 +17,22 @@ DOUBTFUL = "\x1c\x1d\x1e\x1f\x85"
 OTHER_SPACE = DOUBTFUL + "\t\v\f\r\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: What keeps spaces and newlines from standing alone between words.
 RUNS = ("  ", "\n\n", " \n", "\n ")
+#: Marks a sign that follows a word without a space, once it stands apart.
+APART = "\x01"
+MARKED = r"(\pL)([.,;:!?])( |\n|$)"
+IRREGULAR = r"[ \n][ \n]|^[ \n]|[ \n]$|[\x01\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+SLICE_BYTES = 6 << 20
+
+
+def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``SLICE_BYTES``; a longer text is a range of its own."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype("i8")
+    total, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        done = total[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(total, done + SLICE_BYTES, side="right")))
+        yield at, end
+        at = end
 
 
 def encoder(path: str) -> Encoder:
@@ -101,3 +121,49 @@ class Encoder:
             first, *rest = text.replace("\n", " \n").split(" ")
             return self.bare[first] + b"".join(map(self.spaced.__getitem__, rest))
         return self._whole(text)
+
+    def encode_column(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Offsets and ids of a column of texts, each followed by ``end_id``; a null is an empty text.
+
+        Texts with plain white space are split together, and each distinct word among them is looked up once.
+        """
+        n = len(texts)
+        texts = pc.fill_null(texts, "")
+        plain = np.zeros(n, bool)
+        if self.spaces or self.drops:
+            odd = pc.match_substring_regex(texts, IRREGULAR).to_numpy(zero_copy_only=False).astype(bool)
+            plain = ~odd & (pc.binary_length(texts).to_numpy(zero_copy_only=False) > 0)
+        rows = np.flatnonzero(plain)
+        others = np.flatnonzero(~plain)
+        ids, ends = self._encode_plain(texts.take(pa.array(rows))) if len(rows) else (np.zeros(0, "<u4"), np.zeros(1, "i8"))
+        apart = [np.frombuffer(self.encode(t), "<u4") for t in texts.take(pa.array(others)).to_pylist()]
+        counts = np.empty(n, "i8")
+        counts[rows] = np.diff(ends)
+        counts[others] = [len(a) for a in apart]
+        offsets = np.concatenate([[0], np.cumsum(counts + 1)])
+        out = np.full(offsets[-1], end_id, "<u4")
+        out[np.repeat(offsets[rows] - ends[:-1], counts[rows]) + np.arange(len(ids))] = ids
+        for row, a in zip(others.tolist(), apart, strict=True):
+            out[offsets[row] : offsets[row] + len(a)] = a
+        return offsets, out
+
+    def _encode_plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        texts = pc.replace_substring_regex(texts, MARKED, r"\1 " + APART + r"\2\3")
+        words = pc.split_pattern(pc.replace_substring(texts, "\n", " \n" if self.spaces else " "), " ")
+        starts = words.offsets.to_numpy() - words.offsets[0].as_py()
+        coded = words.flatten().dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        code = coded.indices.to_numpy().astype("i8")
+        memo = self.spaced if self.spaces else self.bare
+        parts = [memo[w] if w[:1] != APART else self.bare[w[1:]] for w in names]
+        if self.spaces:
+            first, code[starts[:-1]] = np.unique(code[starts[:-1]], return_inverse=True)
+            code[starts[:-1]] += len(names)
+            parts += [self.bare[names[k]] for k in first.tolist()]
+        size = np.fromiter(map(len, parts), "i8", len(parts)) >> 2
+        table = np.frombuffer(b"".join(parts), "<u4")
+        begin = np.cumsum(size) - size
+        lengths = size[code]
+        total = np.concatenate([[0], np.cumsum(lengths)])
+        ids = table[np.repeat(begin[code] - total[:-1], lengths) + np.arange(total[-1])]
+        return ids, total[starts]

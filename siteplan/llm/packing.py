@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siteplan.llm.common import id_lists, stage
-from siteplan.llm.encoder import encoder
+from siteplan.llm.common import id_bytes, stage
+from siteplan.llm.encoder import encoder, slices
 
 #: A sequence's piece lengths, and how many sequences look like that.
 Pattern = tuple[tuple[int, ...], int]
@@ -22,7 +22,8 @@ Pattern = tuple[tuple[int, ...], int]
 
 class Packing(NamedTuple):
     """``pieces``: record_id, piece, start, length, token_ids and the piece's key (bucket, row);
-    ``placements``: bucket, row, sequence_id, offset."""
+    ``placements``: bucket, row, sequence_id, offset. Token ids are bytes, little-endian unsigned 32-bit integers, as
+    training loaders map them."""
 
     pieces: DataFrame
     placements: DataFrame
@@ -38,36 +39,33 @@ def cut_prompts(prompts: DataFrame, tokenizer: str, end_id: int, capacity: int)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, bucket, row = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        end, seen = end_id.to_bytes(4, "little"), np.zeros(capacity + 1, "i8")
+        seen = np.zeros(capacity + 1, "i8")
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                owner, piece, start, ids = [], [], [], []
-                for i, text in enumerate(part.column(1).to_pylist()):
-                    raw = one.encode(text or "") + end
-                    n = len(raw) // 4
-                    at = [0, *range((n - 1) % capacity + 1, n + 1, capacity)]
-                    for k in range(len(at) - 1):
-                        owner.append(i)
-                        piece.append(k)
-                        start.append(at[k])
-                        ids.append(raw[4 * at[k] : 4 * at[k + 1]])
-                length = np.array([len(x) // 4 for x in ids], "i8")
-                rank = np.empty(len(ids), "i8")
-                for k, n in enumerate(length.tolist()):
-                    rank[k] = seen[n]
-                    seen[n] += 1
-                rows = np.arange(row, row + len(ids))
-                row += len(ids)
+            for lo, hi in slices(batch.column(1)):
+                offsets, ids = one.encode_column(batch.column(1).slice(lo, hi - lo), end_id)
+                tokens = np.diff(offsets)
+                number = -(-tokens // capacity)
+                owner = np.repeat(np.arange(lo, hi), number)
+                piece = np.arange(len(owner)) - np.repeat(np.cumsum(number) - number, number)
+                first = np.repeat((tokens - 1) % capacity + 1, number)
+                length = np.where(piece == 0, first, capacity)
+                start = np.where(piece == 0, 0, first + (piece - 1) * capacity)
+                order = np.argsort(length, kind="stable")
+                sizes = np.bincount(length, minlength=capacity + 1)
+                rank = np.empty(len(owner), "i8")
+                rank[order] = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes - seen, sizes)
+                seen += sizes
+                cuts = np.concatenate([[0], np.cumsum(length)])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(owner, pa.int32())), pa.array([bucket] * len(ids), pa.int32()), pa.array(rows), pa.array(piece, pa.int32()),
-                     pa.array(start, pa.int64()), pa.array(length), pa.array(rank), id_lists(ids)],
+                    [batch.column(0).take(pa.array(owner)), pa.array(np.full(len(owner), bucket, "i4")), pa.array(np.arange(row, row + len(owner))), pa.array(piece.astype("i4")),
+                     pa.array(start), pa.array(length), pa.array(rank), id_bytes(cuts, ids)],
                     names=["record_id", "bucket", "row", "piece", "start", "length", "length_rank", "token_ids"],
                 )
+                row += len(owner)
 
     prompts = prompts.select("record_id", "prompt")
     kind = prompts.schema["record_id"].dataType.simpleString()
-    schema = f"record_id {kind}, bucket int, row long, piece int, start long, length long, length_rank long, token_ids array<int>"
+    schema = f"record_id {kind}, bucket int, row long, piece int, start long, length long, length_rank long, token_ids binary"
     return stage(prompts.mapInArrow(cut, schema), "pieces")
 
 
@@ -107,11 +105,11 @@ def pack_prompts(prompts: DataFrame, tokenizer: str, end_id: int, capacity: int
 
 
 def sequences(packing: Packing) -> DataFrame:
-    """One row per sequence: ``sequence_id``, ``record_ids`` and ``token_ids`` in order of their offsets."""
+    """One row per sequence: ``sequence_id``, ``record_ids`` and ``token_ids`` (bytes) in order of their offsets."""
     part = F.struct("offset", "record_id", "token_ids")
     return (
         packing.pieces.join(packing.placements, ["bucket", "row"]).groupBy("sequence_id").agg(F.array_sort(F.collect_list(part)).alias("_p"))
-        .select("sequence_id", F.col("_p.record_id").alias("record_ids"), F.flatten(F.col("_p.token_ids")).alias("token_ids"))
+        .select("sequence_id", F.col("_p.record_id").alias("record_ids"), F.aggregate(F.col("_p.token_ids"), F.lit(b""), lambda joined, ids: F.concat(joined, ids)).alias("token_ids"))
     )
 
 

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteplan.llm.common import id_lists
-from siteplan.llm.encoder import encoder
+from siteplan.llm.encoder import encoder, slices
 
 #: Files up to this many have their places sent to every task; more are joined by a shuffle.
 PLACED_FILES = 1_000_000
@@ -35,18 +36,14 @@ def write_token_table(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, file_no, start = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        end = end_id.to_bytes(4, "little")
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
-                ids = [one.encode(t or "") + end for t in part.column(1).to_pylist()]
-                counts = [len(i) // 4 for i in ids]
-                starts = list(accumulate(counts, initial=start))
-                start = starts.pop()
+            for lo, hi in slices(batch.column(1)):
+                offsets, ids = one.encode_column(batch.column(1).slice(lo, hi - lo), end_id)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([file_no] * len(ids), pa.int32()), pa.array(starts, pa.int64()), pa.array(counts, pa.int32()), id_lists(ids)],
+                    [batch.column(0).slice(lo, hi - lo), pa.array(np.full(hi - lo, file_no, "i4")), pa.array(start + offsets[:-1]), pa.array(np.diff(offsets).astype("i4")), id_lists(offsets, ids)],
                     names=["record_id", "file_no", "file_start", "n_tokens", "token_ids"],
                 )
+                start += int(offsets[-1])
 
     prompts = prompts.select("record_id", "prompt")
     order = ["record_id", F.xxhash64("prompt"), "prompt"]

@@ -6,11 +6,12 @@ from array import array
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from siteplan.llm.common import shared_path, with_crc32
-from siteplan.llm.encoder import Encoder, _Memo
+from siteplan.llm.encoder import Encoder, _Memo, slices
 from siteplan.llm.packing import best_fit, fill_patterns, pack_prompts, plan_sequences, sequences
 from siteplan.llm.token_files import read_token_table, write_token_table
 
@@ -18,7 +19,7 @@ FILES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
 ODD = [
     "", " ", "\n", "a", "It's  a TEST\ttab <|endoftext|> end. ", "ÀÉÎ œuvre Straße ½ x²y don't we'll 12,345.67 日本語テキスト", "\n\nA\n", "áb é 가 é",
     "İstanbul ΑΣ ΟΔΟΣ x", "word!! wow... ,start !\x1c\x85", "µm ªº ÿ Ÿ a\x1cb c", "😀 emoji👍🏽, ok?", "'s 't I'm", "a\t\nb", "a \nb\n c", "x" * 3000 + " y",
-    "The sites, (north) cover 60% of demand.\nThe rest is unserved; see p3.", "word " * 500,
+    "The sites, (north) cover 60% of demand.\nThe rest is unserved; see p3.", "word " * 500, "a. b, c! \x01, d?e f.,g h.",
 ]
 
 
@@ -29,6 +30,18 @@ def test_encoder_equals_library(name):
         assert one.encode(text) == array("I", one.tokenizer.encode(text, add_special_tokens=False).ids).tobytes(), text
 
 
+@pytest.mark.parametrize("name", FILES)
+def test_columns_equal_single_texts(name):
+    one, other = Encoder(public_tokenizers.path(name)), Encoder(public_tokenizers.path(name))
+    texts = [None, *ODD, "a b\nc d", "a b", *ODD[::-1]]
+    offsets, ids = one.encode_column(pa.array(texts).slice(1), 9)
+    for k, text in enumerate(texts[1:]):
+        assert ids[offsets[k] : offsets[k + 1]].tobytes() == other.encode(text) + array("I", [9]).tobytes(), text
+    assert one.encode_column(pa.array([None, ""]), 9)[1].tolist() == [9, 9]
+    assert one.encode_column(pa.array([], pa.string()), 9)[0].tolist() == [0]
+    assert list(slices(pa.array(["x" * 100, None, "y" * (7 << 20), "z"]))) == [(0, 2), (2, 3), (3, 4)]
+
+
 def test_memo_forgets_without_changing_results():
     one = Encoder(public_tokenizers.path(FILES[0]), limit=2)
     words = [f"w{i % 7}" for i in range(100)]
@@ -77,7 +90,7 @@ def test_packing_keeps_every_token_once(spark, prompts):
     for r in prompts.collect():
         texts.setdefault(r["record_id"], []).append([*np.frombuffer(one.encode(r["prompt"] or ""), "<u4").tolist(), 0])
     for r in pieces:
-        assert any(t[r["start"] : r["start"] + r["length"]] == list(r["token_ids"]) for t in texts[r["record_id"]])
+        assert any(t[r["start"] : r["start"] + r["length"]] == np.frombuffer(r["token_ids"], "<u4").tolist() for t in texts[r["record_id"]])
         assert r["piece"] == 0 or r["length"] == 64
     assert sum(r["length"] for r in pieces) == sum(len(t) for group in texts.values() for t in group)
     by_sequence: dict = {}
@@ -91,7 +104,7 @@ def test_packing_keeps_every_token_once(spark, prompts):
             at += r["length"]
         assert at <= 64
     packed = sequences(packing).collect()
-    assert sorted(t for r in packed for t in r["token_ids"]) == sorted(t for group in texts.values() for x in group for t in x)
+    assert sorted(t for r in packed for t in np.frombuffer(r["token_ids"], "<u4").tolist()) == sorted(t for group in texts.values() for x in group for t in x)
     assert pack_prompts(prompts.limit(0), public_tokenizers.path(FILES[0]), end_id=0, capacity=64).placements.count() == 0
 
 
