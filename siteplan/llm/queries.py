@@ -28,6 +28,82 @@ MAX_LABELLED = 200_000
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
 
+# Windows of item size laid where a document shares a five-word shingle with an item of five words or more.
+ORACLES["op1_benchmark_decontamination"] = r"""
+WITH dw AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM documents),
+bw AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM benchmark),
+ds AS (SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM dw)),
+bs AS (SELECT item_id, n, i, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT item_id, ws, len(ws) AS n, unnest(range(1, len(ws) - 3)) AS i FROM bw)),
+k AS (SELECT DISTINCT doc_id, item_id, n, ds.i - bs.i AS pos FROM ds JOIN bs USING (s)),
+wc AS (SELECT k.doc_id, k.item_id, k.pos, k.n, ds.s, count(*) AS c FROM k JOIN ds ON ds.doc_id = k.doc_id AND ds.i BETWEEN k.pos + 1 AND k.pos + k.n - 4 GROUP BY ALL),
+bc AS (SELECT item_id, s, count(*) AS c FROM bs GROUP BY ALL),
+m AS (SELECT wc.doc_id, wc.item_id, wc.pos, wc.n, sum(least(wc.c, coalesce(bc.c, 0))) AS shared, sum(wc.c) AS have FROM wc LEFT JOIN bc ON bc.item_id = wc.item_id AND bc.s = wc.s GROUP BY ALL),
+r AS (SELECT doc_id, item_id, greatest(pos, 0) AS start, n, shared / (have + (n - 4) - shared) AS sim FROM m)
+SELECT doc_id, item_id, CAST(start AS INT) AS start, CAST(n AS INT) AS n_words, round(sim, 6) AS similarity FROM r WHERE sim >= 0.8
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY sim DESC, start) = 1
+"""
+
+ORACLES["op2_quality_rules"] = r"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),
+rep AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1),
+cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM rep, (SELECT unnest(range(0, 5)) AS k) GROUP BY doc_id),
+m AS (SELECT w.doc_id, len(ws) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words,
+    len(list_filter(ws, lambda x: regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '[a-z]'))) AS caps,
+    len(list_filter(ws, lambda x: regexp_matches(x, '[A-Za-z]') OR regexp_matches(x, '[^\x00-\x7F]'))) AS letters, len(list_distinct(ws)) AS kinds
+  FROM w LEFT JOIN cov ON cov.doc_id = w.doc_id),
+f AS (SELECT *, CAST(n_words < 10 AS BIGINT) + 2 * CAST(100 * n_repeat_words > 20 * n_words AS BIGINT) + 4 * CAST(10 * n_symbols > n_words AS BIGINT)
+    + 8 * CAST(word_chars < 2 * n_words OR word_chars > 14 * n_words AS BIGINT) + 16 * CAST(2 * n_dup_lines > n_lines AS BIGINT) + 32 * CAST(2 * caps > n_words AS BIGINT)
+    + 64 * CAST(2 * letters < n_words AS BIGINT) + 128 * CAST(n_words >= 50 AND 10 * kinds < n_words AS BIGINT) AS failures FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures & 3 > 0 AS base_failed, failures = 0 AS kept, failures FROM f
+"""
+
+
+def _url_sql(depth: int = 4, max_children: int = 20, bound: float = 1.3581015157406195, weight: float = 5.0, reject_at: float = 0.7) -> str:
+    """The verdicts of ``judge_sources`` in SQL, one group of steps per level of the tree; ``bound`` is Hoeffding's at 0.05."""
+    name = said = "NULL"
+    for verdict, rule in sorted(URL_RULES, key=lambda r: len(r[1])):
+        domain, _, start = rule.partition("/")
+        fits = f"(host = '{domain}' OR ends_with(host, '.{domain}')) AND starts_with(path, '/{start}')"
+        name, said = f"CASE WHEN {fits} THEN '{rule}' ELSE {name} END", f"CASE WHEN {fits} THEN '{verdict}' ELSE {said} END"
+    steps = [
+        "a AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages)",
+        "b AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a)",
+        f"c AS (SELECT *, {name} AS rule, {said} AS said, list_filter(string_split(regexp_replace(path, '[0-9]+', '<n>', 'g'), '/'), lambda x: x <> '') AS whole FROM b)",
+        f"p AS (SELECT *, CASE WHEN len(whole) > {depth} THEN list_append(whole[1:{depth}], '**') ELSE whole END AS parts FROM c)",
+        "t0 AS (SELECT host, parts, count(said) AS labels, count(*) FILTER (WHERE said = 'block') AS blocked, '' AS prefix FROM p GROUP BY host, parts)",
+    ]
+    for k in range(depth):
+        steps += [
+            f"s{k} AS (SELECT *, parts[{k + 1}] AS part FROM t{k})",
+            f"br{k} AS (SELECT host, prefix, part, sum(labels) AS labels, sum(blocked) AS blocked, count(*) OVER (PARTITION BY host, prefix) AS children FROM s{k} WHERE part IS NOT NULL GROUP BY host, prefix, part)",
+            f"""la{k} AS (SELECT *, blocked / labels AS rate, 1 / sqrt(labels) AS root FROM br{k} WHERE labels > 0 AND children <= {max_children})""",
+            f"cu{k} AS (SELECT *, CASE WHEN rate - lag(rate) OVER o > {bound} * (root + lag(root) OVER o) THEN 1 ELSE 0 END AS cut FROM la{k} WINDOW o AS (PARTITION BY host, prefix ORDER BY rate, labels DESC, part))",
+            f"bn{k} AS (SELECT *, sum(cut) OVER (PARTITION BY host, prefix ORDER BY rate, labels DESC, part ROWS UNBOUNDED PRECEDING) AS branch FROM cu{k})",
+            f"me{k} AS (SELECT host, prefix, branch, list_sort(list(part)) AS members FROM bn{k} GROUP BY ALL)",
+            f"""na{k} AS (SELECT host, prefix, part, CASE WHEN children > {max_children} THEN '*' ELSE part END AS name FROM br{k} WHERE children > {max_children} OR labels = 0
+  UNION ALL SELECT bn{k}.host, bn{k}.prefix, part, CASE WHEN len(members) > 1 THEN '{{' || array_to_string(members, '|') || '}}' ELSE part END FROM bn{k} JOIN me{k} USING (host, prefix, branch))""",
+            f"t{k + 1} AS (SELECT s.host, s.parts, s.labels, s.blocked, CASE WHEN name IS NULL THEN s.prefix ELSE s.prefix || '/' || name END AS prefix FROM s{k} s LEFT JOIN na{k} n ON n.host = s.host AND n.prefix = s.prefix AND n.part = s.part)",
+        ]
+    steps += [
+        f"pa AS (SELECT host, parts, labels, blocked, CASE WHEN prefix = '' THEN '/' WHEN len(parts) > {depth} THEN prefix || '/**' ELSE prefix END AS template FROM t{depth})",
+        "al AS (SELECT parts, sum(labels) AS n_all, sum(blocked) AS b_all FROM pa GROUP BY parts)",
+        "pr AS (SELECT (coalesce(sum(blocked), 0) + 1) / (coalesce(sum(labels), 0) + 2) AS prior FROM pa)",
+        "te AS (SELECT host, template, sum(labels) AS labels, sum(blocked) AS blocked, sum(n_all) AS n_all, sum(b_all) AS b_all FROM pa JOIN al USING (parts) GROUP BY host, template)",
+        f"pu AS (SELECT host, template, (blocked + {weight} * ((b_all + {weight} * prior) / (n_all + {weight}))) / (labels + {weight}) AS purity FROM te, pr)",
+    ]
+    return (
+        "WITH " + ",\n".join(steps) + f"""
+SELECT page_id, p.host, path, rule, CASE WHEN said IS NOT NULL THEN said WHEN purity >= {reject_at} THEN 'block' ELSE 'allow' END AS verdict, pa.template, round(purity, 6) AS purity
+FROM p JOIN pa ON pa.host = p.host AND pa.parts = p.parts JOIN pu ON pu.host = pa.host AND pu.template = pa.template"""
+    )
+
+
+ORACLES["op7_url_filter"] = _url_sql()
+
+
 def _query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[fn.__name__] = fn
     return fn
