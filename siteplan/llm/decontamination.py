@@ -101,9 +101,11 @@ def find_leaks(prompts: DataFrame, cases: DataFrame, similarity: float = 0.8, ra
     marked = stage(windows.select("*", simhash("_window").alias("_print")), "window-prints")
     keyed = marked.select("*", F.explode(block_keys("_print", 0)).alias("_key"))
     listed = stage(items.select("case_id", "_k", "_n", "_case", simhash("_case").alias("_case_print")), "case-prints")
-    listed = listed.select("*", F.explode(block_keys("_case_print", radius // BLOCKS)).alias("_key"))
+    keys = listed.select("case_id", "_k", "_n", "_case_print", F.explode(block_keys("_case_print", radius // BLOCKS)).alias("_key"))
     near = F.bit_count(F.col("_print").bitwiseXOR(F.col("_case_print"))) <= radius
-    pairs = keyed.join(listed, [keyed["_key"] == listed["_key"], keyed["_k"] == listed["_k"], keyed["n_words"] == listed["_n"], near])
+    # The list of block values is many times its cases: a size guessed from the cases must not get it broadcast.
+    pairs = keyed.join(keys.hint("merge"), [keyed["_key"] == keys["_key"], keyed["_k"] == keys["_k"], keyed["n_words"] == keys["_n"], near])
+    pairs = pairs.select("record_id", "prompt_hash", "start", "n_words", "_window", "case_id").distinct().join(listed, ["case_id"]).where(F.col("n_words") == F.col("_n"))
     pairs = pairs.where(F.arrays_overlap("_window", "_case")).select("record_id", "prompt_hash", "case_id", "start", "n_words", weighted_similarity("_window", "_case").alias("similarity"))
     best = pairs.where(F.col("similarity") >= similarity).groupBy("record_id", "prompt_hash", "case_id")
     chosen = F.max(F.struct(F.col("similarity"), (-F.col("start")).alias("_back"), "n_words"))
