@@ -12,27 +12,25 @@ from siteplan.session import cut_lineage
 
 # Privacy classes from open to closed.
 PRIVACY = ("public", "internal", "sensitive", "restricted")
-ROUNDS_PER_CUT = 3
+ROUNDS_PER_CUT = 16
 
 
 def lineage_members(seeds: DataFrame, catalog: DataFrame) -> DataFrame:
     """Every artifact each run reaches through parents: ``run_id, artifact_id``.
 
-    ``seeds``: run_id, artifact_id; ``catalog``: artifact_id, parent_ids. Only rows found in the last
-    round are expanded; state is checkpointed every few rounds.
+    ``seeds``: run_id, artifact_id; ``catalog``: artifact_id, parent_ids. Each round expands only what the last one
+    found, drops what is known, and appends the rest; known rows are never aggregated again.
     """
-    parents = catalog.select("artifact_id", F.explode("parent_ids").alias("parent_id")).distinct()
-    parents = cut_lineage(parents)
-    known = seeds.select("run_id", "artifact_id").distinct().withColumn("fresh", F.lit(True))
-    for round_number in itertools.count(1):
-        found = known.filter("fresh").join(parents, "artifact_id").select("run_id", F.col("parent_id").alias("artifact_id"))
-        merged = known.select("run_id", "artifact_id", F.lit(False).alias("fresh")).unionByName(found.withColumn("fresh", F.lit(True)))
-        # A pair is fresh only if it was not known before this round.
-        known = merged.groupBy("run_id", "artifact_id").agg(F.min("fresh").alias("fresh"))
-        if round_number % ROUNDS_PER_CUT == 0:
+    parents = cut_lineage(catalog.select("artifact_id", F.explode("parent_ids").alias("parent_id")).distinct())
+    known = front = cut_lineage(seeds.select("run_id", "artifact_id").distinct())
+    for number in itertools.count(1):
+        found = front.join(parents, "artifact_id").select("run_id", F.col("parent_id").alias("artifact_id")).distinct()
+        front = cut_lineage(found.join(known, ["run_id", "artifact_id"], "left_anti"))
+        if front.isEmpty():
+            return known
+        known = known.unionByName(front)
+        if number % ROUNDS_PER_CUT == 0:
             known = cut_lineage(known)
-            if known.filter("fresh").isEmpty():
-                return known.drop("fresh")
 
 
 def lineage_closure(seeds: DataFrame, catalog: DataFrame) -> DataFrame:
