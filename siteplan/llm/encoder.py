@@ -21,7 +21,7 @@ RUNS = ("  ", "\n\n", " \n", "\n ")
 APART = "\x01"
 MARKED = r"(\pL)([.,;:!?])( |\n|$)"
 IRREGULAR = r"[ \n][ \n]|^[ \n]|[ \n]$|[\x01\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 3 << 19
 
 
 def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
@@ -76,7 +76,7 @@ class Encoder:
     strings of special tokens in a text are ordinary text.
     """
 
-    def __init__(self, path: str, limit: int = 300_000) -> None:
+    def __init__(self, path: str, limit: int = 250_000) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model, self.normalizer, self.parts = self.tokenizer.model, self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
