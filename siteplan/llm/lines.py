@@ -12,16 +12,23 @@ FIELD = "<*>"
 BROADCAST_LEAVES = 500_000
 
 
-def masked_line(line: Column) -> Column:
-    """A line with single spaces and a field mark for every word that holds a digit."""
-    plain = F.regexp_replace(F.regexp_replace(line, r"\s+", " "), "^ | $", "")
-    return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, r"[^ ]*[0-9][^ ]*", FIELD)).otherwise(plain)
+def masked_text(prompt: str) -> Column:
+    """A prompt with single spaces inside its lines and a field mark for every word that holds a digit.
+
+    Whole prompts are looked at first, as most need neither change.
+    """
+    text = F.col(prompt)
+    uneven = F.contains(text, F.lit("  "))
+    for space in "\t\v\f\r":
+        uneven = uneven | F.contains(text, F.lit(space))
+    plain = F.when(uneven, F.regexp_replace(text, r"[ \t\x0B\f\r]+", " ")).otherwise(text)
+    return F.when(text.rlike("[0-9]"), F.regexp_replace(plain, r"[^ \n]*[0-9][^ \n]*", FIELD)).otherwise(plain)
 
 
 def _lines(prompts: DataFrame, depth: int) -> DataFrame:
     """Lines with a word: record, prompt hash, line number, leaf of the tree and hash of the masked line."""
-    rows = prompts.select("record_id", F.xxhash64("prompt").alias("_text"), F.posexplode(F.split("prompt", "\n")).alias("_line", "_raw"))
-    rows = rows.where(F.col("_raw").rlike(r"\S")).select("record_id", "_text", "_line", masked_line(F.col("_raw")).alias("_masked"))
+    rows = prompts.select("record_id", F.xxhash64("prompt").alias("_text"), F.posexplode(F.split(masked_text("prompt"), "\n")).alias("_line", "_raw"))
+    rows = rows.select("record_id", "_text", "_line", F.trim("_raw").alias("_masked")).where(F.col("_masked") != "")
     tokens = F.length("_masked") - F.length(F.replace("_masked", F.lit(" "), F.lit(""))) + 1
     leaf = F.xxhash64(tokens, F.substring_index("_masked", " ", depth))
     return rows.select("record_id", "_text", "_line", leaf.alias("_leaf"), F.xxhash64("_masked").alias("_hash"), "_masked")
