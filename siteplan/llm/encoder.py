@@ -12,8 +12,8 @@ from tokenizers import Tokenizer
 
 _OPEN: dict[str, Encoder] = {}
 MARKS = frozenset(".,;:!?")
-#: White space for Python that a tokenizer may take for a sign, and all white space but spaces and newlines.
-DOUBTFUL = "\x1c\x1d\x1e\x1f\x85"
+#: The mark below, white space for Python that a tokenizer may take for a sign, and all white space but spaces and newlines.
+DOUBTFUL = "\x01\x1c\x1d\x1e\x1f\x85"
 OTHER_SPACE = DOUBTFUL + "\t\v\f\r\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: What keeps spaces and newlines from standing alone between words.
 RUNS = ("  ", "\n\n", " \n", "\n ")
@@ -21,7 +21,7 @@ RUNS = ("  ", "\n\n", " \n", "\n ")
 APART = "\x01"
 MARKED = r"(\pL)([.,;:!?])( |\n|$)"
 IRREGULAR = r"[ \n][ \n]|^[ \n]|[ \n]$|[\x01\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-SLICE_BYTES = 3 << 19
+SLICE_BYTES = 6 << 20
 
 
 def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
@@ -53,6 +53,8 @@ class _Memo(dict):
     def __missing__(self, word: str) -> bytes:
         if word and word[0] == "\n":
             return self.owner.line + self.owner.bare[word[1:]]
+        if word and word[0] == APART:
+            return self.owner.bare[word[1:]]
         if word and word[-1] in MARKS and word[:-1].isalpha():
             return self[word[:-1]] + self.owner.bare[word[-1]]
         ids = self.older.get(word)
@@ -76,7 +78,7 @@ class Encoder:
     strings of special tokens in a text are ordinary text.
     """
 
-    def __init__(self, path: str, limit: int = 250_000) -> None:
+    def __init__(self, path: str, limit: int = 300_000) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model, self.normalizer, self.parts = self.tokenizer.model, self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
@@ -142,7 +144,10 @@ class Encoder:
         counts[others] = [len(a) for a in apart]
         offsets = np.concatenate([[0], np.cumsum(counts + 1)])
         out = np.full(offsets[-1], end_id, "<u4")
-        out[np.repeat(offsets[rows] - ends[:-1], counts[rows]) + np.arange(len(ids))] = ids
+        if len(rows) == n:
+            out[np.delete(np.arange(len(out), dtype="i4"), offsets[1:] - 1)] = ids
+        else:
+            out[np.repeat(offsets[rows] - ends[:-1], counts[rows]) + np.arange(len(ids))] = ids
         for row, a in zip(others.tolist(), apart, strict=True):
             out[offsets[row] : offsets[row] + len(a)] = a
         return offsets, out
@@ -152,18 +157,19 @@ class Encoder:
         words = pc.split_pattern(pc.replace_substring(texts, "\n", " \n" if self.spaces else " "), " ")
         starts = words.offsets.to_numpy() - words.offsets[0].as_py()
         coded = words.flatten().dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        code = coded.indices.to_numpy().astype("i8")
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        code = coded.indices.to_numpy().copy()
         memo = self.spaced if self.spaces else self.bare
-        parts = [memo[w] if w[:1] != APART else self.bare[w[1:]] for w in names]
+        parts = [memo[w] for w in names]
         if self.spaces:
             first, code[starts[:-1]] = np.unique(code[starts[:-1]], return_inverse=True)
             code[starts[:-1]] += len(names)
             parts += [self.bare[names[k]] for k in first.tolist()]
-        size = np.fromiter(map(len, parts), "i8", len(parts)) >> 2
+        size = np.fromiter(map(len, parts), "i4", len(parts)) >> 2
         table = np.frombuffer(b"".join(parts), "<u4")
-        begin = np.cumsum(size) - size
+        begin = np.cumsum(size, dtype="i4") - size
         lengths = size[code]
-        total = np.concatenate([[0], np.cumsum(lengths)])
-        ids = table[np.repeat(begin[code] - total[:-1], lengths) + np.arange(total[-1])]
-        return ids, total[starts]
+        total = np.concatenate([np.zeros(1, "i4"), np.cumsum(lengths, dtype="i4")])
+        at = np.repeat(begin[code] - total[:-1], lengths)
+        at += np.arange(total[-1], dtype="i4")
+        return table[at], total[starts].astype("i8")
