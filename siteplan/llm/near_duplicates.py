@@ -1,4 +1,4 @@
-"""Near-duplicate prompts: SimHash fingerprints linked through an inverted index of their bytes."""
+"""Near-duplicate prompts: SimHash fingerprints linked through an inverted index of their bytes, and shingle sets of a least similarity."""
 
 from __future__ import annotations
 
@@ -15,24 +15,36 @@ from siteplan.llm.common import components, stage
 
 SEED = 42
 BYTES = 8
+#: Fingerprints of a shingle set, one per band, each made of so many least hashes. A pair of similarity 0.8 shares none
+#: with probability (1 - 0.8 ** 4) ** 24, about 3 in a million.
+BANDS, LEAST = 24, 4
+#: Rounds that hold one member of each posting against the others before the pairs left are all compared.
+STARS = 3
 
 
-def fingerprint(prompt: str | None, words: int = 4) -> int:
-    """64-bit SimHash of the shingles of a prompt, repeats included.
+def shingle_hashes(prompt: str | None, words: int) -> np.ndarray:
+    """XXH64 of the shingles of a prompt, in order and with repeats.
 
     A-Z are lower-cased, words are runs of anything but ASCII white space, a shingle is ``words`` of them joined
-    by spaces (fewer: the whole sequence). A bit is 1 if more than half the XXH64 values have it. No word: 0.
+    by spaces (fewer: the whole sequence). No word: no shingle.
     """
     parts = (prompt or "").encode().lower().split()
     if not parts:
-        return 0
+        return np.zeros(0, "<u8")
+    digest = xxhash.xxh64_intdigest
     if len(parts) <= words:
-        return xxhash.xxh64_intdigest(b" ".join(parts), SEED)
+        return np.array([digest(b" ".join(parts), SEED)], "<u8")
     text = b" ".join(parts)
     ends = np.cumsum([len(p) + 1 for p in parts])
     starts = [0, *ends[:-words].tolist()]
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(text[a:b], SEED) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist(), strict=True)], "<u8")
+    return np.array([digest(text[a:b], SEED) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist(), strict=True)], "<u8")
+
+
+def fingerprint(prompt: str | None, words: int = 4) -> int:
+    """64-bit SimHash of the shingles of a prompt, repeats included. A bit is 1 if more than half the hashes have it. No word: 0."""
+    hashes = shingle_hashes(prompt, words)
+    if len(hashes) <= 1:
+        return int(hashes.sum())
     ones = np.zeros(64, "i8")
     for lo in range(0, len(hashes), 65536):
         ones += np.unpackbits(hashes[lo : lo + 65536].view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype="i8")
@@ -183,6 +195,112 @@ def near_duplicates(prompts: DataFrame, radius: int = 4, words: int = 4) -> Data
     )
 
 
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """One key per band of a set of shingle hashes; equal where the band's least hashes are. None for an empty set."""
+    if not len(shingles):
+        return np.zeros(0, "u8")
+    mixes = np.random.default_rng(SEED).integers(0, 2**64, (3, BANDS * LEAST), "u8") | np.array([[0], [1], [1]], "u8")
+    least = np.full(BANDS * LEAST, 2**64 - 1, "u8")
+    for lo in range(0, len(shingles), 8192):
+        np.minimum(least, ((shingles[None, lo : lo + 8192] ^ mixes[0][:, None]) * mixes[1][:, None]).min(axis=1), out=least)
+    return (least * mixes[2]).reshape(BANDS, LEAST).sum(axis=1, dtype="u8")
+
+
+def _shingle_sets(prompts: DataFrame, words: int) -> DataFrame:
+    """Of each prompt, ``node`` (a hash of its set of shingles), the set's ``size`` and its ``bands``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, words)) for t in batch.column(2).to_pylist()]
+            nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], "u8").view("i8")
+            bands = [band_keys(s).view("i8") for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(nodes), pa.array([len(s) for s in sets], pa.int32()), pa.array(bands, pa.list_(pa.int64()))],
+                names=["record_id", "prompt_hash", "node", "size", "bands"],
+            )
+
+    prompts = prompts.select("record_id", F.xxhash64("prompt").alias("prompt_hash"), "prompt")
+    kind = prompts.schema["record_id"].dataType.simpleString()
+    return prompts.mapInArrow(run, f"record_id {kind}, prompt_hash long, node long, size int, bands array<long>")
+
+
+def _sets_of(texts: DataFrame, words: int) -> DataFrame:
+    """``node`` and ``shingles``, the distinct shingle hashes, of rows ``node, prompt``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, words)).view("i8") for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    return texts.mapInArrow(run, "node long, shingles array<long>")
+
+
+def _similar_links(postings: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links ``a, b`` whose components are those of all pairs of a posting (``node, size, _key``) that reach ``similarity``.
+
+    A few rounds hold one member of each posting against those of other components. What is left in a posting outside
+    its largest component is then held against all members of other components, so no pair is skipped unless its ends
+    are joined already. Every pair is verified on the shingle sets.
+    """
+    found = roots = None
+    for turn in range(STARS + 1):
+        own = F.col("node") if roots is None else F.coalesce("root", "node")
+        tagged = postings if roots is None else postings.join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
+        tagged = tagged.select("node", "size", "_key", own.alias("_own"))
+        if roots is not None:
+            parts = tagged.groupBy("_key", "_own").agg(F.count(F.lit(1)).alias("_c"))
+            parts = parts.groupBy("_key").agg(F.max(F.struct("_c", "_own")).alias("_top"), F.count(F.lit(1)).alias("_parts")).where("_parts > 1")
+            tagged = stage(tagged.join(parts.select("_key", F.col("_top._own").alias("_most")), "_key"), "open-postings")
+            if tagged.isEmpty():
+                break
+        outside = tagged if roots is None else tagged.where(F.col("_own") != F.col("_most"))
+        if turn < STARS:
+            one = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("_by"), "node", "size", "_own")).alias("_p")
+            heads = outside.groupBy("_key").agg(one).select("_key", "_p.*")
+        else:
+            heads = outside
+        heads = heads.select("_key", F.col("node").alias("_node"), F.col("size").alias("_size"), F.col("_own").alias("_other"))
+        pairs = tagged.join(heads, "_key").where((F.col("_own") != F.col("_other")) & (F.least("size", "_size") >= similarity * F.greatest("size", "_size") - 1e-9))
+        pairs = pairs.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
+        held = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("_sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("_sb")), "b")
+        shared = F.size(F.array_intersect("_sa", "_sb"))
+        alike = held.select("a", "b", (shared / (F.size("_sa") + F.size("_sb") - shared)).alias("_s")).where(F.col("_s") >= similarity).select("a", "b")
+        alike = stage(alike, "similar-links")
+        found = alike if found is None else found.unionByName(alike)
+        if turn < STARS:
+            roots = stage(components(found), "similar-roots")
+    return found
+
+
+def similar_prompts(prompts: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
+    """Group case prompts (``record_id, prompt``) whose sets of shingles of ``words`` words have a Jaccard similarity of at least ``similarity``.
+
+    Returns ``record_id, prompt_hash, group_id, keeper`` as ``near_duplicates`` does; groups are chains of such pairs.
+
+    Candidates share one of 24 fingerprints, each of four least hashes, so a pair at 0.8 is missed with a probability of
+    3 in a million and a closer one less often; each is verified on the exact sets. Equal sets are one node and prompts
+    without words have equal sets. Null ids, repeated rows and empty input are treated as in ``near_duplicates``.
+    """
+    marked = stage(_shingle_sets(prompts, words), "shingle-sets")
+    first = F.min(F.struct(F.col("record_id").isNull().alias("none"), "record_id", "prompt_hash")).alias("_first")
+    nodes = stage(marked.groupBy("node").agg(first), "distinct-sets")
+    listed = marked.select("node", "size", F.explode("bands").alias("_key")).distinct()
+    shared = listed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_key")
+    postings = stage(listed.join(shared, "_key", "left_semi"), "band-postings")
+    wanted = nodes.join(postings.select("node").distinct(), "node", "left_semi").select("node", F.col("_first.record_id").alias("_id"), F.col("_first.prompt_hash").alias("_hash"))
+    texts = prompts.select("record_id", F.xxhash64("prompt").alias("_of"), "prompt")
+    texts = texts.join(wanted, texts["record_id"].eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_hash"))).select("node", "prompt").dropDuplicates(["node"])
+    sets = stage(_sets_of(texts, words), "candidate-sets")
+    roots = components(_similar_links(postings, sets, similarity))
+    named = nodes.join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("node", "_first", F.coalesce("root", "node").alias("_root"))
+    named = stage(named, "rooted-sets")
+    groups = named.groupBy("_root").agg(F.min("_first").alias("_keeper"))
+    keeper = F.col("record_id").eqNullSafe(F.col("_keeper.record_id")) & (F.col("prompt_hash") == F.col("_keeper.prompt_hash"))
+    return marked.join(named.join(groups, "_root").select("node", "_keeper"), "node").select(
+        "record_id", "prompt_hash", F.col("_keeper.record_id").alias("group_id"), keeper.alias("keeper")
+    )
+
+
 def keep_first(prompts: DataFrame, groups: DataFrame) -> DataFrame:
     """One row of ``prompts`` (with all their columns) per group: that of its keeper, once if it is repeated."""
     kept = groups.where("keeper").select(F.col("record_id").alias("_kept_id"), F.col("prompt_hash").alias("_kept_hash")).distinct()

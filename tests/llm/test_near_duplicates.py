@@ -7,7 +7,7 @@ import pytest
 import xxhash
 
 from siteplan.llm.common import components
-from siteplan.llm.near_duplicates import covering_triples, fingerprint, keep_first, linked, near_duplicates
+from siteplan.llm.near_duplicates import covering_triples, fingerprint, keep_first, linked, near_duplicates, similar_prompts
 
 
 def roots(n, pairs):
@@ -91,3 +91,41 @@ def test_groups_of_prompts(spark):
     assert kept.columns == prompts.columns
     assert sorted(str(r["record_id"]) for r in kept.collect()) == sorted(str(v) for v in least.values())
     assert near_duplicates(prompts.limit(0)).count() == 0
+
+
+def test_similar_prompts_against_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = [None, "", " ", "Two words", "two WORDS"]
+    for size in (30, 60, 100, 200, 400):
+        for _ in range(12):
+            body = rng.choice(vocabulary, size).tolist()
+            texts.append(" ".join(body))
+            for edits in (1, 2, 3, 5):
+                copy = list(body)
+                for at in rng.choice(size, edits, replace=False):
+                    copy[at] = "edited"
+                texts.append(" ".join(copy))
+    hot = rng.choice(vocabulary, 120).tolist()
+    for _ in range(60):
+        copy = list(hot)
+        for at in rng.choice(120, 2, replace=False):
+            copy[at] = str(rng.choice(vocabulary))
+        texts.append(" ".join(copy))
+    texts.append(texts[5])
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [shingles(t) for t in texts]
+    close = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = roots(len(texts), close)
+    far = [(i, j) for i, j in close if (fingerprint(texts[i]) ^ fingerprint(texts[j])).bit_count() > 4]
+    assert len(far) > 50
+    prompts = spark.createDataFrame(list(enumerate(texts)), "record_id long, prompt string").repartition(4)
+    groups = similar_prompts(prompts)
+    assert {r["record_id"]: r["group_id"] for r in groups.collect()} == dict(enumerate(want))
+    kept = keep_first(prompts, groups).collect()
+    assert sorted(r["record_id"] for r in kept) == sorted(set(want))
+    assert similar_prompts(prompts.limit(0)).count() == 0
