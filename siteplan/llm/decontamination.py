@@ -1,4 +1,4 @@
-"""Benchmark decontamination: SimHash windows of item size, found through Hamming blocks and verified exactly."""
+"""Benchmark decontamination: windows of item size, found through the shingles that any match must share and verified exactly."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from siteplan.llm.common import stage
 
 SHINGLE = 5
-BLOCKS, BLOCK_BITS = 4, 16
 #: Item shingles up to this many are sent to every task; more are joined by a shuffle.
 BROADCAST_SHINGLES = 1_000_000
 
@@ -37,17 +36,6 @@ def simhash(hashes: str) -> Column:
     return F.expr(f"aggregate(sequence(0, 63), 0L, (out, bit) -> out | if(2 * {ones} > size({hashes}), shiftleft(1L, bit), 0L))")
 
 
-def block_keys(value: str, flips: int) -> Column:
-    """Block number and block value of each of four 16-bit blocks, with every value up to ``flips`` bits away."""
-    near = F.expr(f"filter(sequence(0L, 65535L), m -> bit_count(m) <= {flips})") if flips else F.array(F.lit(0).cast("long"))
-
-    def keys(number: int) -> Column:
-        block = F.shiftrightunsigned(F.col(value), BLOCK_BITS * number).bitwiseAND(F.lit(0xFFFF))
-        return F.transform(near, lambda flipped: F.lit(number << BLOCK_BITS).cast("long") + block.bitwiseXOR(flipped))
-
-    return F.flatten(F.array(*[keys(number) for number in range(BLOCKS)]))
-
-
 def weighted_similarity(a: str, b: str) -> Column:
     """Shared over total shingle weight of two arrays, a shingle weighing as often as it occurs."""
 
@@ -58,7 +46,7 @@ def weighted_similarity(a: str, b: str) -> Column:
     return shared / (F.size(a) + F.size(b) - shared)
 
 
-def find_leaks(prompts: DataFrame, cases: DataFrame, similarity: float = 0.8, radius: int = 15) -> DataFrame:
+def find_leaks(prompts: DataFrame, cases: DataFrame, similarity: float = 0.8) -> DataFrame:
     """Evaluation cases (``case_id, prompt``) that training prompts (``record_id, prompt``) hold, in whole or nearly.
 
     Returns ``record_id, prompt_hash, case_id, start, n_words, similarity``: the best window of each prompt and case. A
@@ -67,10 +55,10 @@ def find_leaks(prompts: DataFrame, cases: DataFrame, similarity: float = 0.8, ra
 
     1. A window can reach the similarity only if it shares a shingle with the case, so windows are laid where a
        shingle of a prompt is one of a case, in line with it. Nothing else of a prompt leaves its task.
-    2. Windows and cases get SimHash fingerprints. If two differ in at most ``radius`` bits, one of their four
-       16-bit blocks differs in at most ``radius // 4``: cases are listed under all such block values, windows under
-       their own, and the join of both holds every pair within the radius.
-    3. Pairs within the radius are verified on the exact weighted shingles.
+    2. A match shares at least ``similarity`` of the case's shingles, so it holds one of any ``n - ceil(similarity * n) + 1``
+       of them. Cases are listed under so many of theirs, those of least hash, and windows under all of their own: the
+       join of both holds every match.
+    3. These pairs are verified on the exact weighted shingles, and at least one shingle must be in line.
 
     Cases of fewer than five words are one shingle of all their words, met by equal runs of words. Null and empty
     cases match nothing, null and empty prompts hold nothing. Rows equal in id and prompt give one result; other
@@ -92,22 +80,23 @@ def find_leaks(prompts: DataFrame, cases: DataFrame, similarity: float = 0.8, ra
         hits = rows.join(spots.where(F.col("_k") == k).drop("_k"), "_hash")
         start = F.col("_at") - F.col("_offset")
         shown = F.slice("_all", F.greatest(start, F.lit(0)) + 1, F.col("_n") - (k - 1) + F.least(start, F.lit(0)))
-        windows = hits.select("record_id", "prompt_hash", F.lit(k).alias("_k"), F.col("_n").alias("n_words"), F.greatest(start, F.lit(0)).alias("start"), shown.alias("_window"))
+        windows = hits.select("record_id", "prompt_hash", F.lit(k).alias("_k"), F.col("_n").alias("n_words"), start.alias("_start"), shown.alias("_window"))
         found = windows if found is None else found.unionByName(windows)
     if found is None:
-        found = texts.select("record_id", "prompt_hash", F.lit(0).alias("_k"), F.lit(0).alias("n_words"), F.lit(0).alias("start"), F.array().cast("array<bigint>").alias("_window")).limit(0)
+        found = texts.select("record_id", "prompt_hash", F.lit(0).alias("_k"), F.lit(0).alias("n_words"), F.lit(0).alias("_start"), F.array().cast("array<bigint>").alias("_window")).limit(0)
     windows = stage(found.distinct(), "windows")
 
-    marked = stage(windows.select("*", simhash("_window").alias("_print")), "window-prints")
-    keyed = marked.select("*", F.explode(block_keys("_print", 0)).alias("_key"))
-    listed = stage(items.select("case_id", "_k", "_n", "_case", simhash("_case").alias("_case_print")), "case-prints")
-    keys = listed.select("case_id", "_k", "_n", "_case_print", F.explode(block_keys("_case_print", radius // BLOCKS)).alias("_key"))
-    near = F.bit_count(F.col("_print").bitwiseXOR(F.col("_case_print"))) <= radius
-    # The list of block values is many times its cases: a size guessed from the cases must not get it broadcast.
-    pairs = keyed.join(keys.hint("merge"), [keyed["_key"] == keys["_key"], keyed["_k"] == keys["_k"], keyed["n_words"] == keys["_n"], near])
-    pairs = pairs.select("record_id", "prompt_hash", "start", "n_words", "_window", "case_id").distinct().join(listed, ["case_id"]).where(F.col("n_words") == F.col("_n"))
-    pairs = pairs.where(F.arrays_overlap("_window", "_case")).select("record_id", "prompt_hash", "case_id", "start", "n_words", weighted_similarity("_window", "_case").alias("similarity"))
-    best = pairs.where(F.col("similarity") >= similarity).groupBy("record_id", "prompt_hash", "case_id")
+    needed = F.ceil(similarity * F.size("_case") - 1e-9).cast("int")
+    some = F.array_distinct(F.slice(F.array_sort("_case"), 1, F.size("_case") - needed + 1))
+    keys = stage(items.select("case_id", "_k", F.col("_n").alias("n_words"), F.explode(some).alias("_key")).distinct(), "case-keys")
+    keys = F.broadcast(keys) if keys.count() <= BROADCAST_SHINGLES else keys
+    keyed = windows.select("*", F.explode(F.array_distinct("_window")).alias("_key")).join(keys, ["_key", "_k", "n_words"])
+    pairs = keyed.select("record_id", "prompt_hash", "_start", "n_words", "_window", "case_id").distinct()
+    pairs = pairs.join(items.select("case_id", F.col("_n").alias("n_words"), "_case").distinct(), ["case_id", "n_words"])
+    in_line = F.exists(F.sequence(F.lit(0), F.size("_window") - 1), lambda i: F.get("_window", i) == F.get("_case", i - F.least("_start", F.lit(0))))
+    pairs = pairs.select("*", weighted_similarity("_window", "_case").alias("similarity")).where((F.col("similarity") >= similarity) & in_line)
+    pairs = pairs.select("record_id", "prompt_hash", "case_id", F.greatest("_start", F.lit(0)).alias("start"), "n_words", "similarity")
+    best = pairs.groupBy("record_id", "prompt_hash", "case_id")
     chosen = F.max(F.struct(F.col("similarity"), (-F.col("start")).alias("_back"), "n_words"))
     return best.agg(chosen.alias("_b")).select("record_id", "prompt_hash", "case_id", (-F.col("_b._back")).alias("start"), "_b.n_words", "_b.similarity")
 

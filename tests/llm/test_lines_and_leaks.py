@@ -108,3 +108,20 @@ def test_simhash_counts_bits(spark):
     got = spark.createDataFrame([(values,)], "h array<long>").select(simhash("h").alias("s")).first()["s"]
     want = sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in values) > len(values))
     assert got % (1 << 64) == want
+
+
+def test_no_leak_at_the_limit_is_missed(spark):
+    cases, prompts = [], []
+    for i in range(25):
+        case = text(rng.randint(24, 59)).split()
+        cases.append((i, " ".join(case)))
+        for at in (1, 2, 3, 4):
+            body = list(case)
+            body[-at] = "other"
+            prompts.append((10 * i + at, " ".join([*text(6).split(), *body, *text(6).split()])))
+        prompts.append((10 * i + 5, " ".join(case[: len(case) // 2] + ["other"] + case[len(case) // 2 :])))
+    want = brute(prompts, cases)
+    assert sum(v < 0.85 for v in want.values()) > 10
+    frame = spark.createDataFrame(prompts, "record_id long, prompt string").repartition(4)
+    leaks = find_leaks(frame, spark.createDataFrame(cases, "case_id long, prompt string"))
+    assert {(r["record_id"], r["case_id"]): round(r["similarity"], 9) for r in leaks.collect()} == want
