@@ -40,28 +40,53 @@ def recurring_lines(prompts: DataFrame, min_records: int = 5, depth: int = 3, co
     Returns ``line_hash``, ``template``, ``n_records`` and ``first_record``, the least record id that holds the
     template. See ``drop_recurring_lines`` for the tree.
     """
-    lines = _lines(prompts, depth)
+    lines = _lines(prompts, depth).withColumn("_record", F.xxhash64("record_id", "_text"))
     first = F.min("record_id").alias("first_record")
-    seen = lines.groupBy("_leaf", "_hash").agg(F.countDistinct(F.xxhash64("record_id", "_text")).alias("n_records"), first)
+    seen = lines.groupBy("_leaf", "_hash").agg(F.countDistinct("_record").alias("n_records"), first)
     seen = stage(seen, "line-counts")
     same = seen.where(F.col("n_records") >= min_records).select(F.col("_hash").alias("line_hash"), F.hex("_hash").alias("template"), "n_records", "first_record")
 
-    rare = seen.where(F.col("n_records") < min_records)
-    leaves = rare.groupBy("_leaf").agg(F.sum("n_records").alias("_n"), F.count(F.lit(1)).alias("_kinds"))
-    leaves = stage(leaves.where((F.col("_n") >= min_records) & (F.col("_kinds") > 1)).select("_leaf"), "line-leaves")
-    wanted = rare.join(leaves, "_leaf", "left_semi").select("_hash", "n_records", "first_record")
+    # Sums over lines are upper bounds of distinct records and only leave out what cannot recur. A leaf whose lines all
+    # recur by themselves needs no templates.
+    rare = F.count(F.when(F.col("n_records") < min_records, 1)).alias("_rare")
+    leaves = seen.groupBy("_leaf").agg(F.sum("n_records").alias("_n"), F.count(F.lit(1)).alias("_kinds"), rare)
+    leaves = stage(leaves.where((F.col("_n") >= min_records) & (F.col("_kinds") > 1) & (F.col("_rare") > 0)).select("_leaf"), "line-leaves")
+    wanted = seen.join(leaves, "_leaf", "left_semi").select("_hash", "n_records", "first_record")
     few = F.broadcast(leaves) if leaves.count() <= BROADCAST_LEAVES else leaves
-    kinds = lines.join(few, "_leaf", "left_semi").groupBy("_leaf", "_hash").agg(F.first("_masked").alias("_masked"))
-    kinds = stage(kinds.join(wanted, "_hash"), "line-kinds")
+    held = stage(lines.join(few, "_leaf", "left_semi").select("_leaf", "_hash", "_record", "_masked"), "line-members")
+    kinds = stage(held.groupBy("_leaf", "_hash").agg(F.first("_masked").alias("_masked")).join(wanted, "_hash"), "line-kinds")
+    members = held.select("_hash", "_record")
+
     words = kinds.select("_leaf", "_hash", "n_records", F.posexplode(F.split("_masked", " ")).alias("_at", "_word"))
-    steady = words.groupBy("_leaf", "_at", "_word").agg(F.sum("n_records").alias("_n")).where(F.col("_n") >= min_records).select("_leaf", "_at", "_word", F.lit(True).alias("_steady"))
-    marked = words.join(steady, ["_leaf", "_at", "_word"], "left").withColumn("_steady", F.coalesce("_steady", F.lit(False)) & (F.col("_word") != FIELD))
-    word = F.struct("_at", F.when(F.col("_steady"), F.col("_word")).otherwise(F.lit(FIELD)).alias("_word"))
-    templates = marked.groupBy("_leaf", "_hash").agg(F.array_sort(F.collect_list(word)).alias("_t"), F.avg(F.col("_steady").cast("int")).alias("_constant"))
-    templates = templates.where(F.col("_constant") >= constant).select("_hash", F.array_join(F.col("_t._word"), " ").alias("template"))
-    templates = stage(templates.join(wanted, "_hash"), "line-templates")
-    counted = templates.groupBy("template").agg(F.sum("n_records").alias("_all"), F.min("first_record").alias("_first")).where(F.col("_all") >= min_records)
-    alike = templates.join(counted, "template").select(F.col("_hash").alias("line_hash"), "template", F.col("_all").alias("n_records"), F.col("_first").alias("first_record"))
+    place = ["_leaf", "_at", "_word"]
+    bounds = words.groupBy(*place).agg(F.sum("n_records").alias("_n"), F.max("n_records").alias("_most")).where(F.col("_n") >= min_records)
+    bounds = stage(bounds, "line-words")
+    unsure = words.join(bounds.where(F.col("_most") < min_records), place, "left_semi").select("_hash", *place)
+    exact = members.join(unsure, "_hash").groupBy(*place).agg(F.countDistinct("_record").alias("_n")).where(F.col("_n") >= min_records).select(*place)
+    steady = bounds.where(F.col("_most") >= min_records).select(*place).unionByName(exact).withColumn("_steady", F.lit(True))
+    marked = words.join(steady, place, "left").withColumn("_steady", F.coalesce("_steady", F.lit(False)) & (F.col("_word") != FIELD))
+    word = F.struct("_at", "_word", "_steady")
+    marked = marked.groupBy("_leaf", "_hash").agg(F.array_sort(F.collect_list(word)).alias("_t"), F.avg(F.col("_steady").cast("int")).alias("_constant"))
+    marked = stage(marked.select("_leaf", "_hash", F.col("_t._word").alias("_words"), F.col("_t._steady").alias("_mask"), "_constant"), "line-marks")
+
+    # A line counts for each template of its leaf that it fits, whatever its own steady words are.
+    def shown(mask: str) -> Column:
+        return F.array_join(F.transform("_words", lambda w, i: F.when(F.get(mask, i), w).otherwise(F.lit(FIELD))), " ")
+
+    made = marked.where(F.col("_constant") >= constant).select("_leaf", "_mask", shown("_mask").alias("template")).distinct()
+    masks = made.select("_leaf", F.col("_mask").alias("_fit")).distinct()
+    covers = ~F.exists(F.arrays_zip(F.col("_mask").alias("m"), F.col("_fit").alias("f")), lambda x: x["f"] & ~x["m"])
+    fits = marked.join(masks, "_leaf").where(covers).select("_leaf", "_hash", shown("_fit").alias("template"))
+    fits = stage(fits.join(made.select("_leaf", "template"), ["_leaf", "template"], "left_semi").join(wanted, "_hash"), "line-templates")
+    totals = fits.groupBy("_leaf", "template").agg(F.sum("n_records").alias("_sum"), F.min("first_record").alias("_first")).where(F.col("_sum") >= min_records)
+    totals = stage(totals, "line-totals")
+    fitting = fits.join(totals.select("_leaf", "template"), ["_leaf", "template"], "left_semi").select("_hash", "_leaf", "template")
+    counted = members.join(fitting, "_hash").groupBy("_leaf", "template").agg(F.countDistinct("_record").alias("_all")).where(F.col("_all") >= min_records)
+    counted = counted.join(totals, ["_leaf", "template"]).select("_leaf", "template", "_all", "_first")
+    best = F.max(F.struct(F.col("_all").alias("n"), F.col("template").alias("t"), F.col("_first").alias("f"))).alias("_b")
+    alike = fits.join(counted, ["_leaf", "template"]).groupBy("_hash").agg(best)
+    alike = stage(alike.select(F.col("_hash").alias("line_hash"), F.col("_b.t").alias("template"), F.col("_b.n").alias("n_records"), F.col("_b.f").alias("first_record")), "alike-lines")
+    same = same.join(alike.select("line_hash"), "line_hash", "left_anti")
     return stage(same.unionByName(alike), "recurring-lines")
 
 
@@ -73,8 +98,10 @@ def drop_recurring_lines(prompts: DataFrame, min_records: int = 5, depth: int =
 
     * Words with a digit are fields at once; lines fall into a leaf by their number of words and first ``depth`` words.
     * Equal masked lines are one template. In leaves that hold enough records, a word that stays at its place in
-      ``min_records`` records is constant, other words are fields, and lines that agree share a template if a
-      share ``constant`` of their words is constant.
+      ``min_records`` records is constant, other words are fields, and a line makes a template if a share ``constant``
+      of its words is constant. Every line of the leaf that fits a template counts for it, lines that recur by
+      themselves included, and a record counts once however many such lines it holds. Of several templates that
+      recur a line has the one with most records.
     * A template in at least ``min_records`` records recurs. Its least record id keeps its lines, so the text of a
       group of copies is not lost; all others lose them.
 

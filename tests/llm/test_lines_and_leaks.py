@@ -125,3 +125,26 @@ def test_no_leak_at_the_limit_is_missed(spark):
     frame = spark.createDataFrame(prompts, "record_id long, prompt string").repartition(4)
     leaks = find_leaks(frame, spark.createDataFrame(cases, "case_id long, prompt string"))
     assert {(r["record_id"], r["case_id"]): round(r["similarity"], 9) for r in leaks.collect()} == want
+
+
+def _dropped(spark, rows):
+    prompts = spark.createDataFrame(rows, "record_id long, prompt string").repartition(3)
+    return {r["record_id"]: r["dropped_lines"] for r in drop_recurring_lines(prompts).collect()}
+
+
+def test_frequent_lines_count_for_their_template(spark):
+    form = "Opening hours of the {} office are on the door"
+    for often, seldom in ((5, 4), (4, 4), (40, 1)):
+        rows = [(i, f"{text(20)}\n{form.format('northern')}") for i in range(often)]
+        rows += [(100 + i, f"{text(20)}\n{form.format('southern')}") for i in range(seldom)]
+        got = _dropped(spark, rows)
+        assert got == {i: [1] if i else [] for i, _ in rows}
+
+
+def test_a_record_counts_once_for_its_template(spark):
+    form = "Opening hours of the {} office are on the door"
+    many = "\n".join(form.format(place) for place in ("northern", "southern", "eastern", "western"))
+    rows = [(0, many), (1, f"{text(20)}\n{form.format('central')}")]
+    assert _dropped(spark, rows) == {0: [], 1: []}
+    rows += [(i, f"{text(20)}\n{form.format(text(1))}") for i in range(2, 5)]
+    assert _dropped(spark, rows) == {0: [], **{i: [1] for i in range(1, 5)}}
