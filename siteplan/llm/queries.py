@@ -11,13 +11,16 @@ from siteplan.llm.common import shared_path, with_crc32
 from siteplan.llm.decontamination import find_leaks
 from siteplan.llm.language import identify_languages, language_prototypes
 from siteplan.llm.lines import drop_recurring_lines
+from siteplan.llm.mixing import mix_datasets, word_count
 from siteplan.llm.near_duplicates import near_duplicates
 from siteplan.llm.packing import pack_prompts
 from siteplan.llm.quality import kept_by, rule_ledger
 from siteplan.llm.sharding import shard_records
 from siteplan.llm.source_urls import judge_sources
+from siteplan.llm.spellings import count_words, drop_one_letter, spelling_variants
 from siteplan.llm.token_files import read_token_table, write_token_table
 from siteplan.llm.toxicity import fit_toxicity, score_toxicity
+from siteplan.llm.transcripts import repair_transcripts, transcript_digests
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,6 +28,8 @@ ORACLES: dict[str, str] = {}
 SHARDS = 40
 #: Bound on the labelled rows that the toxicity model is fitted to; they are chosen by a hash of their ids.
 MAX_LABELLED = 200_000
+MIX_WEIGHTS = (3, 1, 2)
+MIX_SHARE = 1.5
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
 
@@ -103,6 +108,22 @@ FROM p JOIN pa ON pa.host = p.host AND pa.parts = p.parts JOIN pu ON pu.host = p
 
 ORACLES["op7_url_filter"] = _url_sql()
 
+ORACLES["op11_source_mix"] = r"""
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS words FROM d GROUP BY source),
+t AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS turn FROM s),
+c AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][(turn - 1) % 3 + 1] AS weight, 2.0::DOUBLE * words AS cap FROM t),
+b AS (SELECT *, coalesce(sum(cap) OVER w, 0) AS caps, coalesce(sum(weight) OVER w, 0) AS weights FROM c WINDOW w AS (ORDER BY cap / weight, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT max(((SELECT 1.5::DOUBLE * sum(words) FROM c) - caps) / ((SELECT sum(weight) FROM c) - weights)) AS level FROM b),
+g AS (SELECT source, words, least(cap, level * weight) AS target,
+    (('0x' || substr(md5('mix:' || coalesce(source, '')), 1, 12))::BIGINT % 1000000000000)::HUGEINT AS shift FROM c, l),
+e AS (SELECT *, CASE WHEN words > 0 THEN floor(target * 1000000000000::DOUBLE / words)::HUGEINT ELSE 0::HUGEINT END AS each FROM g),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size, md5('mix:' || coalesce(doc_id::VARCHAR, ''))) AS place FROM d),
+k AS (SELECT r.doc_id, r.size, e.words, e.target, (place * each + shift) // 1000000000000 - ((place - 1) * each + shift) // 1000000000000 AS copies
+  FROM r JOIN e ON r.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, words AS source_size, target, CAST(copies * size AS BIGINT) AS taken, CAST(copies AS INT) AS copies FROM k
+"""
+
 
 def _query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[fn.__name__] = fn
@@ -221,3 +242,43 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
         F.col("record_id").alias("doc_id"), held_out("record_id", 3, 1).alias("held_out"), "score",
         (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("passages").alias("n_passages"),
     )
+
+
+@_query
+def op11_source_mix(spark: SparkSession, sf: str) -> DataFrame:
+    records = _table(spark, sf, "documents").select(F.col("doc_id").alias("record_id"), F.col("source").alias("dataset"), word_count("text").alias("n_words"))
+    mixed = mix_datasets(records, MIX_WEIGHTS, MIX_SHARE)
+    return mixed.select(F.col("record_id").alias("doc_id"), F.col("n_words").alias("size"), F.col("dataset_words").alias("source_size"), "target", "taken", "copies")
+
+
+def damaged_messages(conversations: DataFrame) -> DataFrame:
+    """Conversations as transcripts with the faults that the contract asks for: a digest of id and turn decides."""
+    space = F.lit(" ")
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"), F.coalesce(F.col("turn").cast("string"), space))
+    text, fault = F.coalesce("text", space), F.crc32(key.cast("binary")) % 20
+    hit = conversations.select("conv_id", "turn", F.coalesce("role", space).alias("role"), text.alias("text"), fault.alias("fault")).where(F.col("fault") != 0)
+    content = F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    copies = F.explode(F.sequence(F.lit(1), F.when(F.col("fault") == 3, 2).otherwise(1)))
+    role = F.when(F.col("fault") == 4, "user").otherwise(F.col("role"))
+    return hit.select(F.col("conv_id").alias("run_id"), F.col("turn").alias("sequence"), role.alias("role"), content.alias("content"), copies.alias("copy")).drop("copy")
+
+
+@_query
+def op12_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    conversations = _table(spark, sf, "conversations")
+    report, repaired = repair_transcripts(damaged_messages(conversations))
+    figures = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    known = report.select(F.col("run_id").alias("_run"), *figures, "audit")
+    digests = transcript_digests(repaired).select(F.col("run_id").alias("_digested"), "sha256")
+    rows = conversations.select("conv_id").distinct()
+    rows = rows.join(known, F.col("conv_id").eqNullSafe(F.col("_run")), "left").join(digests, F.col("conv_id").eqNullSafe(F.col("_digested")), "left")
+    return rows.select(
+        "conv_id", *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in figures], F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
+
+
+@_query
+def op13_spelling_groups(spark: SparkSession, sf: str) -> DataFrame:
+    words = count_words(as_prompts(_table(spark, sf, "documents")), min_letters=6, min_count=5, fault=drop_one_letter(199))
+    return spelling_variants(words, times=5).select("word", "form", "root", "n", "n_near", "form_n")
