@@ -192,10 +192,68 @@ def coverage(plan_sites: DataFrame, plans: DataFrame, problems: DataFrame, ev: E
     )
 
 
+SIGNATURE = ["evidence_id", "scenario", "_h1", "_h2"]
+
+
+def signatures(ev: Evidence) -> DataFrame:
+    """Demand added up by what reaches it: ``evidence_id, scenario, _h1, _h2, pattern, site_id, benefit, weight, sharing, hub``.
+
+    Demand rows of one scenario and group pattern that the same sites reach with the same benefits are one signature. It is
+    told by two digests of its sites and benefits, so no list of sites is held; its weight is the sum of its demand,
+    ``sharing`` the number of its sites and ``hub`` the least of them. There is one row per site of a signature.
+    """
+    keys = ["evidence_id", "scenario", "demand_id"]
+    pairs = cut_lineage(_available(ev.service, ev).filter(F.col("benefit") > 0).groupBy(*keys, "site_id").agg(F.max("benefit").alias("benefit")))
+    reach = pairs.groupBy(*keys).agg(
+        F.bit_xor(F.xxhash64("site_id", "benefit")).alias("_h1"), F.bit_xor(F.xxhash64("benefit", "site_id", F.lit(1))).alias("_h2"),
+        F.count(F.lit(1)).alias("sharing"), F.min("site_id").alias("hub"),
+    )
+    weights = reach.join(demand_weights(ev), keys).groupBy(*SIGNATURE, "pattern").agg(F.sum("weight").alias("weight"))
+    # The sites and benefits of a signature are those of any one of its demand rows.
+    shown = reach.groupBy(*SIGNATURE).agg(F.min(F.struct("demand_id", "sharing", "hub")).alias("_one")).select(*SIGNATURE, "_one.*")
+    sites = pairs.join(shown, keys).drop("demand_id")
+    return sites.join(weights, SIGNATURE)
+
+
+def covered_sums(plan_sites: DataFrame, plans: DataFrame, problems: DataFrame, ev: Evidence) -> DataFrame:
+    """``plan_id, scenario, pattern, _covered``: weight times best benefit, added up over the demand of each plan.
+
+    No plan meets single demand rows. What one site adds alone is one number per site. Sites that share demand matter
+    together only where a plan selects several of them: each signature names its least site as hub, and the sites of a
+    plan that have a hub in common are its close sites. Plans with the same close sites share one result, which is
+    worked out once, over the signatures of those sites. Rows follow plans times sites and distinct sets times
+    signatures.
+    """
+    rows = cut_lineage(signatures(ev))
+    worth, alone = F.col("benefit") * F.col("weight"), F.col("sharing") == 1
+    per_site = rows.groupBy("evidence_id", "site_id", "scenario", "pattern").agg(
+        F.sum(F.when(alone, worth).otherwise(0.0)).alias("_alone"), F.sum(F.when(alone, 0.0).otherwise(worth)).alias("_shared")
+    )
+    shared = rows.filter(~alone)
+    selected = _keyed(plan_sites, plans, problems).select("plan_id", "evidence_id", "site_id")
+    at_hubs = selected.join(shared.select("evidence_id", "site_id", "hub").distinct(), ["evidence_id", "site_id"])
+    crowded = at_hubs.groupBy("plan_id", "hub").agg(F.min("site_id").alias("_a"), F.max("site_id").alias("_b")).filter(F.col("_a") != F.col("_b"))
+    close = at_hubs.join(crowded.select("plan_id", "hub"), ["plan_id", "hub"], "left_semi").select("plan_id", "evidence_id", "site_id").distinct()
+    close = cut_lineage(close)
+    sets = close.groupBy("plan_id", "evidence_id").agg(
+        F.bit_xor(F.xxhash64("site_id")).alias("_s1"), F.bit_xor(F.xxhash64("site_id", F.lit(1))).alias("_s2")
+    )
+    same = ["evidence_id", "_s1", "_s2"]
+    shown = sets.groupBy(*same).agg(F.min("plan_id").alias("plan_id"))
+    members = close.join(shown, ["plan_id", "evidence_id"]).select(*same, "site_id")
+    met = members.join(shared, ["evidence_id", "site_id"]).groupBy(*same, "scenario", "_h1", "_h2", "pattern").agg(F.max(worth).alias("_w"))
+    per_set = met.groupBy(*same, "scenario", "pattern").agg(F.sum("_w").alias("_w"))
+    together = sets.join(per_set, same).select("plan_id", "scenario", "pattern", "_w")
+    marked = selected.join(close.select("plan_id", "site_id", F.lit(True).alias("_close")), ["plan_id", "site_id"], "left")
+    apart = marked.join(per_site, ["evidence_id", "site_id"]).select(
+        "plan_id", "scenario", "pattern", (F.col("_alone") + F.when(F.col("_close"), 0.0).otherwise(F.col("_shared"))).alias("_w")
+    )
+    return apart.unionByName(together).groupBy("plan_id", "scenario", "pattern").agg(F.sum("_w").alias("_covered"))
+
+
 def coverage_by_scenario(plan_sites: DataFrame, plans: DataFrame, problems: DataFrame, ev: Evidence) -> DataFrame:
     """``plan_id, scenario, group_name, coverage, scenario_total``; the empty group name is the whole demand."""
-    covered = coverage(plan_sites, plans, problems, ev)
-    sums = covered.groupBy("plan_id", "scenario", "pattern").agg(F.sum(F.col("coverage") * F.col("weight")).alias("_covered"))
+    sums = covered_sums(plan_sites, plans, problems, ev)
     sums = _by_group(sums, ev, ["plan_id", "scenario"], ["_covered"])
     frame = _plan_frame(plans, problems, _totals(demand_weights(ev), ev), ev)
     joined = frame.join(sums, ["plan_id", "scenario", "group_name"], "left")
