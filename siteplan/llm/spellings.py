@@ -25,7 +25,7 @@ from siteplan.llm.common import stage
 RUNS = re.compile("[A-Za-zÀ-ÿ]+")
 PARTITIONS = 8
 #: Distinct words that a task holds before it hands on their counts.
-HELD_WORDS = 300_000
+HELD_WORDS = 100_000
 
 
 def drop_one_letter(every: int) -> Callable[[object, list[str]], Iterator[str]]:
@@ -133,27 +133,48 @@ def _at(text: str) -> str:
     return f"slice(sequence(0, length({text})), 2, length({text}))"
 
 
-def _places(letters: str) -> Column:
-    """The places of a multiset as texts: the letter, then the number of the same letters before it."""
-    return F.expr(f"transform({_at(letters)}, i -> concat(substr({letters}, i, 1), i - instr({letters}, substr({letters}, i, 1))))")
+def edit_between(letters: str, other: str) -> tuple[str, str] | None:
+    """The letter that ``letters`` has and ``other`` lacks and the reverse (or none), if that is all that tells them apart.
+
+    Both are sorted; ``letters`` is as long as ``other`` or one longer.
+    """
+    at = 0
+    while at < len(other) and letters[at] == other[at]:
+        at += 1
+    if len(letters) > len(other):
+        return (letters[at], "") if letters[at + 1 :] == other[at:] else None
+    if at == len(letters):
+        return None
+    low, high = (letters, other) if letters[at] < other[at] else (other, letters)
+    # The lesser letter is in one of them only; without it the rest is the other one's without one letter.
+    end = at
+    while end + 1 < len(low) and low[end + 1] == high[end]:
+        end += 1
+    if low[end + 1 :] != high[end + 1 :]:
+        return None
+    return (low[at], high[end]) if low is letters else (high[end], low[at])
+
+
+def _apart(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = [(a, b, edit_between(a, b)) for a, b in zip(batch["letters"], batch["other"], strict=True)]
+        yield pd.DataFrame([(a, b, *edit) for a, b, edit in rows if edit], columns=["letters", "other", "gone", "new"])
 
 
 def near_vectors(vectors: DataFrame) -> DataFrame:
     """``letters, other, gone, new``: multisets (column ``letters``, sorted) one edit apart, each pair once.
 
     ``other`` is ``letters`` without the letter ``gone`` and with the letter ``new`` (empty for a deleted letter; the
-    longer of a pair comes first). Pairs that share a signature are compared place by place.
+    longer of a pair comes first). Pairs that share a signature are compared letter by letter.
     """
     signed = stage(_signed(vectors), "signatures")
     a = signed.select("letters", F.explode("signatures").alias("signature"))
     b = signed.select(F.col("letters").alias("other"), F.explode("signatures").alias("signature"))
     less = F.length("letters") - F.length("other")
-    met = a.join(b, "signature").where((less == 1) | ((less == 0) & (F.col("letters") < F.col("other")))).select("letters", "other").distinct()
-    places = met.select("letters", "other", _places("letters").alias("_a"), _places("other").alias("_b"))
-    apart = places.select("letters", "other", F.array_except("_a", "_b").alias("_gone"), F.array_except("_b", "_a").alias("_new"))
-    apart = apart.where((F.size("_gone") == 1) & (F.size("_new") <= 1))
-    new = F.coalesce(F.substring(F.try_element_at("_new", F.lit(1)), 1, 1), F.lit(""))
-    return apart.select("letters", "other", F.substring(F.element_at("_gone", 1), 1, 1).alias("gone"), new.alias("new"))
+    met = a.join(b, "signature").where((less == 1) | ((less == 0) & (F.col("letters") < F.col("other"))))
+    # Sorted letters two places apart are at most two edits apart as texts, which is cheaper to tell.
+    met = met.where(F.levenshtein("letters", "other", 2) >= 0).select("letters", "other").distinct()
+    return met.mapInPandas(_apart, "letters string, other string, gone string, new string")
 
 
 def near_words(words: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import random
 import zlib
 from collections import Counter
 
-from siteplan.llm.spellings import PARTITIONS, count_words, drop_one_letter, signatures, spelling_variants
+from siteplan.llm.spellings import PARTITIONS, count_words, drop_one_letter, edit_between, signatures, spelling_variants
 
 
 def near(a: str, b: str) -> bool:
@@ -68,6 +68,16 @@ def test_near_vectors_share_a_signature():
     assert signatures(["", "a"]).shape == (2, PARTITIONS * (PARTITIONS - 1) // 2)
 
 
+def test_edit_between():
+    rng = random.Random(8)
+    for _ in range(20_000):
+        a = "".join(sorted(rng.choice("abcd") for _ in range(rng.randint(1, 6))))
+        b = "".join(sorted(rng.choice("abcd") for _ in range(len(a) - rng.randint(0, 1))))
+        gone, new = Counter(a) - Counter(b), Counter(b) - Counter(a)
+        want = (min(gone), min(new, default="")) if sum(gone.values()) == 1 and sum(new.values()) <= 1 else None
+        assert edit_between(a, b) == want
+
+
 def test_counts_with_the_fault(spark):
     rng = random.Random(7)
     texts = [" ".join(rng.choice(["Station", "STATION", "hospital", "éCOLES", "x×y÷zab", "clinic-clinic", "naïvely"]) for _ in range(30)) for _ in range(200)]
