@@ -9,14 +9,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteplan.functions import geo
+from siteplan.operators.ordered import positions, running
 from siteplan.session import cut_lineage
 
 SALT = 8
-LEAF_POINTS = 256
-FAN = 4
+LEAF_POINTS = 64
 #: Distance of a spot beside a point, as a share of its coordinates.
 NEARBY = 1e-7
-MAX_DEPTH = 14
 
 
 def row_salt(df: DataFrame, salt: int = SALT) -> Column:
@@ -115,41 +114,37 @@ def spatial_join(
 
 
 def box_join(left: DataFrame, right: DataFrame, predicate: str = "intersects", prefix: str = "overlay") -> DataFrame:
-    """Spatial join of two tables of boxes (west, south, east, north)."""
+    """Spatial join of two tables of boxes (west, south, east, north).
+
+    Two boxes meet at the grid level of the larger one: there a box of that level has at most four cells, and the smaller
+    box is moved up to it. Small boxes therefore never meet one another in the cells of large ones.
+    """
     other = _prefixed(right, prefix)
     sides = ("west", "south", "east", "north")
-    levels_a = left.agg(F.collect_set(_level(*[F.col(s) for s in sides]))).scalar()
-    levels_b = other.agg(F.collect_set(_level(*[F.col(f"{prefix}_{s}") for s in sides]))).scalar()
-    # Move both sides to every level in use: the coarser level of a pair decides where it meets.
-    shared = F.array_sort(F.array_union("_la", "_lb"))
-
-    def at_levels(df: DataFrame, cols: list[Column]) -> DataFrame:
-        spread = (
-            df.withColumn("_la", levels_a)
-            .withColumn("_lb", levels_b)
-            .withColumn("_own", _level(*cols))
-            .withColumn("_level", F.explode(F.filter(shared, lambda level: level >= F.col("_own"))))
-        )
+    corners = [F.col(s) for s in sides], [F.col(f"{prefix}_{s}") for s in sides]
+    levels = left.agg(F.collect_set(_level(*corners[0]))).scalar(), other.agg(F.collect_set(_level(*corners[1]))).scalar()
+
+    def at_levels(df: DataFrame, cols: list[Column], reached: Column | None, strict: bool = False) -> DataFrame:
+        """Cells of each box at its own level, or at the levels of the other side from its own (beyond it if strict) up."""
+        spread = df.withColumn("_level", _level(*cols))
+        if reached is not None:
+            up = F.filter("_reached", lambda level: level > F.col("_level") if strict else level >= F.col("_level"))
+            spread = spread.withColumn("_reached", reached).withColumn("_level", F.explode(up)).drop("_reached")
         size = F.pow(F.lit(2.0), F.col("_level"))
-        return (
-            spread.withColumn("_cx", F.explode(_cover(cols[0], cols[2], size)))
-            .withColumn("_cy", F.explode(_cover(cols[1], cols[3], size)))
-            .drop("_la", "_lb")
-        )
-
-    left_cells = at_levels(left, [F.col(s) for s in sides]).withColumnRenamed("_own", "_own_l")
-    right_cells = at_levels(other, [F.col(f"{prefix}_{s}") for s in sides]).withColumnRenamed("_own", "_own_r")
+        return spread.withColumn("_cx", F.explode(_cover(cols[0], cols[2], size))).withColumn("_cy", F.explode(_cover(cols[1], cols[3], size)))
+
+    met = None
+    for a, b in (
+        (at_levels(left, corners[0], None), at_levels(other, corners[1], levels[0])),
+        (at_levels(left, corners[0], levels[1], strict=True), at_levels(other, corners[1], None)),
+    ):
+        pairs = a.join(b, ["_level", "_cx", "_cy"])
+        met = pairs if met is None else met.unionByName(pairs)
     size = F.pow(F.lit(2.0), F.col("_level"))
     # Of the cells both boxes share, the one holding the corner of their overlap reports the pair.
-    home = (
-        (F.col("_level") == F.greatest("_own_l", "_own_r"))
-        & (F.col("_cx") == _cell(F.greatest("west", f"{prefix}_west"), size))
-        & (F.col("_cy") == _cell(F.greatest("south", f"{prefix}_south"), size))
-    )
-    joined = left_cells.join(right_cells, ["_level", "_cx", "_cy"])
-    named = joined.select("*", *[F.col(s).alias(f"_l{s}") for s in sides])
-    test = geo.box_box("_l", f"{prefix}_", predicate)
-    return named.filter(home & test).select(*left.columns, *other.columns)
+    home = (F.col("_cx") == _cell(F.greatest("west", f"{prefix}_west"), size)) & (F.col("_cy") == _cell(F.greatest("south", f"{prefix}_south"), size))
+    named = met.select("*", *[F.col(s).alias(f"_l{s}") for s in sides])
+    return named.filter(home & geo.box_box("_l", f"{prefix}_", predicate)).select(*left.columns, *other.columns)
 
 
 def in_area(points: DataFrame, areas: DataFrame, predicate: str = "within", x: str = "x", y: str = "y", rings: str = "rings") -> DataFrame:
@@ -300,18 +295,30 @@ def sample_raster(points: DataFrame, cells: DataFrame, header: dict, bands: Sequ
     return placed.join(wide, ["row", "col", "_salt"], "left").drop("row", "col", "_salt")
 
 
-def _leaf_depth(right: DataFrame, x: str, y: str, origin: tuple[float, float], span: float) -> int:
-    rows = right.count()
-    depth = max(1, math.ceil(math.log(max(rows, 1) ** 0.5, FAN)))
-    while depth < MAX_DEPTH:
-        size = span / FAN**depth
-        cells = right.groupBy(
-            _cell(F.col(x) - origin[0], F.lit(size)).alias("cx"), _cell(F.col(y) - origin[1], F.lit(size)).alias("cy")
-        ).count()
-        if (cells.agg(F.max("count")).first()[0] or 0) <= LEAF_POINTS:
-            break
-        depth += 1
-    return depth
+def _spread(value: Column) -> Column:
+    """The 31 bits of a number, each followed by a zero bit."""
+    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+        value = value.bitwiseOR(F.shiftleft(value, shift)).bitwiseAND(F.lit(mask))
+    return value
+
+
+def z_order(x: Column, y: Column, origin: tuple[float, float], span: float) -> Column:
+    """Place of a point on the Z-order curve over a square; points outside are moved to its edge."""
+    def steps(value: Column, low: float) -> Column:
+        share = F.least(F.greatest((value - F.lit(low)) / F.lit(span), F.lit(0.0)), F.lit(1.0))
+        return (share * (2**31 - 1)).cast("bigint")
+
+    return F.shiftleft(_spread(steps(y, origin[1])), 1).bitwiseOR(_spread(steps(x, origin[0])))
+
+
+def leaf_directory(sites: DataFrame, origin: tuple[float, float], span: float) -> DataFrame:
+    """Add ``_z`` and ``_leaf``: runs of ``LEAF_POINTS`` places (``_rx, _ry``, distinct) along the Z-order curve.
+
+    Leaves hold equally many places however they are spread; their bounds are a table as long as there are leaves.
+    """
+    curved = sites.withColumn("_z", z_order(F.col("_rx"), F.col("_ry"), origin, span))
+    ranked = positions(curved, [], ["_z", "_rx", "_ry"], name="_place")
+    return ranked.withColumn("_leaf", F.floor((F.col("_place") - 1) / LEAF_POINTS)).drop("_place")
 
 
 def nearest(
@@ -328,66 +335,64 @@ def nearest(
 ) -> DataFrame:
     """Nearest right point of every left point, the first in right order on ties (planar units).
 
-    Search goes down a grid pyramid of the right side. At each level a left point keeps only the
-    cells that can still hold its nearest point, judged by the tight box of each cell, so neither
-    a far left point nor a dense right cluster produces all pairs.
+    The right places are cut into leaves of equal size along the Z-order curve. A left place starts at the leaf where it
+    would stand on that curve: the nearest place there bounds its distance. The square of that bound around it is joined
+    with the bounds of the leaves, each pair at the grid level of the larger box, and only places of leaves that the
+    circle of the bound touches are measured. No key is common to all rows, and no loop is needed: far left points,
+    dense right clusters and places that hold many points (each counts once) all take the same three joins.
+    Points without two coordinates (null or NaN) match nothing.
     """
     outputs = [right_id, *values]
     renamed = {v: f"{prefix}_{v}" for v in outputs}
     point = F.struct(*[F.col(c).alias(n) for c, n in renamed.items()])
+
+    def placed(df: DataFrame) -> DataFrame:
+        return df.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y))
+
     # Equal coordinates can only win by order: one row per place.
-    sites = right.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(
-        F.col(x).alias("_rx"), F.col(y).alias("_ry")
-    ).agg(F.min(F.col(right_order)).alias("_ord"), F.min_by(point, F.col(right_order)).alias("_hit"))
+    sites = placed(right).groupBy(F.col(x).cast("double").alias("_rx"), F.col(y).cast("double").alias("_ry")).agg(
+        F.min(F.col(right_order)).alias("_ord"), F.min_by(point, F.col(right_order)).alias("_hit")
+    )
     sites = cut_lineage(sites)
-    box = sites.agg(F.min("_rx"), F.min("_ry"), F.max("_rx"), F.max("_ry")).first()
+    west, south, east, north = sites.agg(F.min("_rx"), F.min("_ry"), F.max("_rx"), F.max("_ry")).first()
     empty_hit = F.lit(None).cast(sites.schema["_hit"].dataType)
-    if box[0] is None:
+    if west is None:
         none = left.withColumn("_best", F.lit(None).cast("double")).withColumn("_hit", empty_hit)
         return none.select(*left.columns, F.col("_best").alias(f"{prefix}_distance"), "_hit.*")
-    origin = (box[0], box[1])
-    span = max(box[2] - box[0], box[3] - box[1], 1e-9) * (1 + 1e-9)
-    depth = _leaf_depth(sites, "_rx", "_ry", origin, span)
-
-    def cell_at(level: int) -> tuple[Column, Column]:
-        size = F.lit(span / FAN**level)
-        return _cell(F.col("_rx") - origin[0], size), _cell(F.col("_ry") - origin[1], size)
-
-    frontier = left.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
-        F.col(left_id).alias("_id"), F.col(x).alias("_x"), F.col(y).alias("_y"),
-        F.lit(0).cast("bigint").alias("_px"), F.lit(0).cast("bigint").alias("_py"),
+    origin, span = (west, south), max(east - west, north - south) or 1.0
+    leaved = cut_lineage(leaf_directory(sites, origin, span))
+    bounds = leaved.groupBy("_leaf").agg(
+        F.min("_rx").alias("_w"), F.min("_ry").alias("_s"), F.max("_rx").alias("_e"), F.max("_ry").alias("_n"), F.min(F.struct("_z", "_rx", "_ry")).alias("_head")
     )
-    by_left = Window.partitionBy("_id")
-    for level in range(1, depth + 1):
-        cx, cy = cell_at(level)
-        up_x, up_y = cell_at(level - 1)
-        cells = sites.groupBy(up_x.alias("_px"), up_y.alias("_py"), cx.alias("_cx"), cy.alias("_cy")).agg(
-            F.min("_rx").alias("_w"), F.min("_ry").alias("_s"), F.max("_rx").alias("_e"), F.max("_ry").alias("_n")
-        )
-        near_x = F.greatest(F.col("_w") - F.col("_x"), F.col("_x") - F.col("_e"), F.lit(0.0))
-        near_y = F.greatest(F.col("_s") - F.col("_y"), F.col("_y") - F.col("_n"), F.lit(0.0))
-        far_x = F.greatest(F.abs(F.col("_x") - F.col("_w")), F.abs(F.col("_e") - F.col("_x")))
-        far_y = F.greatest(F.abs(F.col("_y") - F.col("_s")), F.abs(F.col("_n") - F.col("_y")))
-        frontier = (
-            frontier.join(cells, ["_px", "_py"])
-            .withColumn("_lo", near_x * near_x + near_y * near_y)
-            .withColumn("_ub", F.min(far_x * far_x + far_y * far_y).over(by_left))
-            .filter(F.col("_lo") <= F.col("_ub"))
-            .select("_id", "_x", "_y", F.col("_cx").alias("_px"), F.col("_cy").alias("_py"))
-        )
-        if level % 4 == 0:
-            frontier = cut_lineage(frontier)
-    leaf_x, leaf_y = cell_at(depth)
-    leaves = sites.withColumn("_px", leaf_x).withColumn("_py", leaf_y)
-    best = (
-        frontier.join(leaves, ["_px", "_py"])
-        .withColumn("_d", geo.euclidean("_x", "_y", "_rx", "_ry"))
-        .groupBy("_id")
-        .agg(F.min("_d").alias("_best"), F.min_by("_hit", F.struct("_d", "_ord")).alias("_hit"))
+    bounds = cut_lineage(bounds)
+    heads = bounds.select("_head._z", F.col("_head._rx").alias("_x"), F.col("_head._ry").alias("_y"), F.lit(0).alias("_kind"), F.col("_leaf").alias("_own"))
+    places = placed(left).select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).distinct()
+    curved = places.select(z_order(F.col("_x"), F.col("_y"), origin, span).alias("_z"), "_x", "_y", F.lit(1).alias("_kind"), F.lit(None).cast("bigint").alias("_own"))
+    stood = running(heads.unionByName(curved), [], ["_z", "_x", "_y", "_kind"], {"_leaf": ("last", F.col("_own"))}).filter("_kind = 1")
+    started = stood.select("_x", "_y", F.coalesce("_leaf", F.lit(0).cast("bigint")).alias("_leaf"))
+    away = geo.euclidean("_x", "_y", "_rx", "_ry")
+    started = cut_lineage(started.join(leaved, "_leaf").groupBy("_x", "_y").agg(F.min(away).alias("_bound")))
+
+    # Boxes in steps of the span, so that grid levels fit any unit; bounds are widened by what rounding may cost.
+    step = span / 2**20
+    wide = F.col("_bound") * (1 + 1e-9) + step * 1e-6
+
+    def boxed(df: DataFrame, w: Column, s_: Column, e: Column, n: Column) -> DataFrame:
+        scaled = {"west": (w - west) / step, "south": (s_ - south) / step, "east": (e - west) / step, "north": (n - south) / step}
+        return df.withColumns(scaled)
+
+    circles = boxed(started, F.col("_x") - wide, F.col("_y") - wide, F.col("_x") + wide, F.col("_y") + wide)
+    boxes = boxed(bounds.drop("_head"), F.col("_w"), F.col("_s"), F.col("_e"), F.col("_n"))
+    met = box_join(circles, boxes, prefix="b")
+    near_x = F.greatest(F.col("b__w") - F.col("_x"), F.col("_x") - F.col("b__e"), F.lit(0.0))
+    near_y = F.greatest(F.col("b__s") - F.col("_y"), F.col("_y") - F.col("b__n"), F.lit(0.0))
+    touched = met.filter(F.hypot(near_x, near_y) <= wide).select("_x", "_y", F.col("b__leaf").alias("_leaf"))
+    best = touched.join(leaved, "_leaf").withColumn("_d", away).groupBy("_x", "_y").agg(
+        F.min("_d").alias("_best"), F.min_by("_hit", F.struct("_d", "_ord")).alias("_hit")
     )
     if max_distance is not None:
         best = best.filter(F.col("_best") <= max_distance)
-    joined = left.join(best, F.col(left_id) == F.col("_id"), "left")
+    joined = left.join(best, (F.col(x).cast("double") == F.col("_x")) & (F.col(y).cast("double") == F.col("_y")), "left")
     return joined.select(*left.columns, F.col("_best").alias(f"{prefix}_distance"), "_hit.*")
 
 

@@ -55,6 +55,50 @@ def test_nearest_in_a_dense_cluster(spark):
     assert empty.overlay_sid is None and empty.overlay_distance is None
 
 
+@pytest.mark.parametrize("kind", ["left in one place", "right in one spot", "right in one place", "one axis", "far away", "ties"])
+def test_nearest_of_uneven_points(spark, kind):
+    rng = np.random.default_rng(9)
+    sites, left = rng.random((1500, 2)) * 1000, rng.random((400, 2)) * 1000
+    if kind == "left in one place":
+        left[:] = [123.456, 654.321]
+    elif kind == "right in one spot":
+        sites[:1350] = 700 + rng.random((1350, 2)) * 1e-7
+    elif kind == "right in one place":
+        sites[:1350] = [1e-3, 2e-3]
+    elif kind == "one axis":
+        sites[:, 1] = 5.0
+    elif kind == "far away":
+        left = left * 1e6 - 5e8
+        left[:200] = rng.random((200, 2)) * 1000 + [1e5, -1e5]
+    else:
+        sites, left = np.floor(sites / 50) * 50, np.floor(left / 25) * 25
+    s = spark.createDataFrame(pd.DataFrame({"sid": range(len(sites)), "x": sites[:, 0], "y": sites[:, 1]}))
+    p = spark.createDataFrame(pd.DataFrame({"pid": range(len(left)), "x": left[:, 0], "y": left[:, 1]}))
+    got = overlay.nearest(p, s, "pid", "sid", "sid").toPandas().sort_values("pid")
+    across = left[:, None, :] - sites[None, :, :]
+    distance = np.sqrt(across[..., 0] * across[..., 0] + across[..., 1] * across[..., 1])
+    assert len(got) == len(left)
+    assert (got.overlay_sid.values == distance.argmin(1)).all()
+    assert np.allclose(got.overlay_distance, distance.min(1))
+
+
+def test_box_join_pairs_each_once(spark):
+    rng = np.random.default_rng(10)
+
+    def boxes(n):
+        low, size = rng.random((n, 2)) * 100, np.exp(rng.uniform(-8, 5, (n, 2)))
+        size[: n // 10] = 0
+        return pd.DataFrame({"west": low[:, 0], "south": low[:, 1], "east": low[:, 0] + size[:, 0], "north": low[:, 1] + size[:, 1]})
+
+    a, b = boxes(200), boxes(150)
+    got = overlay.box_join(spark.createDataFrame(a.assign(i=range(200))), spark.createDataFrame(b.assign(j=range(150)))).select("i", "overlay_j").collect()
+    meets = (
+        (a.west.values[:, None] <= b.east.values) & (b.west.values <= a.east.values[:, None])
+        & (a.south.values[:, None] <= b.north.values) & (b.south.values <= a.north.values[:, None])
+    )
+    assert sorted(map(tuple, got)) == sorted(zip(*map(list, np.nonzero(meets)), strict=True))
+
+
 def test_pairs_near_poles_and_date_line(spark):
     rng = np.random.default_rng(5)
     lon, lat = rng.uniform(-180, 180, 300), np.concatenate([rng.uniform(80, 90, 150), rng.uniform(-90, 90, 150)])
