@@ -16,8 +16,8 @@ from siteplan.llm.common import components, stage
 SEED = 42
 BYTES = 8
 #: Fingerprints of a shingle set, one per band, each made of so many least hashes. A pair of similarity 0.8 shares none
-#: with probability (1 - 0.8 ** 4) ** 24, about 3 in a million.
-BANDS, LEAST = 24, 4
+#: with probability (1 - 0.8 ** 8) ** 60, about 16 in a million, and one of 0.4 any with 4 in a hundred.
+BANDS, LEAST = 60, 8
 #: Rounds that hold one member of each posting against the others before the pairs left are all compared.
 STARS = 3
 
@@ -277,8 +277,8 @@ def similar_prompts(prompts: DataFrame, similarity: float = 0.8, words: int = 5)
 
     Returns ``record_id, prompt_hash, group_id, keeper`` as ``near_duplicates`` does; groups are chains of such pairs.
 
-    Candidates share one of 24 fingerprints, each of four least hashes, so a pair at 0.8 is missed with a probability of
-    3 in a million and a closer one less often; each is verified on the exact sets. Equal sets are one node and prompts
+    Candidates share one of 60 fingerprints, each of eight least hashes, so a pair at 0.8 is missed with a probability of
+    16 in a million and a closer one less often, while a pair at 0.4 meets in one of 25; each is verified on the exact sets. Equal sets are one node and prompts
     without words have equal sets. Null ids, repeated rows and empty input are treated as in ``near_duplicates``.
     """
     marked = stage(_shingle_sets(prompts, words), "shingle-sets")
