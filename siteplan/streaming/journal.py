@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from siteplan.functions.text import redact_json
 from siteplan.operators.evaluation import TOOL_ENDS
+from siteplan.plans.scoring import TOLERANCE
 from siteplan.sources.readers import RUN_EVENT_SCHEMA
 
 ADMITTED = ("action_admitted",)
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+DEFAULT_STORE = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
 
 
 def stream_events(spark: SparkSession, path: str, files_per_trigger: int | None = None, file_format: str = "json") -> DataFrame:
@@ -29,27 +31,103 @@ def replay(events: DataFrame, run_id: str, after: int) -> DataFrame:
     return events.filter((F.col("run_id") == run_id) & (F.col("sequence") > after))
 
 
-def check_sequence(events: DataFrame) -> DataFrame:
+def replay_cursor(replayed: DataFrame) -> DataFrame:
+    """``run_id, cursor``: the last sequence of each run in a replayed part of a journal, to be stored with it."""
+    return replayed.groupBy("run_id").agg(F.max("sequence").alias("cursor"))
+
+
+def follow(events: DataFrame, cursor: DataFrame) -> DataFrame:
+    """The events of a stream behind a stored cursor, all events of runs that it does not know.
+
+    The stream may start at the beginning of the journal: what the replay had is left out by its sequence, so replay and
+    stream together give each event once. A run's sequences must be written in order, as ``check_sequence`` ensures.
+    """
+    stored = cursor.select(F.col("run_id").alias("_run"), "cursor")
+    joined = events.join(stored, F.col("run_id") == F.col("_run"), "left")
+    return joined.filter(F.col("cursor").isNull() | (F.col("sequence") > F.col("cursor"))).drop("_run", "cursor")
+
+
+def use_typed_state(spark: SparkSession) -> None:
+    """Streams with typed state need the RocksDB state store; keep another choice that the session has made."""
+    if spark.conf.get(STATE_STORE, None) in (None, DEFAULT_STORE):
+        spark.conf.set(STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+class _Sequence(StatefulProcessor):
+    """The expected sequence of a run, and the rows that came before their turn."""
+
+    def __init__(self, hold: bool):
+        self.hold = hold
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.expected = handle.getValueState("expected", "sequence BIGINT")
+        self.early = handle.getMapState("early", "sequence BIGINT", "kind STRING")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        expected = self.expected.get()[0] if self.expected.exists() else 0
+        waiting = False
+        for row in rows:
+            if row.sequence == expected:
+                yield Row(run_id=key[0], sequence=row.sequence, kind=row.kind, accepted=True)
+                expected += 1
+                while self.early.exists() and self.early.containsKey((expected,)):
+                    kind = self.early.getValue((expected,))[0]
+                    self.early.removeKey((expected,))
+                    yield Row(run_id=key[0], sequence=expected, kind=kind, accepted=True)
+                    expected += 1
+            elif row.sequence > expected and not (self.early.exists() and self.early.containsKey((row.sequence,))):
+                self.early.updateValue((row.sequence,), (row.kind,))
+                waiting = True
+            else:
+                yield Row(run_id=key[0], sequence=row.sequence, kind=row.kind, accepted=False)
+        if waiting and not self.hold and self.early.exists():
+            for (sequence,), (kind,) in list(self.early.iterator()):
+                yield Row(run_id=key[0], sequence=sequence, kind=kind, accepted=False)
+            self.early.clear()
+        self.expected.update((expected,))
+
+    def close(self) -> None:
+        pass
+
+
+def check_sequence(events: DataFrame, hold: bool = False) -> DataFrame:
     """``run_id, sequence, kind, accepted``: an event is accepted only as the successor of the last one.
 
-    Events of one trigger are taken in sequence order; a gap rejects everything behind it until the
-    missing event arrives.
+    Events are taken one by one; those that come before their turn wait in a map by sequence and are let through, in
+    order, once the missing event arrives. At the end of a trigger the ones still waiting are rejected, or kept for later
+    triggers with ``hold``, so that the outcome does not depend on how the journal is cut into triggers. An event of a
+    sequence that was accepted or waits already is rejected.
     """
-    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        expected = state.get[0] if state.exists else 0
-        # Sorting needs the key's rows of this trigger only; maxFilesPerTrigger bounds them.
-        rows = pd.concat(list(batches)).sort_values("sequence", kind="stable")
-        accepted = []
-        for value in rows["sequence"]:
-            fits = value == expected
-            accepted.append(fits)
-            expected += fits
-        state.update((int(expected),))
-        yield pd.DataFrame({"run_id": key[0], "sequence": rows["sequence"].to_numpy(), "kind": rows["kind"].to_numpy(), "accepted": accepted})
-
-    return events.select("run_id", "sequence", "kind").groupBy("run_id").applyInPandasWithState(
-        follow, "run_id STRING, sequence BIGINT, kind STRING, accepted BOOLEAN", "expected BIGINT", "append", GroupStateTimeout.NoTimeout
-    )
+    layout = "run_id STRING, sequence BIGINT, kind STRING, accepted BOOLEAN"
+    fields = events.select("run_id", "sequence", "kind")
+    return fields.groupBy("run_id").transformWithState(_Sequence(hold), layout, "append", "none")
+
+
+class _Steps(StatefulProcessor):
+    """One typed value per key, led through the rows of a trigger in order of their sequence.
+
+    Keys are actions or problems: what is sorted is one key's rows of one trigger, which maxFilesPerTrigger bounds.
+    """
+
+    state: str
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.value = handle.getValueState("value", self.state)
+
+    def step(self, value: tuple | None, row: Row) -> tuple[tuple | None, Row | None]:
+        raise NotImplementedError
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        before = value = tuple(self.value.get()) if self.value.exists() else None
+        for row in sorted(rows, key=lambda r: r.sequence):
+            value, out = self.step(value, row)
+            if out is not None:
+                yield out
+        if value != before:
+            self.value.update(value)
+
+    def close(self) -> None:
+        pass
 
 
 def dedupe_actions(events: DataFrame, fingerprint: str = "fingerprint", watermark: str | None = None, event_time: str = "timestamp") -> DataFrame:
@@ -63,61 +141,59 @@ def dedupe_actions(events: DataFrame, fingerprint: str = "fingerprint", watermar
     return events.withWatermark(event_time, watermark).dropDuplicatesWithinWatermark(["run_id", fingerprint])
 
 
+class _Live(_Steps):
+    """The generation of an action that is admitted and not finished; -1 for none."""
+
+    state = "generation BIGINT"
+
+    def step(self, value, row):
+        live = -1 if value is None else value[0]
+        if row.kind in ADMITTED:
+            return (row.action_generation,), row
+        if row.action_generation != live:
+            return value, None
+        return ((-1,) if row.kind in TOOL_ENDS else value), row
+
+
 def drop_stale(events: DataFrame) -> DataFrame:
     """Keep action events only while their generation is the admitted, unfinished one of its action."""
-    def admit(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        live = state.get[0] if state.exists else -1
-        rows = pd.concat(list(batches)).sort_values("sequence", kind="stable")
-        kept = []
-        for row in rows.itertuples():
-            if row.kind in ADMITTED:
-                live = int(row.action_generation)
-                kept.append(True)
-            else:
-                kept.append(row.action_generation == live)
-                if row.kind in TOOL_ENDS and row.action_generation == live:
-                    live = -1
-        state.update((live,))
-        yield rows[kept][["run_id", "action_id", "action_generation", "sequence", "kind"]]
-
     layout = "run_id STRING, action_id STRING, action_generation BIGINT, sequence BIGINT, kind STRING"
-    acting = events.filter(F.col("action_id").isNotNull()).select("run_id", "action_id", "action_generation", "sequence", "kind")
-    return acting.groupBy("run_id", "action_id").applyInPandasWithState(admit, layout, "live BIGINT", "append", GroupStateTimeout.NoTimeout)
+    acting = events.filter(F.col("action_id").isNotNull()).select(
+        F.col("run_id").cast("string"), F.col("action_id").cast("string"), F.col("action_generation").cast("bigint"), F.col("sequence").cast("bigint"), "kind"
+    )
+    return acting.groupBy("run_id", "action_id").transformWithState(_Live(), layout, "append", "none")
 
 
-def stream_incumbents(candidates: DataFrame) -> DataFrame:
-    """Commit or reject each candidate of a problem: ``problem_hash, sequence, outcome, reason``.
+class _Best(_Steps):
+    """The comparator of a problem's incumbent."""
 
-    Candidates hold problem_hash, sequence, valid, feasible and comparator ARRAY<DOUBLE>. Only a
-    feasible strict improvement is committed; the state is one comparator per problem.
-    """
-    from siteplan.plans.scoring import TOLERANCE
+    state = "comparator ARRAY<DOUBLE>"
+
+    def step(self, value, row):
+        reason = "validation_failed" if not row.valid else "infeasible" if not row.feasible else None
+        new = [float(v) for v in row.comparator]
+        if reason is None and value is not None and not self.better(new, value[0]):
+            reason = "not_better"
+        out = Row(problem_hash=row.problem_hash, sequence=row.sequence, outcome="rejected" if reason else "committed", reason=reason)
+        return (value if reason else (new,)), out
 
+    @staticmethod
     def better(new: list[float], old: list[float]) -> bool:
         for a, b in zip(new, old):
             if abs(a - b) > TOLERANCE:
                 return a > b
         return False
 
-    def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best = list(state.get[0]) if state.exists else None
-        rows = pd.concat(list(batches)).sort_values("sequence", kind="stable")
-        reasons = []
-        for row in rows.itertuples():
-            reason = "validation_failed" if not row.valid else "infeasible" if not row.feasible else None
-            if reason is None and best is not None and not better(list(row.comparator), best):
-                reason = "not_better"
-            if reason is None:
-                best = [float(v) for v in row.comparator]
-            reasons.append(reason)
-        if best is not None:
-            state.update((best,))
-        outcome = ["rejected" if r else "committed" for r in reasons]
-        yield pd.DataFrame({"problem_hash": key[0], "sequence": rows["sequence"].to_numpy(), "outcome": outcome, "reason": reasons})
 
+def stream_incumbents(candidates: DataFrame) -> DataFrame:
+    """Commit or reject each candidate of a problem: ``problem_hash, sequence, outcome, reason``.
+
+    Candidates hold problem_hash, sequence, valid, feasible and comparator ARRAY<DOUBLE>. Only a
+    feasible strict improvement is committed; the state is one comparator per problem.
+    """
     layout = "problem_hash STRING, sequence BIGINT, outcome STRING, reason STRING"
     fields = candidates.select("problem_hash", "sequence", "valid", "feasible", "comparator")
-    return fields.groupBy("problem_hash").applyInPandasWithState(decide, layout, "best ARRAY<DOUBLE>", "append", GroupStateTimeout.NoTimeout)
+    return fields.groupBy("problem_hash").transformWithState(_Best(), layout, "append", "none")
 
 
 def stream_budget(usage: DataFrame, max_tokens: int, max_tool_calls: int) -> DataFrame:
@@ -137,26 +213,32 @@ def stream_budget(usage: DataFrame, max_tokens: int, max_tool_calls: int) -> Dat
     )
 
 
-def stream_latency(events: DataFrame, watermark: str | None = None, longest: str | None = None) -> DataFrame:
-    """Latency of finished tool calls by a stream-stream join.
+class _Started(_Steps):
+    """The latest start of an action generation that no terminal event has ended."""
+
+    state = "ms BIGINT, tool STRING"
+
+    def step(self, value, row):
+        if row.kind == "tool_started":
+            return (row.ms, row.tool), None
+        if value is None or value[0] is None:
+            return value, None
+        spent = None if row.ms is None else max(row.ms - value[0], 0)
+        return (None, None), Row(run_id=row.run_id, action_id=row.action_id, action_generation=row.action_generation, sequence=row.sequence, tool=value[1], latency_ms=spent)
+
+
+def stream_latency(events: DataFrame) -> DataFrame:
+    """Finished tool calls: ``run_id, action_id, action_generation, sequence, tool, latency_ms``, as ``tool_latency`` gives them.
 
-    A start is matched with the terminal event of its action generation. Every call is matched, however long, unless
-    ``watermark`` and ``longest`` are given: both together bound the state, and calls longer than ``longest`` have no row.
+    A terminal event ends the latest earlier start of its action generation, once. The state is one start per generation;
+    events of a generation must arrive in order from trigger to trigger.
     """
-    if (watermark is None) != (longest is None):
-        raise ValueError("a bound needs both a watermark and a longest call")
-    timed = events if watermark is None else events.withWatermark("timestamp", watermark)
-    begun = timed.filter(F.col("kind") == "tool_started").select(
-        F.col("run_id").alias("s_run"), F.col("action_id").alias("s_action"), F.col("action_generation").alias("s_generation"),
-        F.col("timestamp").alias("s_time"), F.col("relative_monotonic_ms").alias("s_ms"),
-        F.coalesce(F.get_json_object("payload", "$.tool"), F.lit("unknown")).alias("tool"),
+    layout = "run_id STRING, action_id STRING, action_generation BIGINT, sequence BIGINT, tool STRING, latency_ms BIGINT"
+    calls = events.filter(F.col("action_id").isNotNull() & F.col("action_generation").isNotNull() & F.col("kind").isin("tool_started", *TOOL_ENDS)).select(
+        F.col("run_id").cast("string"), F.col("action_id").cast("string"), F.col("action_generation").cast("bigint"), F.col("sequence").cast("bigint"), "kind",
+        F.col("relative_monotonic_ms").cast("bigint").alias("ms"), F.coalesce(F.get_json_object("payload", "$.tool"), F.lit("unknown")).alias("tool"),
     )
-    ended = timed.filter(F.col("kind").isin(*TOOL_ENDS)).select("run_id", "action_id", "action_generation", "timestamp", "relative_monotonic_ms")
-    same = (F.col("run_id") == F.col("s_run")) & (F.col("action_id") == F.col("s_action")) & (F.col("action_generation") == F.col("s_generation"))
-    if longest is not None:
-        same = same & (F.col("timestamp") >= F.col("s_time")) & (F.col("timestamp") <= F.col("s_time") + F.expr(f"INTERVAL {longest}"))
-    spent = F.greatest(F.col("relative_monotonic_ms") - F.col("s_ms"), F.lit(0))
-    return begun.join(ended, same).select("run_id", "action_id", "action_generation", "tool", spent.alias("latency_ms"))
+    return calls.groupBy("run_id", "action_id", "action_generation").transformWithState(_Started(), layout, "append", "none")
 
 
 def redact_stream(events: DataFrame, payload: str = "payload") -> DataFrame:

@@ -296,6 +296,7 @@ def _drain(spark, stream, mode="append", keys=()):
     Each batch owns a folder, so that a repeated batch replaces itself; in update mode the last row per key counts.
     """
     root = _fresh_folder(spark)
+    journal.use_typed_state(spark)
 
     def keep(batch, number):
         batch.write.mode("overwrite").parquet(f"{root}/data/batch={number}")
@@ -359,3 +360,80 @@ def streamed_redaction(spark, sf):
     )
     stream = _event_stream(spark, sf).select("event_id", secret.alias("payload"))
     return _drain(spark, journal.redact_stream(stream))
+
+
+@query(
+    "streamed_sequence",
+    """WITH e AS (SELECT event_id // 40 AS run, event_id % 40 AS q, event_type FROM events WHERE event_id % 97 <> 5 AND event_id % 211 <> 7),
+n AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY q) - 1 AS place FROM e)
+SELECT CAST(run AS VARCHAR) AS run_id, q AS sequence, event_type AS kind, q = place AS accepted FROM n""",
+)
+def streamed_sequence(spark, sf):
+    """Ordered ingest of runs with missing events: what stands behind a gap is rejected."""
+    key = F.col("event_id")
+    stream = _event_stream(spark, sf).filter((key % 97 != 5) & (key % 211 != 7)).select(
+        F.floor(key / 40).cast("string").alias("run_id"), (key % 40).alias("sequence"), F.col("event_type").alias("kind")
+    )
+    return _drain(spark, journal.check_sequence(stream))
+
+
+def _actions(df):
+    """Events as action events: a new generation is admitted now and then, late ones name an older generation."""
+    key = F.col("event_id")
+    kind = F.when(key % 10 == 0, "action_admitted").when(key % 10 == 4, "tool_completed").when(key % 10 == 7, "tool_failed").when(key % 10 == 2, "tool_started").otherwise("note")
+    generation = F.floor(key / 10) - F.when((key % 10 != 0) & (key % 7 == 3), 1).otherwise(0)
+    return df.select(
+        F.floor(key / 200).cast("string").alias("run_id"), F.floor(key / 50).cast("string").alias("action_id"), generation.cast("bigint").alias("action_generation"),
+        key.alias("sequence"), kind.alias("kind"), (key * 13 % 1009).alias("relative_monotonic_ms"), F.lit("{}").alias("payload"),
+    )
+
+
+ACTIONS_SQL = """a AS (SELECT CAST(event_id // 200 AS VARCHAR) AS run_id, CAST(event_id // 50 AS VARCHAR) AS action_id, event_id AS sequence,
+  event_id // 10 - CASE WHEN event_id % 10 <> 0 AND event_id % 7 = 3 THEN 1 ELSE 0 END AS action_generation, event_id * 13 % 1009 AS ms,
+  CASE event_id % 10 WHEN 0 THEN 'action_admitted' WHEN 4 THEN 'tool_completed' WHEN 7 THEN 'tool_failed' WHEN 2 THEN 'tool_started' ELSE 'note' END AS kind FROM events)"""
+
+
+@query(
+    "streamed_live_actions",
+    f"""WITH {ACTIONS_SQL},
+l AS (SELECT *, max(sequence) FILTER (WHERE kind = 'action_admitted') OVER (PARTITION BY run_id, action_id ORDER BY sequence) AS since FROM a),
+g AS (SELECT *, max(CASE WHEN sequence = since THEN action_generation END) OVER (PARTITION BY run_id, action_id, since) AS live FROM l),
+k AS (SELECT *, count(*) FILTER (WHERE kind LIKE 'tool_%ed' AND kind <> 'tool_started') OVER (PARTITION BY run_id, action_id, since ORDER BY sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ended
+  FROM g WHERE since IS NOT NULL AND action_generation = live)
+SELECT run_id, action_id, action_generation, sequence, kind FROM k WHERE kind = 'action_admitted' OR coalesce(ended, 0) = 0""",
+)
+def streamed_live_actions(spark, sf):
+    """Stale action events dropped in flight."""
+    return _drain(spark, journal.drop_stale(_actions(_event_stream(spark, sf))))
+
+
+@query(
+    "streamed_latency",
+    f"""WITH {ACTIONS_SQL},
+b AS (SELECT *, lag(kind) OVER o AS kind_before, lag(ms) OVER o AS ms_before FROM a WHERE kind IN ('tool_started', 'tool_completed', 'tool_failed')
+  WINDOW o AS (PARTITION BY run_id, action_id, action_generation ORDER BY sequence))
+SELECT run_id, action_id, action_generation, sequence, 'unknown' AS tool, greatest(ms - ms_before, 0) AS latency_ms FROM b WHERE kind <> 'tool_started' AND kind_before = 'tool_started'""",
+)
+def streamed_latency(spark, sf):
+    """Latency of tool calls as a stream, by the rule of the batch form."""
+    return _drain(spark, journal.stream_latency(_actions(_event_stream(spark, sf))))
+
+
+@query(
+    "followed_events",
+    """WITH m AS (SELECT (min(event_id) + max(event_id)) // 2 AS mid FROM events)
+SELECT CAST(user_id AS VARCHAR) AS run_id, event_id AS sequence, event_type AS kind, event_id <= mid AS replayed FROM events, m""",
+)
+def followed_events(spark, sf):
+    """The first half of the journal replayed as a batch, the rest followed as a stream from the stored cursor."""
+    def journal_rows(df):
+        return df.select(F.col("user_id").cast("string").alias("run_id"), F.col("event_id").alias("sequence"), F.col("event_type").alias("kind"))
+
+    whole = table(spark, sf, "events")
+    middle = whole.agg(F.floor((F.min("event_id") + F.max("event_id")) / 2).alias("mid")).scalar()
+    root = _fresh_folder(spark)
+    journal_rows(whole.filter(F.col("event_id") <= middle)).write.parquet(f"{root}/replayed")
+    replayed = spark.read.parquet(f"{root}/replayed")
+    journal.replay_cursor(replayed).write.parquet(f"{root}/cursor")
+    followed = _drain(spark, journal.follow(journal_rows(_event_stream(spark, sf)), spark.read.parquet(f"{root}/cursor")))
+    return replayed.withColumn("replayed", F.lit(True)).unionByName(followed.withColumn("replayed", F.lit(False)))
