@@ -143,6 +143,11 @@ def _segments(rings: Column) -> Column:
     )
 
 
+def segments(rings) -> Column:
+    """The edges of a polygon: ``x1, y1, x2, y2``."""
+    return _segments(_c(rings))
+
+
 def on_boundary(x, y, rings) -> Column:
     x, y = _c(x), _c(y)
     return F.exists(
@@ -169,6 +174,11 @@ def edge_directions(x, y, rings) -> Column:
 
 def inside_rings(x, y, rings) -> Column:
     """Even-odd rule; points on the boundary are decided by ``on_boundary`` first."""
+    return inside_segments(x, y, _segments(_c(rings)))
+
+
+def inside_segments(x, y, edges) -> Column:
+    """``inside_rings`` for the edges of a polygon."""
     x, y = _c(x), _c(y)
 
     def crossed(s: Column) -> Column:
@@ -178,7 +188,7 @@ def inside_rings(x, y, rings) -> Column:
         straddles = (s["y1"] > y) != (s["y2"] > y)
         return straddles & F.when(rise > 0, left < right).otherwise(left > right)
 
-    return F.size(F.filter(_segments(_c(rings)), crossed)) % 2 == 1
+    return F.size(F.filter(_c(edges), crossed)) % 2 == 1
 
 
 def point_polygon(x, y, rings, predicate: str) -> Column:

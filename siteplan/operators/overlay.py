@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from siteplan.functions import geo
 from siteplan.operators.ordered import positions, running
-from siteplan.session import cut_lineage
+from siteplan.session import cut_lineage, shuffle_buckets
 
 SALT = 8
+#: Where a grid level has at most so many polygons, their cells are cut to a 32nd, a 16th or a quarter of their side.
+FEW, SOME, MANY = 256, 4096, 65_536
 LEAF_POINTS = 64
 #: Distance of a spot beside a point, as a share of its coordinates.
 NEARBY = 1e-7
@@ -39,34 +41,7 @@ def _level(west: Column, south: Column, east: Column, north: Column) -> Column:
     return F.greatest(F.lit(-20), F.least(F.lit(40), level))
 
 
-def index_boxes(
-    df: DataFrame, west: Column, south: Column, east: Column, north: Column, salt: int = SALT
-) -> DataFrame:
-    """Replicate each box to the cells it touches, at the grid level that fits its own size.
-
-    A box meets at most 2 x 2 cells of its level, whatever its size; ``salt`` copies let the other
-    side of the join spread a crowded cell over several tasks.
-    """
-    sized = df.withColumn("_level", _level(west, south, east, north))
-    size = F.pow(F.lit(2.0), F.col("_level"))
-    return (
-        sized.withColumn("_cx", F.explode(_cover(west, east, size)))
-        .withColumn("_cy", F.explode(_cover(south, north, size)))
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    )
-
-
-def index_points(df: DataFrame, x: Column, y: Column, levels: Column, salt: int = SALT) -> DataFrame:
-    """One row per grid level in use (a short array), each in exactly one cell."""
-    leveled = df.withColumn("_salt", row_salt(df, salt)).withColumn("_level", F.explode(levels))
-    size = F.pow(F.lit(2.0), F.col("_level"))
-    return (
-        leveled.withColumn("_cx", _cell(x, size))
-        .withColumn("_cy", _cell(y, size))
-    )
-
-
-CELL_KEYS = ["_level", "_cx", "_cy", "_salt"]
+CELL_KEYS = ["_level", "_cx", "_cy"]
 
 
 def _bounds(rings: str) -> tuple[Column, Column, Column, Column]:
@@ -75,13 +50,80 @@ def _bounds(rings: str) -> tuple[Column, Column, Column, Column]:
     return F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)
 
 
-def pair_points_polygons(points: DataFrame, polygons: DataFrame, x: str, y: str, rings: str) -> DataFrame:
-    """Candidate pairs whose point lies in a grid cell of the polygon's box; each pair once."""
-    boxed = index_boxes(polygons, *_bounds(rings))
-    levels = boxed.agg(F.sort_array(F.collect_set("_level")).alias("l"))
+def _touches(edge: Column, west: Column, south: Column, east: Column, north: Column) -> Column:
+    """Whether an edge comes into a box: their boxes overlap and the corners are not all on one side of it."""
+    apart = (
+        (F.greatest(edge["x1"], edge["x2"]) < west) | (F.least(edge["x1"], edge["x2"]) > east)
+        | (F.greatest(edge["y1"], edge["y2"]) < south) | (F.least(edge["y1"], edge["y2"]) > north)
+    )
+    sides = [(edge["x2"] - edge["x1"]) * (cy - edge["y1"]) - (edge["y2"] - edge["y1"]) * (cx - edge["x1"]) for cx in (west, east) for cy in (south, north)]
+    return ~apart & (F.least(*sides) <= 0) & (F.greatest(*sides) >= 0)
+
+
+def _finer(cells: DataFrame, bits: int) -> DataFrame:
+    """Replace each cell by those of its parts, 2 ** bits a side, that the polygon meets, with the edges that come near them.
+
+    A part without edges lies inside or outside as a whole. Parts are taken a little larger for the test, so an edge along
+    their side counts as near. Inner cells have inner parts.
+    """
+    side = 2**bits
+    split = cells.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(side * side - 1)))).withColumns({
+        "_level": F.col("_level") - bits, "_cx": F.col("_cx") * side + F.col("_part") % side, "_cy": F.col("_cy") * side + F.floor(F.col("_part") / side),
+    }).drop("_part")
+    size = F.pow(F.lit(2.0), F.col("_level"))
+    west, south = F.col("_cx") * size, F.col("_cy") * size
+    slack = size * 1e-6 + F.greatest(F.abs(west), F.abs(south)) * 1e-12
+    box = F.struct((west - slack).alias("w"), (south - slack).alias("s"), (west + size + slack).alias("e"), (south + size + slack).alias("n"))
+    near = F.filter("_edges", lambda e: _touches(e, F.col("_box.w"), F.col("_box.s"), F.col("_box.e"), F.col("_box.n")))
+    # Exploded, so that the edges are looked through once.
+    tested = split.withColumn("_box", box).withColumn("_near", F.explode(F.array(F.when(F.col("_inner"), F.col("_edges")).otherwise(near))))
+    inside = geo.inside_segments((F.col("_box.w") + F.col("_box.e")) / 2, (F.col("_box.s") + F.col("_box.n")) / 2, F.col("_all"))
+    known = F.when(F.col("_inner"), True).when(F.size("_near") > 0, False).otherwise(F.when(inside, True))
+    return tested.withColumn("_inner", known).withColumn("_edges", F.col("_near")).drop("_near", "_box").filter(F.col("_inner").isNotNull())
+
+
+def polygon_cells(polygons: DataFrame, rings: str, keep_rings: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The cells that cover each polygon, and the grid levels in use (``levels``, a row with one array).
+
+    A polygon meets at most 2 x 2 cells of the level that fits its box. Where a level has few polygons, as the levels of
+    large ones have, these cells are cut into parts, once or twice: a large polygon gets hundreds of cells, so its points
+    are spread over as many keys. ``_inner`` cells lie inside as a whole; only points in the others need the edges, and
+    unless ``keep_rings`` only the others have them.
+    """
+    sides = _bounds(rings)
+    placed = polygons.withColumn("_level", _level(*sides))
+    counts = placed.groupBy("_level").agg(F.count(F.lit(1)).alias("_n"))
+    second = F.when(F.col("_n") <= FEW, 3).when(F.col("_n") <= SOME, 2).otherwise(0)
+    # At most one row per level there is.
+    cuts = counts.select("_level", F.when(F.col("_n") <= MANY, 2).otherwise(0).alias("_first"), second.alias("_second"))
+    size = F.pow(F.lit(2.0), F.col("_level"))
+    cells = placed.join(F.broadcast(cuts), "_level").withColumn("_cx", F.explode(_cover(sides[0], sides[2], size))).withColumn("_cy", F.explode(_cover(sides[1], sides[3], size)))
+    cells = cells.withColumn("_inner", F.lit(False))
+    part = cells.filter("_first > 0").withColumn("_all", geo.segments(rings)).withColumn("_edges", F.col("_all"))
+    once = cut_lineage(_finer(part, 2).repartition(shuffle_buckets(polygons.sparkSession), "_level", "_cx", "_cy"))
+    cut = once.filter("_second = 0")
+    for bits in (2, 3):
+        cut = cut.unionByName(_finer(once.filter(F.col("_second") == bits), bits))
+    if not keep_rings:
+        cut = cut.withColumn(rings, F.when(~F.col("_inner"), F.col(rings)))
+    helpers = ["_first", "_second"]
+    cells = cells.filter("_first = 0").drop(*helpers).unionByName(cut.drop("_all", "_edges", *helpers))
+    return cut_lineage(cells), cuts.agg(F.collect_set(F.col("_level") - F.col("_first") - F.col("_second")).alias("levels"))
+
+
+def pair_points_polygons(points: DataFrame, polygons: DataFrame, x: str, y: str, rings: str, keep_rings: bool = False) -> DataFrame:
+    """Candidate pairs whose point lies in a cell of the polygon, each pair once; ``_inner`` ones lie inside for certain."""
+    cells, levels = polygon_cells(polygons, rings, keep_rings)
     spots = points.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_levels", levels.scalar())
-    spots = index_points(spots, F.col(x), F.col(y), F.col("_levels")).drop("_levels")
-    return spots.join(boxed, CELL_KEYS).drop(*CELL_KEYS)
+    spots = spots.withColumn("_level", F.explode("_levels")).drop("_levels")
+    size = F.pow(F.lit(2.0), F.col("_level"))
+    spots = spots.withColumn("_cx", _cell(F.col(x), size)).withColumn("_cy", _cell(F.col(y), size))
+    return spots.join(cells, CELL_KEYS).drop(*CELL_KEYS)
+
+
+def _decided(test: Column, predicate: str) -> Column:
+    """The outcome of a predicate for a candidate pair: known for inner ones, else by the edges."""
+    return F.when(F.col("_inner"), F.lit(predicate in ("within", "intersects", "contains", "covers"))).otherwise(test)
 
 
 def _prefixed(df: DataFrame, prefix: str, skip: Sequence[str] = ()) -> DataFrame:
@@ -105,10 +147,13 @@ def spatial_join(
     if left_kind == "point":
         other = _prefixed(right, prefix, skip=(rings,)).withColumnRenamed(rings, "_rings")
         pairs = pair_points_polygons(left, other, x, y, "_rings")
-        return pairs.filter(geo.point_polygon(x, y, "_rings", predicate)).drop("_rings")
+        # A point never contains a polygon.
+        hits = geo.point_polygon(x, y, "_rings", predicate)
+        return pairs.filter(hits if predicate in ("contains", "covers") else _decided(hits, predicate)).drop("_rings", "_inner")
     other = _prefixed(right, prefix, skip=(x, y)).withColumnsRenamed({x: "_x", y: "_y"})
-    pairs = pair_points_polygons(other, left, "_x", "_y", rings)
-    matched = pairs.filter(geo.polygon_point("_x", "_y", rings, predicate))
+    pairs = pair_points_polygons(other, left, "_x", "_y", rings, keep_rings=True)
+    hits = geo.polygon_point("_x", "_y", rings, predicate)
+    matched = pairs.filter(hits if predicate == "within" else _decided(hits, predicate))
     keep = [c for c in other.columns if c not in ("_x", "_y")]
     return matched.select(*left.columns, *keep)
 
@@ -156,8 +201,8 @@ def in_area(points: DataFrame, areas: DataFrame, predicate: str = "within", x: s
     marked = points.withColumn("_pid", F.struct(F.col(x), F.col(y)))
     spots = marked.select("_pid", F.col(x).alias("_x"), F.col(y).alias("_y")).distinct()
     pairs = pair_points_polygons(spots, areas.select(F.col(rings).alias("_rings")), "_x", "_y", "_rings")
-    edge = geo.on_boundary("_x", "_y", "_rings")
-    inner = ~edge & geo.inside_rings("_x", "_y", "_rings")
+    edge = ~F.col("_inner") & geo.on_boundary("_x", "_y", "_rings")
+    inner = F.col("_inner") | (~geo.on_boundary("_x", "_y", "_rings") & geo.inside_rings("_x", "_y", "_rings"))
     hits = pairs.select("_pid", "_x", "_y", "_rings", inner.alias("inner"), edge.alias("edge")).filter("inner or edge")
     if predicate == "within":
         inside = hits.filter("inner").select("_pid").distinct()
@@ -197,7 +242,7 @@ def zonal(
     features: DataFrame,
     zone_id: str,
     values: Sequence[str] = (),
-    reducer: str = "sum",
+    reducer: str | Sequence[str] = "sum",
     predicate: str = "intersects",
     order: str | None = None,
     prefix: str = "overlay",
@@ -207,29 +252,26 @@ def zonal(
 ) -> DataFrame:
     """Reduce point values per zone; a zone without features gets count 0, other reducers null.
 
-    Nulls are skipped; ``first`` needs the column that orders the features.
+    Several reducers share one spatial join. Nulls are skipped; ``first`` needs the column that orders the features.
     """
-    if reducer != "count" and not values:
+    reducers = [reducer] if isinstance(reducer, str) else list(reducer)
+    if any(r != "count" for r in reducers) and not values:
         raise ValueError("values are required unless reducer is count")
-    if reducer == "first" and order is None:
+    if "first" in reducers and order is None:
         raise ValueError("first needs an order column")
     slim = features.select(x, y, *dict.fromkeys([*values, *([order] if order else [])]))
     shapes = zones.select(F.col(zone_id).alias("_zone"), F.col(rings).alias("_rings"))
-    pairs = pair_points_polygons(slim, shapes, x, y, "_rings").filter(
-        geo.zone_feature(x, y, "_rings", predicate)
-    )
-    if reducer == "count":
-        outputs = {f"{prefix}_count": F.count(F.lit(1))}
-    else:
-        build = REDUCERS[reducer]
-        rank = F.col(order) if order else F.lit(0)
-        cast = (lambda v: F.col(v)) if reducer == "first" else (lambda v: F.col(v).cast("double"))
-        outputs = {f"{prefix}_{v}_{reducer}": build(cast(v), rank) for v in values}
+    pairs = pair_points_polygons(slim, shapes, x, y, "_rings").filter(_decided(geo.zone_feature(x, y, "_rings", predicate), predicate))
+    rank = F.col(order) if order else F.lit(0)
+    outputs = {}
+    for r in reducers:
+        if r == "count":
+            outputs[f"{prefix}_count"] = F.count(F.lit(1))
+        else:
+            outputs |= {f"{prefix}_{v}_{r}": REDUCERS[r](F.col(v) if r == "first" else F.col(v).cast("double"), rank) for v in values}
     reduced = pairs.groupBy("_zone").agg(*[c.alias(n) for n, c in outputs.items()])
     joined = zones.join(reduced, F.col(zone_id) == F.col("_zone"), "left").drop("_zone")
-    if reducer == "count":
-        joined = joined.fillna(0, [f"{prefix}_count"])
-    return joined
+    return joined.fillna(0, [f"{prefix}_count"]) if "count" in reducers else joined
 
 
 def _affine(header: dict) -> tuple[float, ...]:
@@ -257,7 +299,7 @@ def zonal_raster(
     centred = cell_centres(valid_cells(cells, header), header)
     shapes = zones.select(zone_id, F.col(rings).alias("_rings"))
     pairs = pair_points_polygons(centred.select("band", "value", "x", "y"), shapes, "x", "y", "_rings")
-    hits = pairs.filter(geo.point_polygon("x", "y", "_rings", "intersects"))
+    hits = pairs.filter(_decided(geo.point_polygon("x", "y", "_rings", "intersects"), "intersects"))
     agg = F.count("value") if reducer == "count" else REDUCERS[reducer](F.col("value"), F.struct("y", "x"))
     reduced = hits.groupBy(zone_id, "band").agg(agg.alias("value"))
     bands = cells.agg(F.array_sort(F.collect_set("band"))).scalar()

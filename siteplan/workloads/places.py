@@ -219,11 +219,9 @@ FROM zone z LEFT JOIN demand d ON d.lon >= z.west AND d.lon <= z.east AND d.lat
 )
 def zone_totals(spark, sf):
     zones, points = _polygons(spark, sf).select("zone_id", "rings"), _points(spark, sf)
-    out = overlay.zonal(zones, points, "zone_id", reducer="count").select("zone_id", F.col("overlay_count").alias("points"))
-    for reducer, digits in (("sum", 4), ("mean", 6), ("min", 9), ("max", 9)):
-        part = overlay.zonal(zones, points, "zone_id", ["need"], reducer)
-        out = out.join(part.select("zone_id", F.round(f"overlay_need_{reducer}", digits).alias(f"need_{reducer}")), "zone_id")
-    return out
+    digits = {"sum": 4, "mean": 6, "min": 9, "max": 9}
+    found = overlay.zonal(zones, points, "zone_id", ["need"], ["count", *digits])
+    return found.select("zone_id", F.col("overlay_count").alias("points"), *[F.round(f"overlay_need_{r}", d).alias(f"need_{r}") for r, d in digits.items()])
 
 
 @query(

@@ -82,6 +82,31 @@ def test_nearest_of_uneven_points(spark, kind):
     assert np.allclose(got.overlay_distance, distance.min(1))
 
 
+def test_large_polygon_has_inner_cells(spark):
+    """A country-sized polygon with a hole: hundreds of cells, and pairs of inner ones are right without any edge."""
+    rng = np.random.default_rng(21)
+    angle = np.linspace(0, 2 * np.pi, 300, endpoint=False)
+    far = 400 + 80 * np.sin(5 * angle) + rng.uniform(-15, 15, 300)
+    ring = [(float(500 + r * np.cos(t)), float(500 + r * np.sin(t))) for r, t in zip(far, angle, strict=True)]
+    hole = [(450.0, 450.0), (450.0, 600.0), (620.0, 600.0), (620.0, 450.0)]
+    small = [(10.0, 10.0), (12.0, 10.0), (12.0, 13.0)]
+    shapes = [("big", [[*ring, ring[0]], [*hole, hole[0]]]), ("small", [[*small, small[0]]])]
+    zones = spark.createDataFrame(shapes, "zone_id STRING, rings ARRAY<ARRAY<STRUCT<x: DOUBLE, y: DOUBLE>>>")
+    spots = np.vstack([rng.random((3000, 2)) * 1000, [[450, 500], [620, 600], [500, 500], [11, 11], [12, 13]], np.array(ring[:20])])
+    points = spark.createDataFrame(pd.DataFrame({"pid": range(len(spots)), "x": spots[:, 0], "y": spots[:, 1]}))
+    cells, _ = overlay.polygon_cells(zones, "rings")
+    assert cells.filter("zone_id = 'big' and _inner").count() > 100 and cells.filter("zone_id = 'big' and not _inner").count() > 100
+    pairs = overlay.pair_points_polygons(points, zones, "x", "y", "rings", keep_rings=True)
+    assert pairs.groupBy("pid", "zone_id").count().filter("count > 1").isEmpty()
+    inner = pairs.filter("_inner")
+    assert inner.count() > 800
+    assert inner.filter(~geo.point_polygon("x", "y", "rings", "within")).isEmpty()
+    for predicate in ("within", "intersects", "touches"):
+        got = overlay.spatial_join(points, zones, predicate).select("pid", "overlay_zone_id")
+        brute = points.join(zones, F.lit(True)).filter(geo.point_polygon("x", "y", "rings", predicate)).select("pid", "zone_id")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, brute.collect()))
+
+
 def test_box_join_pairs_each_once(spark):
     rng = np.random.default_rng(10)
 
