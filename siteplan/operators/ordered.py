@@ -270,11 +270,23 @@ def shards(df: DataFrame, count: int, order: Sequence[str], name: str = "shard")
 
 
 def page(df: DataFrame, order: Sequence[str], offset: int, limit: int) -> DataFrame:
-    """One page of the ordered rows with the total and the next offset (null at the end)."""
+    """One page of the ordered rows with the total and the next offset (null at the end).
+
+    Bucket sizes tell which buckets hold the page; only their rows are moved and ranked, however deep it is.
+    """
+    rows = with_bucket(df, [], order)
+    sizes = rows.groupBy(BUCKET).agg(F.count(F.lit(1)).alias("_rows"))
+    parts = sizes.withColumn("_offset", F.coalesce(F.sum("_rows").over(_prefix(rows, [])), F.lit(0)))
+    parts = parts.filter((F.col("_offset") < offset + limit) & (F.col("_offset") + F.col("_rows") > offset))
+    held = parts.agg(F.struct(F.min(BUCKET).alias("low"), F.max(BUCKET).alias("high")).alias("b"))
+    near = rows.withColumn("_held", held.scalar()).filter(F.col(BUCKET).between(F.col("_held.low"), F.col("_held.high"))).drop("_held")
+    inner = Window.partitionBy(BUCKET).orderBy(*_cols(order))
+    ranked = _attach(near.withColumn("_rank", F.row_number().over(inner)), parts.drop("_rows"), [])
+    place = F.col("_rank") + F.col("_offset")
+    picked = ranked.filter((place > offset) & (place <= offset + limit)).drop("_rank", "_offset", BUCKET)
     total = df.agg(F.count(F.lit(1)).alias("n"))
-    rows = df.orderBy(*_cols(order)).offset(offset).limit(limit)
     following_offset = F.when(F.col("total") > offset + limit, F.lit(offset + limit).cast("bigint"))
-    return rows.withColumn("total", total.scalar()).withColumn("next_offset", following_offset)
+    return picked.withColumn("total", total.scalar()).withColumn("next_offset", following_offset).orderBy(*_cols(order))
 
 
 def all_of(columns: Sequence[Column]) -> Column:

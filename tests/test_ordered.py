@@ -61,3 +61,12 @@ def test_empty_input(spark):
     df = spark.createDataFrame([], "k INT, v DOUBLE")
     assert ordered.positions(df, ["k"], ["v"]).count() == 0
     assert ordered.quantile_ceil(df, ["k"], "v", 0.5, "q").count() == 0
+
+
+def test_deep_pages(spark):
+    df = spark.range(0, 5000).select((F.col("id") * 7919 % 5000).alias("k"), F.col("id").alias("v"))
+    for offset, limit in ((0, 7), (2490, 20), (4990, 50), (4999, 1), (6000, 5)):
+        got = ordered.page(df, ["k"], offset, limit).collect()
+        assert [r.k for r in got] == list(range(5000))[offset : offset + limit]
+        assert all(r.total == 5000 and r.next_offset == (offset + limit if offset + limit < 5000 else None) for r in got)
+    assert ordered.page(df.limit(0), ["k"], 0, 5).collect() == []
