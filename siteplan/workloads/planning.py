@@ -32,7 +32,7 @@ def world_evidence(spark, sf, km=SERVICE_KM, scale=400.0, access=False):
         "evidence_id", "scenario", "demand_id", "site_id",
         (F.col("km") * F.when(F.col("scenario") == "storm", 1.5).otherwise(1.0)).alias("access"),
     )
-    scenarios = _world(table(spark, sf, "region").limit(1).select(F.explode(F.array(
+    scenarios = _world(spark.range(1).select(F.explode(F.array(
         F.struct(F.lit("base").alias("scenario"), F.lit(0.7).alias("weight")),
         F.struct(F.lit("storm").alias("scenario"), F.lit(0.3).alias("weight")),
     )).alias("e")).select("e.*"))
@@ -79,7 +79,7 @@ def region_plans(spark, sf):
 def one_problem(spark, sf, **policy):
     kinds = dict(f.split(" ") for f in s.PROBLEM_SCHEMA.split(", "))
     columns = {"problem_id": F.lit("p"), "evidence_id": F.lit("world"), "family": F.lit("max_weighted_coverage"), "aggregation": F.lit("expected"), **policy}
-    return table(spark, sf, "region").limit(1).select(*[columns.get(n, F.lit(None)).cast(k).alias(n) for n, k in kinds.items()])
+    return spark.range(1).select(*[columns.get(n, F.lit(None)).cast(k).alias(n) for n, k in kinds.items()])
 
 
 REGION_SITES_SQL = "psite AS (SELECT n.n_regionkey AS plan_id, s.site_id FROM site s JOIN nation n ON n.n_nationkey = s.nation)"

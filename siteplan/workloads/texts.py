@@ -212,6 +212,21 @@ def published_documents(spark, sf):
     return fresh.select("artifact_id", F.lit(True).alias("published")).unionByName(clash.select("artifact_id", F.lit(False).alias("published")))
 
 
+@query(
+    "published_into_catalog",
+    """WITH g AS (SELECT text, count(DISTINCT lang || '|' || source) AS n, min(doc_id) AS m FROM documents GROUP BY 1)
+SELECT 'sha256-' || sha256(text) AS artifact_id, n = 1 AND m % 3 <> 0 AS published FROM g WHERE n > 1 OR m % 3 <> 0 OR m % 6 = 0""",
+)
+def published_into_catalog(spark, sf):
+    """Publish of all documents into a catalog that knows a third of the texts, half of them under another language."""
+    docs = table(spark, sf, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content"), "lang", "source")
+    firsts = docs.groupBy("content").agg(F.min("doc_id").alias("_m"), F.min_by(F.struct("lang", "source"), "doc_id").alias("_d")).filter("_m % 3 = 0")
+    lang = F.when(F.col("_m") % 6 == 0, "zz").otherwise(F.col("_d.lang"))
+    known = firsts.select(writers.content_id().alias("artifact_id"), lang.alias("lang"), F.col("_d.source").alias("source"))
+    fresh, clash = writers.publish(docs.drop("doc_id"), known, ["lang", "source"])
+    return fresh.select("artifact_id", F.lit(True).alias("published")).unionByName(clash.select("artifact_id", F.lit(False).alias("published")))
+
+
 @query(
     "damaged_documents",
     "SELECT CAST(doc_id AS VARCHAR) AS doc, 'sha256-' || sha256(text) AS found_id FROM documents WHERE doc_id % 10 = 0",
