@@ -34,15 +34,25 @@ def _lines(prompts: DataFrame, depth: int) -> DataFrame:
     return rows.select("record_id", "_text", "_line", leaf.alias("_leaf"), F.xxhash64("_masked").alias("_hash"), "_masked")
 
 
+def _line_hashes(prompts: DataFrame, depth: int) -> DataFrame:
+    """Every line as numbers, staged: whole texts are split and masked once for counting and dropping alike."""
+    return stage(_lines(prompts, depth).drop("_masked"), "line-hashes")
+
+
 def recurring_lines(prompts: DataFrame, min_records: int = 5, depth: int = 3, constant: float = 0.7) -> DataFrame:
     """Masked lines whose template recurs in at least ``min_records`` records.
 
     Returns ``line_hash``, ``template``, ``n_records`` and ``first_record``, the least record id that holds the
     template. See ``drop_recurring_lines`` for the tree.
     """
-    lines = _lines(prompts, depth).withColumn("_record", F.xxhash64("record_id", "_text"))
+    return _recurring(prompts, _line_hashes(prompts, depth), min_records, depth, constant)
+
+
+def _recurring(prompts: DataFrame, hashes: DataFrame, min_records: int, depth: int, constant: float) -> DataFrame:
+    record = F.xxhash64("record_id", "_text").alias("_record")
+    lines = _lines(prompts, depth).select("*", record)
     first = F.min("record_id").alias("first_record")
-    seen = lines.groupBy("_leaf", "_hash").agg(F.countDistinct("_record").alias("n_records"), first)
+    seen = hashes.select("*", record).groupBy("_leaf", "_hash").agg(F.countDistinct("_record").alias("n_records"), first)
     seen = stage(seen, "line-counts")
     same = seen.where(F.col("n_records") >= min_records).select(F.col("_hash").alias("line_hash"), F.hex("_hash").alias("template"), "n_records", "first_record")
 
@@ -109,9 +119,9 @@ def drop_recurring_lines(prompts: DataFrame, min_records: int = 5, depth: int =
     one task. Rows equal in id and prompt are one record and treated alike. A null prompt stays null with no dropped
     lines, blank lines stay, null record ids are never first unless all are null, empty input gives no rows.
     """
-    bad = recurring_lines(prompts, min_records, depth, constant).select("line_hash", "first_record")
-    lines = _lines(prompts, depth).select("record_id", "_text", "_line", "_hash")
-    hit = lines.join(bad, lines["_hash"] == bad["line_hash"]).where(~F.col("record_id").eqNullSafe(F.col("first_record")))
+    lines = _line_hashes(prompts, depth)
+    bad = _recurring(prompts, lines, min_records, depth, constant).select("line_hash", "first_record")
+    hit = lines.drop("_leaf").join(bad, F.col("_hash") == F.col("line_hash")).where(~F.col("record_id").eqNullSafe(F.col("first_record")))
     hit = hit.groupBy(F.col("record_id").alias("_id"), F.col("_text").alias("_of")).agg(F.array_sort(F.collect_set("_line")).alias("_dropped"))
     hit = stage(hit, "dropped-lines")
     same = prompts["record_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(prompts["prompt"]) == F.col("_of"))
