@@ -66,44 +66,42 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
 """
 
 
-def _url_sql(depth: int = 4, max_children: int = 20, bound: float = 1.3581015157406195, weight: float = 5.0, reject_at: float = 0.7) -> str:
-    """The verdicts of ``judge_sources`` in SQL, one group of steps per level of the tree; ``bound`` is Hoeffding's at 0.05."""
+def _url_sql(bands: int = 5, alpha: float = 0.05, weight: float = 5.0, reject_at: float = 0.7) -> str:
+    """The verdicts of ``judge_sources`` in SQL, the levels of the tree as one recursion."""
     name = said = "NULL"
     for verdict, rule in sorted(URL_RULES, key=lambda r: len(r[1])):
         domain, _, start = rule.partition("/")
         fits = f"(host = '{domain}' OR ends_with(host, '.{domain}')) AND starts_with(path, '/{start}')"
         name, said = f"CASE WHEN {fits} THEN '{rule}' ELSE {name} END", f"CASE WHEN {fits} THEN '{verdict}' ELSE {said} END"
-    steps = [
-        "a AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages)",
-        "b AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a)",
-        f"c AS (SELECT *, {name} AS rule, {said} AS said, list_filter(string_split(regexp_replace(path, '[0-9]+', '<n>', 'g'), '/'), lambda x: x <> '') AS whole FROM b)",
-        f"p AS (SELECT *, CASE WHEN len(whole) > {depth} THEN list_append(whole[1:{depth}], '**') ELSE whole END AS parts FROM c)",
-        "t0 AS (SELECT host, parts, count(said) AS labels, count(*) FILTER (WHERE said = 'block') AS blocked, '' AS prefix FROM p GROUP BY host, parts)",
-    ]
-    for k in range(depth):
-        steps += [
-            f"s{k} AS (SELECT *, parts[{k + 1}] AS part FROM t{k})",
-            f"br{k} AS (SELECT host, prefix, part, sum(labels) AS labels, sum(blocked) AS blocked, count(*) OVER (PARTITION BY host, prefix) AS children FROM s{k} WHERE part IS NOT NULL GROUP BY host, prefix, part)",
-            f"""la{k} AS (SELECT *, blocked / labels AS rate, 1 / sqrt(labels) AS root FROM br{k} WHERE labels > 0 AND children <= {max_children})""",
-            f"cu{k} AS (SELECT *, CASE WHEN rate - lag(rate) OVER o > {bound} * (root + lag(root) OVER o) THEN 1 ELSE 0 END AS cut FROM la{k} WINDOW o AS (PARTITION BY host, prefix ORDER BY rate, labels DESC, part))",
-            f"bn{k} AS (SELECT *, sum(cut) OVER (PARTITION BY host, prefix ORDER BY rate, labels DESC, part ROWS UNBOUNDED PRECEDING) AS branch FROM cu{k})",
-            f"me{k} AS (SELECT host, prefix, branch, list_sort(list(part)) AS members FROM bn{k} GROUP BY ALL)",
-            f"""na{k} AS (SELECT host, prefix, part, CASE WHEN children > {max_children} THEN '*' ELSE part END AS name FROM br{k} WHERE children > {max_children} OR labels = 0
-  UNION ALL SELECT bn{k}.host, bn{k}.prefix, part, CASE WHEN len(members) > 1 THEN '{{' || array_to_string(members, '|') || '}}' ELSE part END FROM bn{k} JOIN me{k} USING (host, prefix, branch))""",
-            f"t{k + 1} AS (SELECT s.host, s.parts, s.labels, s.blocked, CASE WHEN name IS NULL THEN s.prefix ELSE s.prefix || '/' || name END AS prefix FROM s{k} s LEFT JOIN na{k} n ON n.host = s.host AND n.prefix = s.prefix AND n.part = s.part)",
-        ]
-    steps += [
-        f"pa AS (SELECT host, parts, labels, blocked, CASE WHEN prefix = '' THEN '/' WHEN len(parts) > {depth} THEN prefix || '/**' ELSE prefix END AS template FROM t{depth})",
-        "al AS (SELECT parts, sum(labels) AS n_all, sum(blocked) AS b_all FROM pa GROUP BY parts)",
-        "pr AS (SELECT (coalesce(sum(blocked), 0) + 1) / (coalesce(sum(labels), 0) + 2) AS prior FROM pa)",
-        "te AS (SELECT host, template, sum(labels) AS labels, sum(blocked) AS blocked, sum(n_all) AS n_all, sum(b_all) AS b_all FROM pa JOIN al USING (parts) GROUP BY host, template)",
-        f"pu AS (SELECT host, template, (blocked + {weight} * ((b_all + {weight} * prior) / (n_all + {weight}))) / (labels + {weight}) AS purity FROM te, pr)",
-    ]
-    return (
-        "WITH " + ",\n".join(steps) + f"""
-SELECT page_id, p.host, path, rule, CASE WHEN said IS NOT NULL THEN said WHEN purity >= {reject_at} THEN 'block' ELSE 'allow' END AS verdict, pa.template, round(purity, 6) AS purity
-FROM p JOIN pa ON pa.host = p.host AND pa.parts = p.parts JOIN pu ON pu.host = pa.host AND pu.template = pa.template"""
-    )
+    return f"""
+WITH RECURSIVE a AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+b AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
+p AS (SELECT *, {name} AS rule, {said} AS said, list_filter(string_split(regexp_replace(path, '[0-9]+', '<n>', 'g'), '/'), lambda x: x <> '') AS parts FROM b),
+t AS (SELECT host, parts, count(said)::BIGINT AS labels, (count(*) FILTER (WHERE said = 'block'))::BIGINT AS blocked FROM p GROUP BY host, parts),
+o AS (SELECT *, (sum(labels) OVER w)::BIGINT AS n_all, (sum(blocked) OVER w)::BIGINT AS b_all FROM t WINDOW w AS (PARTITION BY parts)),
+pr AS (SELECT (coalesce(sum(blocked), 0) + 1)::DOUBLE / (coalesce(sum(labels), 0) + 2) AS prior FROM t),
+l AS (
+  SELECT host, parts, labels, blocked, n_all, b_all, CASE WHEN labels > 0 THEN labels ELSE n_all END AS n, CASE WHEN labels > 0 THEN blocked ELSE b_all END AS b,
+    ''::VARCHAR AS prefix, 0::INT AS level, NULL::VARCHAR AS template FROM o
+  UNION ALL
+  SELECT host, parts, labels, blocked, n_all, b_all, n, b, CASE WHEN part IS NULL THEN prefix ELSE prefix || '/' || CASE WHEN branch_n = 0 THEN '*' WHEN near AND members > 1
+      THEN '{{' || first_part || CASE WHEN members > 2 THEN '|..|' ELSE '|' END || last_part || '}}' ELSE part END END, (level + 1)::INT,
+    CASE WHEN part IS NULL THEN coalesce(nullif(prefix || CASE WHEN NOT mixed AND len(parts) > level THEN '/**' ELSE '' END, ''), '/') END
+  FROM (SELECT *, count(DISTINCT part) FILTER (WHERE near) OVER g AS members, min(part) FILTER (WHERE near) OVER g AS first_part, max(part) FILTER (WHERE near) OVER g AS last_part
+    FROM (SELECT *, abs(branch_b / branch_n - sum(b) OVER g / sum(n) OVER g) <= sqrt(ln({2 / alpha}::DOUBLE) / (branch_n * 2)) AS near
+      FROM (SELECT *, CASE WHEN branch_n > 0 THEN least(floor((branch_b + {weight}::DOUBLE * prior) / (branch_n + {weight}::DOUBLE) * {bands}), {bands - 1}) END AS band
+        FROM (SELECT *, (sum(n) OVER k)::DOUBLE AS branch_n, (sum(b) OVER k)::DOUBLE AS branch_b
+          FROM (SELECT *, CASE WHEN mixed THEN parts[level + 1] END AS part
+            FROM (SELECT *, count(*) OVER q > 1 AND sum(n) OVER q > 0 AND (count(*) FILTER (WHERE n > 0) OVER q < count(*) OVER q OR (sum(b) OVER q > 0 AND sum(b) OVER q < sum(n) OVER q)) AS mixed
+              FROM l WHERE template IS NULL WINDOW q AS (PARTITION BY host, prefix)))
+          WINDOW k AS (PARTITION BY host, prefix, part)), pr)
+      WINDOW g AS (PARTITION BY host, prefix, part IS NULL, band))
+    WINDOW g AS (PARTITION BY host, prefix, part IS NULL, band))),
+e AS (SELECT * FROM l WHERE template IS NOT NULL),
+te AS (SELECT host, template, sum(labels)::DOUBLE AS labels, sum(blocked)::DOUBLE AS blocked, sum(n_all)::DOUBLE AS n_all, sum(b_all)::DOUBLE AS b_all FROM e GROUP BY host, template),
+pu AS (SELECT host, template, CASE WHEN n_all > 0 THEN (blocked + {weight}::DOUBLE * ((b_all + {weight}::DOUBLE * prior) / (n_all + {weight}::DOUBLE))) / (labels + {weight}::DOUBLE) END AS purity FROM te, pr)
+SELECT page_id, p.host, path, rule, CASE WHEN said IS NOT NULL THEN said WHEN purity >= {reject_at} THEN 'block' ELSE 'allow' END AS verdict, e.template, round(purity, 6) AS purity
+FROM p JOIN e ON e.host = p.host AND e.parts = p.parts JOIN pu ON pu.host = e.host AND pu.template = e.template"""
 
 
 ORACLES["op7_url_filter"] = _url_sql()

@@ -73,14 +73,53 @@ def test_rules_and_templates(spark):
         assert verdict is None or r["verdict"] == verdict
         assert r["verdict"] in ("allow", "block")
     templates = {u: by_id[i]["template"] for i, u in enumerate(urls)}
-    assert templates["http://shop0.net/es/3"] == templates["http://shop0.net/fr/4"] == "/{es|fr}/<n>"
-    assert templates["http://shop0.net/en/4"] == "/en/<n>" and templates["http://b.org/aa/x"] == "/*/x" and templates["http://d.org/1/2/3/4/5/6/7"] == "/<n>/<n>/<n>/<n>/**"
+    assert templates["http://shop0.net/es/3"] == templates["http://shop0.net/fr/4"] == "/{es|fr}/**"
+    assert templates["http://shop0.net/en/4"] == "/en/**" and templates["http://b.org/aa/x"] == templates["http://d.org/1/2/3/4/5/6/7"] == "/**"
+    assert by_id[urls.index("http://b.org/aa/x")]["purity"] is None
     spanish = by_id[urls.index("http://news.org/es/1")]
     assert spanish["verdict"] == "block" and spanish["purity"] > 0.8
     empty = judge_sources(spark.createDataFrame([], "artifact_id long, url string"), RULES)
     assert empty.count() == 0
 
 
+def judged(spark, urls, rules=RULES):
+    rows = judge_sources(spark.createDataFrame(list(enumerate(urls)), "artifact_id long, url string").repartition(3), rules).collect()
+    return {urls[r["artifact_id"]]: r for r in rows}
+
+
+def test_more_sections_turn_no_clean_page(spark):
+    labelled = [f"http://city.net/{lang}/{i}" for lang in ("es", "fr") for i in range(12)]
+    for sections in (18, 19, 60):
+        clean = [f"http://city.net/part{chr(97 + k // 26)}{chr(97 + k % 26)}/{i}" for k in range(sections) for i in range(3)]
+        got = judged(spark, labelled + clean + ["http://other.org/about", "http://city.net/"])
+        assert {got[u]["verdict"] for u in clean} == {"allow"} and {got[u]["verdict"] for u in labelled} == {"block"}
+        assert got["http://other.org/about"]["verdict"] == "allow" and got["http://other.org/about"]["purity"] is None
+        assert got["http://city.net/"]["template"] == "/"
+
+
+def test_labels_deep_in_a_path_are_told_apart(spark):
+    deep = "a/b/c/d/e"
+    rules = [("block", f"city.net/{deep}/bad/"), ("allow", f"city.net/{deep}/good/")]
+    urls = [f"http://city.net/{deep}/{kind}/x{chr(97 + i)}" for kind in ("bad", "good", "new") for i in range(10)]
+    urls += [f"http://town.org/{deep}/bad/x{chr(97 + i)}" for i in range(10)] + [f"http://town.org/{deep}/good/x{chr(97 + i)}" for i in range(10)]
+    urls.append("http://city.net/" + "/".join(["long"] * 5000))
+    got = judged(spark, urls, rules)
+    for url in urls:
+        assert got[url]["verdict"] == ("block" if "/bad/" in url else "allow"), url
+    assert got[f"http://town.org/{deep}/bad/xa"]["template"] == f"/{deep}/bad/**"
+
+
+def test_branches_merge_by_rate_and_not_by_chance(spark):
+    rules = [("block", "city.net/red/"), ("block", "city.net/rose/"), ("allow", "city.net/blue/"), ("allow", "city.net/one/")]
+    urls = [f"http://city.net/{part}/{chr(97 + i)}" for part in ("red", "rose", "blue") for i in range(20)] + ["http://city.net/one/a", "http://city.net/free/a"]
+    got = judged(spark, urls, rules)
+    assert got["http://city.net/red/a"]["template"] == got["http://city.net/rose/b"]["template"] == "/{red|rose}/**"
+    assert got["http://city.net/one/a"]["template"] not in ("/{red|rose}/**",) and got["http://city.net/free/a"]["verdict"] == "allow"
+    # Ties of rates have no order to depend on: the same tree from any order of the rows.
+    again = judged(spark, urls[::-1], rules)
+    assert all(again[u]["template"] == got[u]["template"] and again[u]["purity"] == got[u]["purity"] for u in urls)
+
+
 def best_by_cubes(scores):
     """Maximal segments by definition: take the best segment, then split around it."""
     total = np.concatenate([[0.0], np.cumsum(scores)])
