@@ -15,14 +15,15 @@ BROADCAST_LEAVES = 500_000
 def masked_text(prompt: str) -> Column:
     """A prompt with single spaces inside its lines and a field mark for every word that holds a digit.
 
-    Whole prompts are looked at first, as most need neither change.
+    Whole prompts are looked at first, as most need neither change. Words are tried at their start only, without
+    going back.
     """
     text = F.col(prompt)
     uneven = F.contains(text, F.lit("  "))
     for space in "\t\v\f\r":
         uneven = uneven | F.contains(text, F.lit(space))
     plain = F.when(uneven, F.regexp_replace(text, r"[ \t\x0B\f\r]+", " ")).otherwise(text)
-    return F.when(text.rlike("[0-9]"), F.regexp_replace(plain, r"[^ \n]*[0-9][^ \n]*", FIELD)).otherwise(plain)
+    return F.when(text.rlike("[0-9]"), F.regexp_replace(plain, r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*+", FIELD)).otherwise(plain)
 
 
 def _lines(prompts: DataFrame, depth: int) -> DataFrame:
@@ -85,8 +86,10 @@ def _recurring(prompts: DataFrame, hashes: DataFrame, min_records: int, depth: i
 
     made = marked.where(F.col("_constant") >= constant).select("_leaf", "_mask", shown("_mask").alias("template")).distinct()
     masks = made.select("_leaf", F.col("_mask").alias("_fit")).distinct()
+    kinds_of_mask = marked.select("_leaf", "_mask").distinct()
     covers = ~F.exists(F.arrays_zip(F.col("_mask").alias("m"), F.col("_fit").alias("f")), lambda x: x["f"] & ~x["m"])
-    fits = marked.join(masks, "_leaf").where(covers).select("_leaf", "_hash", shown("_fit").alias("template"))
+    pairs = stage(kinds_of_mask.join(masks, "_leaf").where(covers), "line-masks")
+    fits = marked.join(pairs, ["_leaf", "_mask"]).select("_leaf", "_hash", shown("_fit").alias("template"))
     fits = stage(fits.join(made.select("_leaf", "template"), ["_leaf", "template"], "left_semi").join(wanted, "_hash"), "line-templates")
     totals = fits.groupBy("_leaf", "template").agg(F.sum("n_records").alias("_sum"), F.min("first_record").alias("_first")).where(F.col("_sum") >= min_records)
     totals = stage(totals, "line-totals")
