@@ -44,6 +44,56 @@ def test_recurring_lines_go_and_the_first_stays(spark):
     assert drop_recurring_lines(prompts.limit(0)).count() == 0
 
 
+def dropped_by_definition(prompts, least=5, depth=3, constant=0.7):
+    """Line numbers that go, per record, by plain counting over all lines and templates."""
+    at = {}
+    for record, prompt in prompts:
+        for k, raw in enumerate(prompt.split("\n")):
+            words = tuple("<*>" if any(c.isdigit() for c in w) else w for w in raw.split())
+            if words:
+                at.setdefault((len(words), *words[:depth]), {}).setdefault(words, set()).add((record, k))
+    gone = {record: set() for record, _ in prompts}
+    for lines in at.values():
+        records = {words: {r for r, _ in places} for words, places in lines.items()}
+        bad = {words: min(held) for words, held in records.items() if len(held) >= least}
+        if len(lines) > 1 and any(len(held) < least for held in records.values()):
+            def steady(i, word):
+                return word != "<*>" and len({r for words, held in records.items() if words[i] == word for r in held}) >= least
+
+            masks = {words: tuple(steady(i, w) for i, w in enumerate(words)) for words in lines}
+
+            def shown(words, mask):
+                return " ".join(w if m else "<*>" for w, m in zip(words, mask, strict=True))
+
+            made = {(masks[w], shown(w, masks[w])) for w in lines if sum(masks[w]) >= constant * len(w)}
+            fits = {w: {t for mask, t in made if all(b or not a for a, b in zip(mask, masks[w], strict=True)) and shown(w, mask) == t} for w in lines}
+            held = {t: {r for w in lines if t in fits[w] for r in records[w]} for _, t in made}
+            for w in lines:
+                best = max(((len(held[t]), t) for t in fits[w] if len(held[t]) >= least), default=None)
+                if best:
+                    bad[w] = min(held[best[1]])
+        for words, first in bad.items():
+            for record, k in lines[words]:
+                if record != first:
+                    gone[record].add(k)
+    return {record: sorted(ks) for record, ks in gone.items()}
+
+
+def test_lines_against_definition(spark):
+    draw = random.Random(5)
+    openings = ["Report on site", "Contact the office", "See map no"]
+
+    def line():
+        rest = [draw.choice(["now", "here", "soon"]) if draw.random() < 0.85 else draw.choice(["a7", "9-9", text(1), text(1)]) for _ in range(draw.randint(1, 5))]
+        return draw.choice(["", "  ", "\t"]) + draw.choice(openings) + draw.choice([" ", "  "]) + " ".join(rest)
+
+    rows = [(i, "\n".join(draw.choice([line(), line(), text(6), ""]) for _ in range(draw.randint(1, 5)))) for i in range(160)]
+    rows.append((160, "\n".join(text(3) + " x1y" * 40000 for _ in range(2))))
+    got = {r["record_id"]: r["dropped_lines"] for r in drop_recurring_lines(spark.createDataFrame(rows, "record_id long, prompt string").repartition(4)).collect()}
+    want = dropped_by_definition(rows)
+    assert got == want and sum(map(len, want.values())) > 40 and any(not ks for ks in want.values())
+
+
 def shingles(words, k):
     return Counter(tuple(words[i : i + k]) for i in range(len(words) - k + 1))
 
